@@ -1,0 +1 @@
+"""Operators of the raster and catalogue engine."""

@@ -1,0 +1 @@
+"""Plans of the raster and catalogue engine."""

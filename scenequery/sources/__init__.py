@@ -1,0 +1 @@
+"""Sources of the raster and catalogue engine."""

@@ -1,0 +1 @@
+"""Streaming of the raster and catalogue engine."""
