@@ -146,7 +146,8 @@ class WordTokenizer:
         numbers = "".join(re.escape(c) for c in low if unicodedata.category(c)[0] == "N")
         spaces = "\\t-\\r \x85\xa0"
         self.pieces = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{spaces}{letters}{numbers}]+").findall
-        self.simple = re.compile("[\x00-\x1b\x20-įı-ɏ]*").fullmatch
+        self.simple = re.compile(f"[\\x00-{chr(0x12F)}{chr(0x131)}-{chr(0x24F)}]*").fullmatch
+        self.odd_space = re.compile(f"[\\x1c-\\x1f{common.WHITE_SPACE[4:]}]").search
         self.words: dict[str, bytes] = {}
 
     def word(self, w: str) -> bytes:
@@ -156,7 +157,7 @@ class WordTokenizer:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 16-bit integers."""
-        words, found = self.words, text.split() if not re.search("[\x1c-\x1f\x85\xa0  -     　]", text) else re.findall(common.WORD, text)
+        words, found = self.words, text.split() if not self.odd_space(text) else re.findall(common.WORD, text)
         try:
             return b"".join(map(words.__getitem__, found))
         except KeyError:

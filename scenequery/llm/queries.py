@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from . import chat
+from .bpe import op4_byte_bpe
+from .chat import op7_reply_trees
 from .dac import op3_dac_tokens
+from .ring import op8_bounded_ring
 
 QUERIES = {
     "op3_dac_tokens": op3_dac_tokens,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op7_reply_trees": op7_reply_trees,
+    "op8_bounded_ring": op8_bounded_ring,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_reply_trees": chat.ORACLE,
+}
