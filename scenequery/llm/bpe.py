@@ -1,11 +1,11 @@
 """Byte-level BPE over a whole corpus: each distinct word is merged once, then its ids go back to every position.
 
-1. Count the words of all documents (each task adds up its own first) and encode the most frequent ones, at most
-   ``FREQUENT`` of them, each once. That table has a fixed bound, so it is broadcast; it keeps words that occur
-   everywhere out of the shuffle.
-2. All other words are exploded with the positions they hold in their document, grouped by word over the whole corpus,
+1. A table of at most ``FREQUENT`` words that are frequent in a bounded sample is encoded and broadcast: it keeps words that
+   occur everywhere out of the shuffle. Its size is fixed, whatever the corpus.
+2. All other words are exploded with their place among their document's, grouped by word over the whole corpus,
    encoded once each, and sent back to their documents.
-3. A document's known ids, with a gap for each exploded word, meet those ids by document and are put together by position.
+3. Each document's sequence of words, as numbers of table rows or places, meets those ids by document; ids are put
+   together by position.
 
 Which of the two ways a word takes changes nothing in the result.
 """
@@ -16,6 +16,7 @@ import base64
 import hashlib
 import re
 import unicodedata
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -27,9 +28,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-FREQUENT = 200_000
-COUNTED_AT_ONCE = 400_000
-GAP = 0xFFFFFFFF
+FREQUENT = 300_000
+SAMPLED = 20_000
+COUNTED_AT_ONCE = 200_000
+ROWS_AT_ONCE = 1000
 
 class Splitter:
     """Splits a text as ``pattern`` says, by Python's re where all letters are below U+0250, else by the regex module."""
@@ -63,55 +65,57 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def _merger(path: str, pattern: str):
-    """bytes of one word -> its ids packed as little-endian unsigned 32-bit integers."""
+    """A word -> its ids packed as little-endian unsigned integers of ``_width`` bytes."""
     if (path, pattern) not in _KEPT:
         import tiktoken
 
-        core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})._core_bpe
-        _KEPT[path, pattern] = lambda w: np.asarray(core.encode_single_piece(w.encode()), "<u4").tobytes()
+        ranks = read_ranks(path)
+        core, kind = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe, f"<u{_width(len(token_bytes(path)))}"
+        _KEPT[path, pattern] = lambda w: np.asarray(core.encode_single_piece(w.encode()), kind).tobytes()
     return _KEPT[path, pattern]
 
 
-def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
-    """(word, n) over all documents; words seen once in a task's share of the text are left out: they are not frequent."""
+def _width(vocabulary: int) -> int:
+    return 2 if vocabulary <= 1 << 16 else 4
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, so that a worker's memory stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(start, ROWS_AT_ONCE)
+
+
+def frequent_words(docs: DataFrame, pattern: str, most: int = FREQUENT, sampled: int = SAMPLED) -> list[str]:
+    """At most ``most`` words, the most frequent ones of about ``sampled`` documents, most frequent first."""
+    n = max(1, docs.count())
+    sample = docs.filter(F.pmod(F.xxhash64(F.lit(4), "row"), F.lit(n)) < sampled).select("text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, seen = _splitter(pattern), Counter()
 
         def out() -> pa.RecordBatch:
-            kept = [(w, n) for w, n in seen.items() if n > 1]
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
-        for batch in batches:
+        for batch in _sliced(batches):
             for text in batch.column(0).to_pylist():
                 seen.update(split(text))
-                if len(seen) > COUNTED_AT_ONCE:
-                    yield out()
-                    seen.clear()
+            if len(seen) > COUNTED_AT_ONCE:
+                yield out()
+                seen.clear()
         yield out()
 
-    return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def frequent_words(docs: DataFrame, ranks_path: str, pattern: str, most: int = FREQUENT) -> dict[str, bytes]:
-    """The ids of at most ``most`` words, the most frequent ones; each is encoded once, by an executor."""
-    counts = common.staged(word_counts(docs, pattern), "word-counts")
-    steps = counts.groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect()
+    counts = common.staged(sample.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1"), "word-counts")
     total, least = 0, None
-    for row in sorted(steps, key=lambda r: -r["step"]):
-        if (total := total + row["words"]) > most:
+    for row in counts.groupBy("n").count().orderBy(F.desc("n")).collect():  # as many rows as there are different counts
+        if (total := total + row["count"]) > most:
             break
-        least = row["least"]
+        least = row["n"]
     if least is None:
-        return {}
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merge = _merger(ranks_path, pattern)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([merge(w) for w in batch.column(0).to_pylist()], pa.binary())], names=["word", "ids"])
-
-    found = counts.filter(F.col("n") >= least).select("word").mapInArrow(encode, "word string, ids binary").toArrow()
-    return dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
+        return []
+    found = counts.filter(F.col("n") >= least).toArrow()
+    order = np.argsort(-found.column("n").to_numpy(), kind="stable")
+    return found.column("word").take(pa.array(order)).to_pylist()
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, most_frequent: int = FREQUENT) -> DataFrame:
@@ -121,58 +125,68 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, most_frequent: int =
     """
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), common.text_or_empty().alias("text"))
-    known = spark.sparkContext.broadcast(frequent_words(rows, ranks_path, pattern, most_frequent))
+    words = frequent_words(rows, pattern, most_frequent)
+    known, n_known = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)}), len(words)
+    run = uuid.uuid4().hex
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, ids = _splitter(pattern), known.value
-        for batch in batches:
-            at_row, words, places = [], [], []
+        split, table = _splitter(pattern), known.value
+        for batch in _sliced(batches):
+            at_row, others, places = [], [], []
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                here: dict[str, list[int]] = {}
-                for k, w in enumerate(w for w in split(text) if w not in ids):
-                    here.setdefault(w, []).append(k)
+                here = dict.fromkeys(w for w in split(text) if w not in table)
                 at_row += [row] * len(here)
-                words += here
-                places += here.values()
-            yield pa.RecordBatch.from_arrays([pa.array(at_row, pa.int64()), pa.array(words, pa.string()), pa.array(places, pa.list_(pa.int32()))], names=["row", "word", "places"])
+                others += here
+                places += range(len(here))
+            yield pa.RecordBatch.from_arrays([pa.array(at_row, pa.int64()), pa.array(places, pa.int32()), pa.array(others, pa.string())], names=["row", "place", "word"])
 
-    def gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, ids, gap = _splitter(pattern), known.value, GAP.to_bytes(4, "little")
-        for batch in batches:
-            out = [b"".join([ids.get(w, gap) for w in split(t)]) for t in batch.column(2).to_pylist()]
-            out = [zlib.compress(np.frombuffer(x, np.uint8).reshape(-1, 4).T.tobytes(), 1) for x in out]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["row", "doc_id", "known"])
+    def sequence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, table = _splitter(pattern), known.value
+        for batch in _sliced(batches):
+            out = []
+            for text in batch.column(2).to_pylist():
+                found = split(text)
+                here = {w: n_known + k for k, w in enumerate(dict.fromkeys(w for w in found if w not in table))}
+                numbers = np.fromiter((table[w] if w in table else here[w] for w in found), "<u4", len(found))
+                out.append(zlib.compress(numbers.view(np.uint8).reshape(-1, 4).T.tobytes(), 1))  # byte by byte: the high ones are few
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["row", "doc_id", "words"])
 
     def merge_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merge = _merger(ranks_path, pattern)
-        for batch in batches:
-            ids = [merge(w) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), batch.column(1)], names=["ids", "at"])
+        for batch in _sliced(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([merge(w) for w in batch.column(0).to_pylist()], pa.binary()), batch.column(1)], names=["ids", "at"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        table = _known_ids(known, run, ranks_path, pattern)
+        kind = f"<u{_width(len(token_bytes(ranks_path)))}"
+        for batch in _sliced(batches):
             out = []
             for packed, others in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                ids = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+                numbers = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().tolist()
                 if others:
-                    at = np.flatnonzero(ids == GAP)
-                    raw, parts, last = ids.tobytes(), [], 0
-                    order = sorted((p, x["ids"]) for x in others for p in x["places"])
-                    for a, (_, word_ids) in zip((at * 4).tolist(), order, strict=True):
-                        parts += [raw[last:a], word_ids]
-                        last = a + 4
-                    out.append(b"".join([*parts, raw[last:]]))
+                    own = {n_known + x["place"]: x["ids"] for x in others}
+                    ids = b"".join([table[i] if i < n_known else own[i] for i in numbers])
                 else:
-                    out.append(ids.tobytes())
+                    ids = b"".join(map(table.__getitem__, numbers))
+                out.append(np.frombuffer(ids, kind).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "ids"])
 
-    others = rows.select("row", "text").mapInArrow(explode, "row long, word string, places array<int>")
-    by_word = others.groupBy("word").agg(F.collect_list(F.struct("row", "places")).alias("at"))
-    back = by_word.mapInArrow(merge_words, "ids binary, at array<struct<row: long, places: array<int>>>").select("ids", F.explode("at").alias("at"))
-    by_row = back.groupBy(F.col("at.row").alias("row")).agg(F.collect_list(F.struct(F.col("at.places").alias("places"), "ids")).alias("others"))
-    skeletons = rows.mapInArrow(gaps, f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, known binary")
-    joined = skeletons.hint("merge").join(by_row, "row", "left").select("doc_id", "known", "others")
-    return joined.mapInArrow(fill, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")
+    key = docs.schema["doc_id"].dataType.simpleString()
+    others = rows.select("row", "text").mapInArrow(explode, "row long, place int, word string")
+    by_word = others.groupBy("word").agg(F.collect_list(F.struct("row", "place")).alias("at"))
+    back = by_word.mapInArrow(merge_words, "ids binary, at array<struct<row: long, place: int>>").select("ids", F.explode("at").alias("at"))
+    by_row = back.groupBy(F.col("at.row").alias("row")).agg(F.collect_list(F.struct(F.col("at.place").alias("place"), "ids")).alias("others"))
+    sequences = rows.mapInArrow(sequence, f"row long, doc_id {key}, words binary")
+    joined = sequences.hint("merge").join(by_row, "row", "left").select("doc_id", "words", "others")
+    return joined.mapInArrow(fill, f"doc_id {key}, ids binary")
+
+
+def _known_ids(known, run: str, ranks_path: str, pattern: str) -> list[bytes]:
+    """Ids of the broadcast words, encoded once in each worker and kept for its later tasks of the same run."""
+    if _KEPT.get("run") != run:
+        merge = _merger(ranks_path, pattern)
+        _KEPT["ids"], _KEPT["run"] = [merge(w) for w in known.value], run
+    return _KEPT["ids"]
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -180,7 +194,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = token_bytes(ranks_path)
-        for batch in batches:
+        for batch in _sliced(batches):
             texts = [b"".join(map(table.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=["doc_id", "text_bytes"])
 
@@ -203,7 +217,7 @@ def digests(encoded: DataFrame, ranks_path: str) -> DataFrame:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = token_bytes(ranks_path)
         decimal = [b"%d," % i for i in range(len(table))]
-        for batch in batches:
+        for batch in _sliced(batches):
             counts, shas, decoded = [], [], []
             for packed in batch.column(1).to_pylist():
                 ids = np.frombuffer(packed, "<u4").tolist()

@@ -3,8 +3,8 @@
 Features are a text's distinct words and word beginnings. P(grade <= k) = sigmoid(threshold_k - w . x): one weight vector
 for all thresholds, which stay in order. The expected severity is the sum of P(grade > k).
 
-Grades: 0 for rows labelled clean; rows labelled toxic are 1 or 2, below or from the median share of words that carry a
-marker, since the labels themselves only say toxic or not. The model is fitted on at most about ``MOST_LABELLED``
+Grades: 0 for rows labelled clean; rows labelled toxic are 1 or 2, up to or above the median number of different words
+that carry a marker, since the labels themselves only say toxic or not. The model is fitted on at most about ``MOST_LABELLED``
 labelled rows, picked by a hash of doc_id; every document is scored over its whole text.
 """
 
@@ -45,7 +45,7 @@ class Model:
     thresholds: list[float]
 
 
-def fit_ordinal(rows: list[list[int]], grades: list[int], n_features: int, levels: int, steps: int = 400, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: list[list[int]], grades: list[int], n_features: int, levels: int, steps: int = 1500, l2: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds that maximise the likelihood, by full-batch Adam. ``rows``: indices of present features."""
     y = np.asarray(grades)
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -101,17 +101,16 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, share = [], []
+            found, hits = [], []
             for text in batch.column(0).to_pylist():
-                words = _WORDS(text.lower())
-                marked = {w: got for w in set(words) if (got := [index[f] for f in word_features(w) if f in index])}
+                marked = {w: got for w in set(_WORDS(text.lower())) if (got := [index[f] for f in word_features(w) if f in index])}
                 found.append(sorted({i for got in marked.values() for i in got}))
-                share.append(sum(w in marked for w in words) / max(1, len(words)))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), pa.array(share, pa.float64()), batch.column(1).cast(pa.int32())], names=["found", "share", "toxic"])
+                hits.append(len(marked))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), pa.array(hits, pa.int32()), batch.column(1).cast(pa.int32())], names=["found", "hits", "toxic"])
 
-    got = rows.mapInArrow(keep, "found array<int>, share double, toxic int").orderBy("toxic", "share", "found").toArrow().to_pylist()
-    median = float(np.median([r["share"] for r in got if r["toxic"] > 0]))
-    grades = [0 if r["toxic"] <= 0 else 1 + (r["share"] >= median) for r in got]
+    got = rows.mapInArrow(keep, "found array<int>, hits int, toxic int").orderBy("toxic", "hits", "found").toArrow().to_pylist()
+    median = float(np.median([r["hits"] for r in got if r["toxic"] > 0]))
+    grades = [0 if r["toxic"] <= 0 else 1 + (r["hits"] > median) for r in got]
     weights, thresholds = fit_ordinal([r["found"] for r in got], grades, len(features), 3)
     return Model(dict(zip(features, weights.tolist(), strict=True)), thresholds.tolist())
 
