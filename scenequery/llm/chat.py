@@ -39,19 +39,21 @@ def reply_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     nodes = nodes.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     there = nodes.select(F.col("tree").alias("t"), F.col("node").alias("p"))
     step = nodes.join(there, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("p")), "left").select("tree", "node", F.col("p").alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total"))
-    step = common.staged(step, "reply-steps")
-    first, jumps = step, []
-    while (open_rows := step.filter("up is not null").count()) > 0:
-        if 2 ** len(jumps) > 2 * (rows := step.count()) and open_rows:
+    first = common.staged(step, "reply-steps")
+    rows, jumps = first.count(), []
+    at_root, climbing = first.filter("up is null"), first.filter("up is not null")
+    while climbing.count() > 0:
+        if 2 ** len(jumps) > 2 * rows:
             raise ValueError(f"parents form a circle among {rows} rows")
-        jumps.append(step.filter("up is not null").select("tree", "node", "up"))
-        above = step.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("next"), F.col("depth").alias("d"), F.col("total").alias("s"))
-        step = step.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")), "left").select(
-            "tree", "node", F.col("next").alias("up"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("s", F.lit(0.0))).alias("total")
+        jumps.append(climbing.select("tree", "node", "up"))
+        above = at_root.unionByName(climbing).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("next"), F.col("depth").alias("d"), F.col("total").alias("s"))
+        step = climbing.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n"))).select(
+            "tree", "node", F.col("next").alias("up"), (F.col("depth") + F.col("d")).alias("depth"), (F.col("total") + F.col("s")).alias("total")
         )
         step = common.staged(step, "reply-steps")
+        at_root, climbing = at_root.unionByName(step.filter("up is null")), step.filter("up is not null")
     parents = first.filter("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("p")).distinct()
-    leaves = step.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
+    leaves = at_root.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
     ranked = leaves.withColumn("branch", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "node")))
     path = ranked.filter(F.col("branch") <= branches).select("tree", F.col("node").alias("leaf"), "branch", "node", "depth")
     for power in reversed(range(len(jumps))):

@@ -6,13 +6,19 @@ from . import chat
 from .bpe import op4_byte_bpe
 from .chat import op7_reply_trees
 from .dac import op3_dac_tokens
+from .language import op10_viterbi_language
+from .mixing import op9_sainte_lague
 from .ring import op8_bounded_ring
+from .toxicity import op6_ordinal_toxicity
 
 QUERIES = {
     "op3_dac_tokens": op3_dac_tokens,
     "op4_byte_bpe": op4_byte_bpe,
+    "op6_ordinal_toxicity": op6_ordinal_toxicity,
     "op7_reply_trees": op7_reply_trees,
     "op8_bounded_ring": op8_bounded_ring,
+    "op9_sainte_lague": op9_sainte_lague,
+    "op10_viterbi_language": op10_viterbi_language,
 }
 
 ORACLE_SQL: dict[str, str] = {
