@@ -8,10 +8,14 @@ from .chat import op7_reply_trees
 from .dac import op3_dac_tokens
 from .language import op10_viterbi_language
 from .mixing import op9_sainte_lague
+from .jaccard import op1_signature_trees
 from .ring import op8_bounded_ring
 from .toxicity import op6_ordinal_toxicity
+from .webp import op2_lossless_webp
 
 QUERIES = {
+    "op1_signature_trees": op1_signature_trees,
+    "op2_lossless_webp": op2_lossless_webp,
     "op3_dac_tokens": op3_dac_tokens,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_ordinal_toxicity": op6_ordinal_toxicity,
