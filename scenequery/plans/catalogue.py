@@ -1,6 +1,6 @@
-"""Registered queries by name, with the SQL that checks them."""
+"""All registered queries by name, with the SQL that checks them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import geo, learning, neighbourhood, radiometric, raster, search, strings  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
