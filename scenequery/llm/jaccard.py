@@ -47,8 +47,8 @@ def _powers(base: int, n: int, kept: dict = {}) -> np.ndarray:  # noqa: B006
     return kept[base][:n]
 
 
-def shingles(text: str | None, n: int = NGRAM) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's word n-grams; with fewer words, of the whole sequence."""
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of a text's words, A-Z in lower case, in order."""
     raw = np.frombuffer(text.encode(), np.uint8) if text else np.zeros(0, np.uint8)
     lower = raw + (((raw >= 65) & (raw <= 90)) * np.uint8(32))
     inside = (lower != 32) & ((lower < 9) | (lower > 13))
@@ -56,10 +56,17 @@ def shingles(text: str | None, n: int = NGRAM) -> np.ndarray:
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
         return np.zeros(0, np.uint64)
-    # hash of a word: its bytes as digits from its end, so the same wherever it stands
+    # a word's bytes count as digits from its start, so it hashes the same wherever it stands
     letters = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(lower.astype(np.uint64) + _MIX[0]) * _powers(_P, len(lower)))])
     inverse = _powers(pow(_P, -1, 1 << 64), len(lower) + 1)
-    words = _mixed((letters[ends] - letters[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    return _mixed((letters[ends] - letters[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
+def shingles(text: str | None, n: int = NGRAM) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's word n-grams; with fewer words, of the whole sequence."""
+    words = word_hashes(text)
+    if not len(words):
+        return words
     width = min(n, len(words))
     found = np.zeros(len(words) - width + 1, np.uint64)
     for k in range(width):

@@ -10,6 +10,7 @@ from .language import op10_viterbi_language
 from .mixing import op9_sainte_lague
 from .jaccard import op1_signature_trees
 from .ring import op8_bounded_ring
+from .search import op5_block_max_bm25
 from .toxicity import op6_ordinal_toxicity
 from .webp import op2_lossless_webp
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op2_lossless_webp": op2_lossless_webp,
     "op3_dac_tokens": op3_dac_tokens,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_block_max_bm25": op5_block_max_bm25,
     "op6_ordinal_toxicity": op6_ordinal_toxicity,
     "op7_reply_trees": op7_reply_trees,
     "op8_bounded_ring": op8_bounded_ring,
