@@ -22,12 +22,12 @@ SMALL_ENOUGH_TO_SEND = 500_000  # ids of 8 bytes: 4 MB
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.grade(docs, model).filter(~F.col("toxic")).select(*docs.columns)
+    return toxicity.grade(docs, model, prefix="_stage_").filter(~F.col("_stage_toxic")).select(*docs.columns)
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    labelled = language.identify(docs, language.learn(docs))
-    return labelled.filter((F.col("lang_pred") != language.NO_LANGUAGE) & (F.col("score") >= LEAST_LANGUAGE_SHARE)).select(*docs.columns)
+    labelled = language.identify(docs, language.learn(docs), prefix="_stage_")
+    return labelled.filter((F.col("_stage_lang_pred") != language.NO_LANGUAGE) & (F.col("_stage_score") >= LEAST_LANGUAGE_SHARE)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +37,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(docs).withColumn("_times", F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int"))
-    return mixed.filter("_times > 0").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    mixed = mixing.mix(docs, prefix="_stage_")
+    times = F.floor(F.col("_stage_taken") / F.greatest("_stage_size", F.lit(1)) + 0.5).cast("int")
+    return mixed.withColumn("_stage_times", times).filter("_stage_times > 0").withColumn("_stage_time", F.explode(F.sequence(F.lit(1), F.col("_stage_times")))).select(*docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

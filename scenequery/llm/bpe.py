@@ -121,7 +121,9 @@ def frequent_words(docs: DataFrame, pattern: str, most: int = FREQUENT, sampled:
 def encode(docs: DataFrame, ranks_path: str, pattern: str, most_frequent: int = FREQUENT) -> DataFrame:
     """Ids of every document: (doc_id, ids), ids as little-endian unsigned 32-bit integers in one binary value.
 
-    A null text counts as empty and gives no ids. Rows that repeat, also with the same doc_id, are kept apart.
+    A null text counts as empty and gives no ids. Rows that repeat, also with the same doc_id, are kept apart
+    by their place in ``docs``. It is read twice by the same plan and must give the same rows both times, as tables and
+    deterministic operations do.
     """
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), common.text_or_empty().alias("text"))
@@ -133,7 +135,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, most_frequent: int =
         split, table = _splitter(pattern), known.value
         for batch in _sliced(batches):
             at_row, others, places = [], [], []
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 here = dict.fromkeys(w for w in split(text) if w not in table)
                 at_row += [row] * len(here)
                 others += here
@@ -172,7 +174,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, most_frequent: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "ids"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    others = rows.select("row", "text").mapInArrow(explode, "row long, place int, word string")
+    others = rows.mapInArrow(explode, "row long, place int, word string")
     by_word = others.groupBy("word").agg(F.collect_list(F.struct("row", "place")).alias("at"))
     back = by_word.mapInArrow(merge_words, "ids binary, at array<struct<row: long, place: int>>").select("ids", F.explode("at").alias("at"))
     by_row = back.groupBy(F.col("at.row").alias("row")).agg(F.collect_list(F.struct(F.col("at.place").alias("place"), "ids")).alias("others"))

@@ -153,14 +153,16 @@ def viterbi(scores: np.ndarray, word: np.ndarray, lengths: np.ndarray, penalty:
     return labels
 
 
-def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None, spans: bool = False) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None, spans: bool = False, prefix: str = "") -> DataFrame:
     """Adds lang_pred and score (and spans: array of first word, words, lang) to every row of ``docs`` (text).
 
     ``und`` with score 0 for a null text, one without letters, or without a model. Words are runs of letters. Ties go to the
-    language that is lower in code-point order.
+    language that is lower in code-point order. The new names start with ``prefix``; a column that already has such a name
+    is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = docs.columns if keep is None else keep
+    added = [prefix + c for c in ("lang_pred", "score", "spans")][: 2 + spans]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -202,10 +204,11 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
                     cuts = [0, *(np.flatnonzero(np.diff(labels[a:b])) + 1).tolist(), b - a]
                     runs.append([{"first": i, "words": j - i, "lang": names[labels[a + i]]} for i, j in zip(cuts, cuts[1:], strict=False) if j > i])
                 out.append(pa.array(runs, pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))))
-            yield pa.RecordBatch.from_arrays(out, names=[*keep, "lang_pred", "score", *["spans"] * spans])
+            yield pa.RecordBatch.from_arrays(out, names=[*keep, *added])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(keep).schema)
-    return docs.mapInArrow(label, f"{kept}, lang_pred string, score double" + ", spans array<struct<first: int, words: int, lang: string>>" * spans)
+    types = ("string", "double", "array<struct<first: int, words: int, lang: string>>")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(keep).schema] + [f"`{c}` {t}" for c, t in zip(added, types, strict=False)]
+    return docs.mapInArrow(label, ", ".join(fields))
 
 
 def op10_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:

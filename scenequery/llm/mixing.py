@@ -84,14 +84,18 @@ def word_count(column: str = "text"):
     return F.regexp_count(common.text_or_empty(column), F.lit(common.WORD)).cast("long")
 
 
-def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, seed: int = SEED, prefix: str = "") -> DataFrame:
     """Adds size, source_size, target and taken to every row of ``docs`` (doc_id, text, source).
 
+    The new names start with ``prefix``; a column that already has such a name is replaced.
+
     taken: the words the mix takes of the document, from 0 to twice its size. A null text has no words; null is a
     source of its own, the last. The same rows give the same mix, in any order and partitioning.
     """
     spark = docs.sparkSession
-    sized = docs.withColumn("size", word_count())
+    added = ["size", "source_size", "target", "taken"]
+    kept = [c for c in docs.columns if c not in {prefix + a for a in added}]
+    sized = docs.select("doc_id", "source", word_count().alias("size"), F.struct(*kept).alias("_row"))
     totals = sized.groupBy("source").agg(F.sum("size").alias("n")).collect()
     totals.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     targets = mix_targets([r["n"] for r in totals], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(totals))])
@@ -120,7 +124,7 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     touched = F.sequence(F.floor(F.col("_from") / size), F.floor((F.col("_to") - 1) / size))
     partly = F.aggregate(touched, F.lit(0).cast("long"), lambda acc, k: acc + F.when(chosen(k), overlap(k)).otherwise(F.lit(0)))
     taken = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("_full") * F.col("size") + partly).cast("long")
-    return placed.withColumn("taken", taken).select(*docs.columns, "size", "source_size", "target", "taken")
+    return placed.withColumn("taken", taken).select("_row.*", *(F.col(a).alias(prefix + a) for a in added))
 
 
 def op9_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:

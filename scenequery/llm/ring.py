@@ -52,7 +52,7 @@ def overflow(nodes: list[tuple[int, int]], counts: dict[tuple[int, int], int], r
 
 
 def assign(keyed: DataFrame, key: str, shards: int, ties: list[str]) -> DataFrame:
-    """Adds shard and slot (gapless from 0 in each shard). Rows with the same key are ordered by ``ties``; a null key is a key.
+    """Adds shard and slot (gapless from 0 in each shard); columns that already have these names are replaced. Rows with the same key are ordered by ``ties``; a null key is a key.
 
     Law: with n rows, every shard gets n // shards or one more.
     """
@@ -65,15 +65,17 @@ def assign(keyed: DataFrame, key: str, shards: int, ties: list[str]) -> DataFram
             arc += 1
         arc_of.append(arc % len(nodes))
     table = F.lit(arc_of)
-    placed = keyed.withColumn("_h", F.xxhash64(F.lit(SEED), F.col(key))).withColumn("_arc", F.element_at(table, (F.pmod("_h", F.lit(PLACES)) + 1).cast("int"))).withColumn("_step", F.pmod(F.shiftrightunsigned("_h", 12), F.lit(STEPS)).cast("int"))
+    kept = [c for c in keyed.columns if c not in ("shard", "slot")]
+    packed = keyed.select(F.col(key).alias("_key"), F.struct(*ties).alias("_ties") if ties else F.lit(0).alias("_ties"), F.struct(*kept).alias("_row"))
+    placed = packed.withColumn("_h", F.xxhash64(F.lit(SEED), "_key")).withColumn("_arc", F.element_at(table, (F.pmod("_h", F.lit(PLACES)) + 1).cast("int"))).withColumn("_step", F.pmod(F.shiftrightunsigned("_h", 12), F.lit(STEPS)).cast("int"))
     counts = {(r["_arc"], r["_step"]): r["count"] for r in placed.groupBy("_arc", "_step").count().collect()}
     n = sum(counts.values())
     cells = overflow(nodes, counts, [n // shards + (s < n % shards) for s in range(shards)])
     spans = spark.createDataFrame(cells, "_arc int, _step int, first long, shard int, slot long")
     spans = spans.groupBy("_arc", "_step").agg(F.sort_array(F.collect_list(F.struct("first", "shard", "slot"))).alias("_spans"))
-    ranked = placed.withColumn("_rank", F.row_number().over(Window.partitionBy("_arc", "_step").orderBy("_h", key, *ties)).cast("long") - 1)
+    ranked = placed.withColumn("_rank", F.row_number().over(Window.partitionBy("_arc", "_step").orderBy("_h", "_key", "_ties")).cast("long") - 1)
     joined = ranked.join(F.broadcast(spans), ["_arc", "_step"]).withColumn("_span", F.element_at(F.filter("_spans", lambda s: s["first"] <= F.col("_rank")), -1))
-    return joined.select(*keyed.columns, F.col("_span.shard").alias("shard"), (F.col("_span.slot") + F.col("_rank") - F.col("_span.first")).alias("slot"))
+    return joined.select("_row.*", F.col("_span.shard").alias("shard"), (F.col("_span.slot") + F.col("_rank") - F.col("_span.first")).alias("slot"))
 
 
 def op8_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:

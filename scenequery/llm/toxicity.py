@@ -115,14 +115,17 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model
     return Model(dict(zip(features, weights.tolist(), strict=True)), thresholds.tolist())
 
 
-def grade(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
+def grade(docs: DataFrame, model: Model | None, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """Adds grade, expected_severity (0 to 2), score (P(grade >= 1)) and toxic to every row (of whose columns ``keep`` stay, or all).
 
+    The new names start with ``prefix``; a column that already has such a name is replaced.
+
     A null or empty text has no features and gets what the thresholds alone say. Without a model all rows are clean.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    keep = docs.columns if keep is None else keep
+    added = [prefix + c for c in ("grade", "expected_severity", "score", "toxic")]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, seen = shared.value, {}
@@ -145,11 +148,11 @@ def grade(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -
             grades = (above >= 0.5).sum(1)
             yield pa.RecordBatch.from_arrays(
                 [*batch.select(keep).columns, pa.array(grades, pa.int32()), pa.array(above.sum(1), pa.float64()), pa.array(above[:, 0], pa.float64()), pa.array(above[:, 0] >= REJECT, pa.bool_())],
-                names=[*keep, "grade", "expected_severity", "score", "toxic"],
+                names=[*keep, *added],
             )
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(keep).schema)
-    return docs.mapInArrow(score, f"{kept}, grade int, expected_severity double, score double, toxic boolean")
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(keep).schema]
+    return docs.mapInArrow(score, ", ".join([*kept, *(f"`{c}` {t}" for c, t in zip(added, ("int", "double", "double", "boolean"), strict=True))]))
 
 
 def op6_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
