@@ -8,8 +8,9 @@
    pairs of nodes are walked down together, unless their sizes or the bits they share rule out 75 %, or all they hold is
    one class already. Blocks of classes with the same minimal hash, salted where large, come first and join most of what
    belongs together.
-4. Then every two classes that still share enough prefix shingles are compared: the members of the larger one in salted
-   blocks, the members of the smaller one in each. Nothing is left out, so the result is exact.
+4. Then every two classes that still share enough prefix shingles are compared. Where a shingle is rare, its pairs of classes
+   are listed: the members of the larger class come in salted blocks, those of the smaller one in each. Where many classes
+   have it, no pairs are listed: all members meet in blocks of two salts each. Nothing is left out, so the result is exact.
 """
 
 from __future__ import annotations
@@ -25,8 +26,11 @@ from pyspark.sql.window import Window
 from . import common
 
 NGRAM = 5
-BLOCK = 512
+BLOCK = 4096
+LISTED = 48
 FANOUT = 8
+AT_ONCE = 1024
+MOST_BITS = 15
 FLUSH = 2_000_000
 SMALL_ENOUGH_TO_SEND = 500_000  # ids of 8 bytes: 4 MB
 
@@ -105,7 +109,7 @@ def link_block(sets: list[np.ndarray], classes: np.ndarray) -> list[tuple[int, i
     sets = [sets[i] for i in order]
     _, label = np.unique(classes[order], return_inverse=True)
     sizes = np.array([len(s) for s in sets])
-    bits = max(10, int(4 * sizes.max() - 1).bit_length())
+    bits = min(MOST_BITS, max(10, int(8 * sizes.max() - 1).bit_length()))
     maps = np.zeros((len(sets), 1 << (bits - 6)), np.uint64)
     for i, s in enumerate(sets):
         flags = np.zeros(1 << bits, bool)
@@ -118,21 +122,17 @@ def link_block(sets: list[np.ndarray], classes: np.ndarray) -> list[tuple[int, i
         m, low, high, gone = levels[-1]
         levels.append((np.bitwise_or.reduceat(m, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.maximum.reduceat(gone, cut)))
     links: list[tuple[int, int]] = []
-    left, right = np.zeros(1, np.int64), np.zeros(1, np.int64)
-    for level in range(len(levels) - 1, -1, -1):
+    steps = np.arange(FANOUT)
+
+    def walk(level: int, left: np.ndarray, right: np.ndarray) -> None:
         m, low, high, gone = levels[level]
-        if level < len(levels) - 1:  # the children of the pairs that are left
-            a = (left[:, None, None] * FANOUT + np.arange(FANOUT)[None, :, None] + np.zeros((1, 1, FANOUT), np.int64)).ravel()
-            b = (right[:, None, None] * FANOUT + np.arange(FANOUT)[None, None, :] + np.zeros((1, FANOUT, 1), np.int64)).ravel()
-            fits = (a <= b) & (b < len(m))
-            left, right = a[fits], b[fits]
-        span = FANOUT**level
-        cut = np.arange(0, len(sets), span)
-        first, last = np.minimum.reduceat(label, cut), np.maximum.reduceat(label, cut)
+        if level:
+            cut = np.arange(0, len(sets), FANOUT**level)
+            first, last = np.minimum.reduceat(label, cut), np.maximum.reduceat(label, cut)
+        else:
+            first = last = label
         one = (first[left] == last[left]) & (first[right] == last[right]) & (first[left] == first[right])
         fits = ~one & (4 * high[left] >= 3 * low[right]) & (4 * high[right] >= 3 * low[left])
-        if level == 0:
-            fits &= left < right
         left, right = left[fits], right[fits]
         kept = np.zeros(len(left), bool)
         for at in range(0, len(left), 4096):
@@ -141,12 +141,25 @@ def link_block(sets: list[np.ndarray], classes: np.ndarray) -> list[tuple[int, i
             most = np.minimum(common_bits + np.minimum(gone[x], gone[y]), np.minimum(high[x], high[y]))
             kept[at : at + 4096] = 7 * most >= 3 * (low[x] + low[y])
         left, right = left[kept], right[kept]
-    for i, j in zip(left.tolist(), right.tolist(), strict=True):
-        if label[i] != label[j]:
-            shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * shared >= 75 * (len(sets[i]) + len(sets[j]) - shared):
-                links.append((order[i], order[j]))
-                label[label == label[j]] = label[i]
+        if level:
+            n = len(levels[level - 1][0])
+            for at in range(0, len(left), AT_ONCE):
+                x, y = left[at : at + AT_ONCE, None, None] * FANOUT, right[at : at + AT_ONCE, None, None] * FANOUT
+                x, y = np.broadcast_arrays(x + steps[:, None], y + steps)
+                x, y = x.ravel(), y.ravel()
+                fits = (y < n) & ((x <= y) if level > 1 else (x < y))
+                walk(level - 1, x[fits], y[fits])
+            return
+        for i, j in zip(left.tolist(), right.tolist(), strict=True):
+            if label[i] != label[j]:
+                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * shared >= 75 * (len(sets[i]) + len(sets[j]) - shared):
+                    links.append((order[i], order[j]))
+                    label[label == label[j]] = label[i]
+
+    root = np.zeros(1, np.int64)
+    if len(levels) > 1:
+        walk(len(levels) - 1, root, root)
     return links
 
 
@@ -323,25 +336,33 @@ def _grams_of(docs: DataFrame, left: DataFrame) -> DataFrame:
 def _remaining(left: DataFrame, label: DataFrame, grams: DataFrame) -> DataFrame:
     """Blocks in which all classes that still share enough prefix shingles meet: b1, b2, key, class, grams.
 
-    Of each class's tokens, rarest first, all but ``least - 1`` are compared: one of them is shared with every partner.
+    Of each set's tokens, rarest first, all but ``least - 1`` are looked at: one of them is shared with every partner, and
+    the first that two partners share is among those of both.
     """
     labelled = _labelled(left.select("key", "n_shingles", "least", "tokens"), label)
-    about = labelled.groupBy("class").agg(F.count("*").alias("members"), F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"), F.min("least").alias("least"))
-    held = labelled.select("class", F.explode("tokens").alias("token")).distinct()
-    often = held.groupBy("token").agg(F.count("*").alias("often")).filter("often > 1")
-    ranked = held.join(often, "token").withColumn("rank", F.row_number().over(Window.partitionBy("class").orderBy("often", "token")))
-    counted = ranked.groupBy("class").agg(F.count("*").alias("held"))
-    looked = ranked.join(counted, "class").join(about, "class").filter(F.col("rank") <= F.col("held") - F.col("least") + 1).select("token", "class", "low", "high", "members")
-    other = looked.select("token", *(F.col(c).alias(f"{c}2") for c in ("class", "low", "high", "members")))
-    pairs = looked.join(other, "token").filter((F.col("class") < F.col("class2")) & (4 * F.col("high") >= 3 * F.col("low2")) & (4 * F.col("high2") >= 3 * F.col("low")))
+    about = labelled.groupBy("class").agg(F.count("*").alias("members"), F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
+    held = labelled.select("key", "class", "least", F.explode("tokens").alias("token"))
+    often = held.select("class", "token").distinct().groupBy("token").agg(F.count("*").alias("often")).filter("often > 1")
+    by_key = Window.partitionBy("key")
+    ranked = held.join(often, "token").withColumn("rank", F.row_number().over(by_key.orderBy("often", "token"))).withColumn("held", F.count("*").over(by_key))
+    looked = common.staged(ranked.filter(F.col("rank") <= F.col("held") - F.col("least") + 1).select("token", "often", "key", "class"), "looked")
+    rare = looked.filter(F.col("often") <= LISTED).select("token", "class").distinct().join(about, "class")
+    other = rare.select("token", *(F.col(c).alias(f"{c}2") for c in ("class", "low", "high", "members")))
+    pairs = rare.join(other, "token").filter((F.col("class") < F.col("class2")) & (4 * F.col("high") >= 3 * F.col("low2")) & (4 * F.col("high2") >= 3 * F.col("low")))
     pairs = pairs.select("class", "members", "class2", "members2").distinct()
     first = F.col("members") >= F.col("members2")
     pairs = common.staged(pairs.select(F.when(first, F.col("class")).otherwise(F.col("class2")).alias("big"), F.when(first, F.col("class2")).otherwise(F.col("class")).alias("small"), F.greatest("members", "members2").alias("members")), "pairs")
-    salts = F.ceil(F.col("members") / BLOCK)
+    salts = F.ceil(F.col("members") / (BLOCK // 2))
     members = labelled.select("class", "key")
     bigs = pairs.select("big", "members").distinct().join(members.withColumnRenamed("class", "big"), "big").select(F.col("big").alias("b1"), F.pmod(F.xxhash64(F.lit(3), "key"), salts).cast("long").alias("b2"), "key", F.col("big").alias("class"))
     smalls = pairs.join(members.withColumnRenamed("class", "small"), "small").select(F.col("big").alias("b1"), F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("b2"), "key", F.col("small").alias("class"))
-    return bigs.unionByName(smalls).join(grams.select("key", "grams"), "key")
+    # a shingle that many classes have: the sets that look at it in blocks of two salts, every two salts in one
+    held_by = looked.filter(F.col("often") > LISTED)
+    sizes = held_by.groupBy("token").agg(F.ceil(F.count("*") / (BLOCK // 2)).alias("salts"))
+    salted = held_by.join(sizes, "token").withColumn("salt", F.pmod(F.xxhash64(F.lit(4), "key"), F.col("salts")))
+    both = F.transform(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1), lambda o: F.least(o, F.col("salt")) * F.col("salts") + F.greatest(o, F.col("salt")))
+    met = salted.select(F.col("token").alias("b1"), F.explode(both).alias("b2"), "key", "class")
+    return bigs.unionByName(smalls).unionByName(met).join(grams.select("key", "grams"), "key")
 
 
 def op1_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
