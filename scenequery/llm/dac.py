@@ -147,7 +147,8 @@ class WordTokenizer:
         spaces = "\\t-\\r \x85\xa0"
         self.pieces = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{spaces}{letters}{numbers}]+").findall
         self.simple = re.compile(f"[\\x00-{chr(0x12F)}{chr(0x131)}-{chr(0x24F)}]*").fullmatch
-        self.odd_space = re.compile(f"[\\x1c-\\x1f{common.WHITE_SPACE[4:]}]").search
+        # what str.split() takes for white space besides the six characters that end a word
+        self.odd_spaces = [chr(c) for c in range(0x110000) if chr(c).isspace() and not 9 <= c <= 13 and c != 32]
         self.words: dict[str, bytes] = {}
 
     def word(self, w: str) -> bytes:
@@ -157,7 +158,7 @@ class WordTokenizer:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 16-bit integers."""
-        words, found = self.words, text.split() if not self.odd_space(text) else re.findall(common.WORD, text)
+        words, found = self.words, re.findall(common.WORD, text) if any(c in text for c in self.odd_spaces) else text.split()
         try:
             return b"".join(map(words.__getitem__, found))
         except KeyError:
