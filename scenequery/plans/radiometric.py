@@ -210,13 +210,13 @@ def scatter_density(spark, sf_dir):
 
 
 
-@query(f"""WITH {PX}, f AS (SELECT 0 AS file, "row", col, v FROM px WHERE scene_id = 0 AND "row" < 60 UNION ALL SELECT 1, "row" - 20, col, v FROM px WHERE scene_id = 0 AND "row" >= 60)
-  SELECT "row", col, arg_max(v, file) AS v, CAST(max(file) AS INTEGER) AS from_file FROM f WHERE v IS NOT NULL AND v <> 0 GROUP BY 1, 2""")
+@query(f"""WITH {PX}, f AS (SELECT scene_id, 0 AS file, "row", col, v FROM px WHERE "row" < 60 UNION ALL SELECT scene_id, 1, "row" - 20, col, v FROM px WHERE "row" >= 60)
+  SELECT scene_id, "row", col, arg_max(v, file) AS v, CAST(max(file) AS INTEGER) AS from_file FROM f WHERE v IS NOT NULL AND v <> 0 GROUP BY 1, 2, 3""")
 def raster_mosaic(spark, sf_dir):
-    """Two overlapping files on one grid: the last one with a valid value wins."""
-    px = src.event_raster(spark, sf_dir).where("scene_id = 0")
-    files = px.where("row < 60").select(F.lit(0).alias("file"), "row", "col", "v").unionByName(px.where("row >= 60").select(F.lit(1).alias("file"), (F.col("row") - 20).alias("row"), "col", "v"))
-    return files.where(rad.nonzero(F.col("v")).isNotNull()).groupBy("row", "col").agg(F.max_by("v", "file").alias("v"), F.max("file").alias("from_file"))
+    """Two overlapping files on the grid of each scene: the last one with a valid value wins."""
+    second = F.col("row") >= 60
+    files = src.event_raster(spark, sf_dir).select("scene_id", F.when(second, 1).otherwise(0).alias("file"), F.when(second, F.col("row") - 20).otherwise(F.col("row")).alias("row"), "col", "v")
+    return files.where(rad.nonzero(F.col("v")).isNotNull()).groupBy("scene_id", "row", "col").agg(F.max_by("v", "file").alias("v"), F.max("file").alias("from_file"))
 
 
 @query(f"""WITH {PX}, s AS (SELECT scene_id, avg(v) AS mu, stddev_pop(v) AS sd FROM px WHERE v > 0 GROUP BY 1), l AS (SELECT scene_id, ln(1 + (sd / mu) ** 2) AS s2, ln(mu) - ln(1 + (sd / mu) ** 2) / 2 AS m FROM s)
