@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import colour
+from ..functions import colour, colormaps
 from ..functions import radiometry as rad
 from ..operators import cube
 from ..sources import adapters as src
@@ -231,3 +231,27 @@ def synthetic_histogram(spark, sf_dir):
     return b.select("scene_id", "bin", R(F.exp(F.col("m") + z * sd)).alias("centre"), R(F.exp(-0.5 * z * z)).alias("height"), R(F.exp(F.col("m") - 2.054 * sd)).alias("p2"), R(F.exp(F.col("m") + 2.054 * sd)).alias("p98"))
 
 
+
+
+def _colormap_sql() -> str:
+    polynomials = ", ".join(f"('{n}', {p}, {r}, {g}, {b})" for n, rows in colormaps.POLYNOMIALS.items() for p, (r, g, b) in enumerate(rows))
+    stops = ", ".join(f"('{n}', {a[0]}, {b[0]}, {', '.join(str(v) for v in (*a[1:], *b[1:]))})" for n, rows in colormaps.RAMPS.items() for a, b in zip(rows, rows[1:], strict=False))
+    byte = lambda x: f"CAST(floor(least(1.0, greatest(0.0, {x})) * 255 + 0.5) AS INTEGER)"
+    ramp = lambda c: byte(f"{c}0 + (t - p0) / (p1 - p0) * ({c}1 - {c}0)")
+    return f"""WITH {PX}, i AS (SELECT i AS idx, i / 255.0 AS t FROM range(256) x(i)), p AS (SELECT * FROM (VALUES {polynomials}) v(name, k, r, g, b)),
+      s AS (SELECT name, {', '.join(f'{c}::DOUBLE AS {c}' for c in ('p0', 'p1', 'r0', 'g0', 'b0', 'r1', 'g1', 'b1'))} FROM (VALUES {stops}) v(name, p0, p1, r0, g0, b0, r1, g1, b1)),
+      lut AS (SELECT name, idx, {byte('sum(r * pow(t, k))')} AS r, {byte('sum(g * pow(t, k))')} AS g, {byte('sum(b * pow(t, k))')} AS b FROM p, i GROUP BY name, idx
+        UNION ALL SELECT name, idx, {ramp('r')}, {ramp('g')}, {ramp('b')} FROM s, i WHERE t >= p0 AND (t < p1 OR p1 = 1)
+        UNION ALL SELECT 'phase', idx, {byte('0.5 + 0.5 * cos(2 * pi() * t)')}, {byte('0.5 + 0.5 * cos(2 * pi() * (t + 1.0 / 3))')}, {byte('0.5 + 0.5 * cos(2 * pi() * (t + 2.0 / 3))')} FROM i),
+      n AS (SELECT scene_id, CAST(floor({_T} * 255 + 0.5) AS INTEGER) AS idx, count(*) AS n FROM px WHERE v > 0 GROUP BY 1, 2)
+      SELECT scene_id, name AS colormap, round(sum(n * r) / sum(n), 3) AS r, round(sum(n * g) / sum(n), 3) AS g, round(sum(n * b) / sum(n), 3) AS b FROM n JOIN lut USING (idx) GROUP BY 1, 2"""
+
+
+@query(_colormap_sql())
+def colormap_means(spark, sf_dir):
+    """The mean colour of each scene in every polynomial, ramp and phase map; pixels are counted before the join."""
+    names = [*colormaps.POLYNOMIALS, *colormaps.RAMPS, "phase"]
+    px = src.event_raster(spark, sf_dir).where("v > 0").withColumn("idx", rad.half_up(rad.normalise(rad.db(F.col("v")), 5.0, 27.0) * 255).cast("int"))
+    counts = px.groupBy("scene_id", "idx").agg(F.count("*").alias("n"))
+    met = counts.join(F.broadcast(colormaps.tables(spark, names)), "idx")  # 256 rows a map
+    return met.groupBy("scene_id", "colormap").agg(*(R(F.sum(F.col("n") * F.col(c)) / F.sum("n"), 3).alias(c) for c in "rgb"))

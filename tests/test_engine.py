@@ -158,3 +158,19 @@ def test_streaming_statistics(spark, tmp_path):
     got = {(r.start, r.event_type): (r.n, round(r["mean"] or 0, 6)) for r in spark.table("window_stats").collect()}
     want = {(r.start, r.event_type): (r.n, round(r["mean"] or 0, 6)) for r in ingest.window_stats(events, "30 days", "60 days").collect()}
     assert got == want and got
+
+
+def test_colour_maps(spark):
+    from scenequery.functions import colormaps
+
+    rows = {(r.colormap, r.idx): (r.r, r.g, r.b) for r in colormaps.tables(spark).collect()}
+    assert len(rows) == 256 * 18 and all(0 <= c <= 255 for v in rows.values() for c in v)
+    assert rows["grayscale", 128] == (128, 128, 128) and rows["label", 0] == (0, 0, 0) and rows["cubehelix", 0] == (3, 2, 1)
+    import colorsys
+
+    for k in range(1, 256):
+        want = colorsys.hsv_to_rgb((k * colormaps.GOLDEN) % 1, 0.7 + 0.3 * ((k * 13) % 7) / 6, 0.75 + 0.25 * ((k * 7) % 5) / 4)
+        assert all(abs(a - b * 255) <= 0.51 for a, b in zip(rows["label", k], want, strict=True))
+    assert rows["viridis", 0] == (71, 1, 85)
+    with pytest.raises(ValueError):
+        colormaps.colours("none", F.lit(0.5))
