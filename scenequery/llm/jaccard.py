@@ -273,7 +273,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text).
 
     component_id is the smallest doc_id that links reach, 100 * shared >= 75 * union of distinct 5-word shingles. Null texts
-    and texts without words have no shingles and link with nothing. Rows that repeat are kept.
+    and texts without words have no shingles and link with nothing. Rows that repeat are kept. Rows without a doc_id are
+    named by those they share a shingle set with, and do not link any further.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
