@@ -1,0 +1,52 @@
+"""Checks of JSON documents against a schema: types, required members, enumerations, ranges, lengths, patterns, items."""
+
+from __future__ import annotations
+
+import re
+
+TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
+
+
+def _is(value, kind: str) -> bool:
+    if kind in ("number", "integer"):
+        return isinstance(value, (int, float)) and not isinstance(value, bool) and (kind == "number" or float(value).is_integer())
+    return isinstance(value, TYPES[kind])
+
+
+def problems(value, schema: dict, at: str = "$", root: dict | None = None) -> list[str]:
+    """What is wrong with a document, a line each; nothing where it is valid."""
+    root = root or schema
+    if "$ref" in schema:
+        target = root
+        for part in schema["$ref"].removeprefix("#/").split("/"):
+            target = target[part]
+        return problems(value, target, at, root)
+    kinds = schema.get("type")
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    if kinds and not any(_is(value, k) for k in kinds):
+        return [f"{at}: not of type {' or '.join(kinds)}"]
+    found = []
+    if "enum" in schema and value not in schema["enum"]:
+        found.append(f"{at}: not one of {schema['enum']}")
+    if "const" in schema and value != schema["const"]:
+        found.append(f"{at}: not {schema['const']!r}")
+    if _is(value, "number"):
+        found += [f"{at}: below {schema['minimum']}"] * ("minimum" in schema and value < schema["minimum"]) + [f"{at}: above {schema['maximum']}"] * ("maximum" in schema and value > schema["maximum"])
+    if isinstance(value, str):
+        found += [f"{at}: too short"] * (len(value) < schema.get("minLength", 0)) + [f"{at}: not of the form {schema.get('pattern')}"] * ("pattern" in schema and not re.search(schema["pattern"], value))
+    if isinstance(value, list):
+        found += [f"{at}: too few items"] * (len(value) < schema.get("minItems", 0)) + [f"{at}: too many items"] * (len(value) > schema.get("maxItems", len(value)))
+        if isinstance(schema.get("items"), dict):
+            for i, item in enumerate(value):
+                found += problems(item, schema["items"], f"{at}[{i}]", root)
+    if isinstance(value, dict):
+        known = schema.get("properties", {})
+        found += [f"{at}.{name}: missing" for name in schema.get("required", []) if name not in value]
+        for name, member in value.items():
+            if name in known:
+                found += problems(member, known[name], f"{at}.{name}", root)
+            elif schema.get("additionalProperties") is False:
+                found.append(f"{at}.{name}: unknown")
+            elif isinstance(schema.get("additionalProperties"), dict):
+                found += problems(member, schema["additionalProperties"], f"{at}.{name}", root)
+    return found

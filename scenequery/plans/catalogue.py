@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import geo, grids, learning, neighbourhood, radiometric, raster, search, strings  # noqa: F401
+from . import extras, geo, grids, learning, neighbourhood, radiometric, raster, search, strings  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401

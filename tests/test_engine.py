@@ -174,3 +174,14 @@ def test_colour_maps(spark):
     assert rows["viridis", 0] == (71, 1, 85)
     with pytest.raises(ValueError):
         colormaps.colours("none", F.lit(0.5))
+
+
+def test_schema_checks():
+    from scenequery.functions import documents
+
+    schema = {"type": "object", "required": ["id", "rate"], "additionalProperties": False, "definitions": {"part": {"type": "array", "minItems": 1, "items": {"type": "string", "pattern": "^a"}}}, "properties": {"id": {"type": "string", "minLength": 1}, "rate": {"type": ["number", "null"], "minimum": 0, "maximum": 1}, "parts": {"$ref": "#/definitions/part"}, "kind": {"enum": ["x", "y"]}}}
+    assert documents.problems({"id": "a", "rate": 0.5, "parts": ["a", "ab"], "kind": "x"}, schema) == []
+    assert documents.problems({"id": "a", "rate": None}, schema) == []
+    bad = documents.problems({"id": "", "rate": 2, "parts": ["b", 3], "kind": "z", "more": 1}, schema)
+    assert [b.split(":")[0] for b in bad] == ["$.id", "$.rate", "$.parts[0]", "$.parts[1]", "$.kind", "$.more"]
+    assert documents.problems([], schema) == ["$: not of type object"] and documents.problems({"id": "a", "rate": True}, schema) == ["$.rate: not of type number or null"]
