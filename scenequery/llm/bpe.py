@@ -50,13 +50,8 @@ class Splitter:
         return self.low(text) if self.is_low(text) else self.any(text)
 
 
-_KEPT: dict = {}
-
-
 def _splitter(pattern: str) -> Splitter:
-    if pattern not in _KEPT:
-        _KEPT[pattern] = Splitter(pattern)
-    return _KEPT[pattern]
+    return common.kept("bpe", ("split", pattern), lambda: Splitter(pattern))
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -66,13 +61,15 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 def _merger(path: str, pattern: str):
     """A word -> its ids packed as little-endian unsigned integers of ``_width`` bytes."""
-    if (path, pattern) not in _KEPT:
+
+    def build():
         import tiktoken
 
         ranks = read_ranks(path)
-        core, kind = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe, f"<u{_width(len(token_bytes(path)))}"
-        _KEPT[path, pattern] = lambda w: np.asarray(core.encode_single_piece(w.encode()), kind).tobytes()
-    return _KEPT[path, pattern]
+        core, kind = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe, f"<u{_width(max(ranks.values()) + 1)}"
+        return lambda w: np.asarray(core.encode_single_piece(w.encode()), kind).tobytes()
+
+    return common.kept("bpe", ("merge", path, pattern), build)
 
 
 def _width(vocabulary: int) -> int:
@@ -128,11 +125,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, most_frequent: int =
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), common.text_or_empty().alias("text"))
     words = frequent_words(rows, pattern, most_frequent)
-    known, n_known = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)}), len(words)
-    run = uuid.uuid4().hex
+    known, n_known, run = spark.sparkContext.broadcast(pa.array(words, pa.string())), len(words), uuid.uuid4().hex
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, table = _splitter(pattern), known.value
+        split, table = _splitter(pattern), _known_numbers(known, run)
         for batch in _sliced(batches):
             at_row, others, places = [], [], []
             for row, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -143,7 +139,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, most_frequent: int =
             yield pa.RecordBatch.from_arrays([pa.array(at_row, pa.int64()), pa.array(places, pa.int32()), pa.array(others, pa.string())], names=["row", "place", "word"])
 
     def sequence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, table = _splitter(pattern), known.value
+        split, table = _splitter(pattern), _known_numbers(known, run)
         for batch in _sliced(batches):
             out = []
             for text in batch.column(2).to_pylist():
@@ -183,12 +179,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, most_frequent: int =
     return joined.mapInArrow(fill, f"doc_id {key}, ids binary")
 
 
+def _known_numbers(known, run: str) -> dict[str, int]:
+    """The number of each broadcast word, set up once in each worker for a run; the broadcast itself is one compact array."""
+    return common.kept("bpe", ("numbers", run), lambda: {w: i for i, w in enumerate(known.value.to_pylist())})
+
+
 def _known_ids(known, run: str, ranks_path: str, pattern: str) -> list[bytes]:
-    """Ids of the broadcast words, encoded once in each worker and kept for its later tasks of the same run."""
-    if _KEPT.get("run") != run:
-        merge = _merger(ranks_path, pattern)
-        _KEPT["ids"], _KEPT["run"] = [merge(w) for w in known.value], run
-    return _KEPT["ids"]
+    """Ids of the broadcast words, encoded once in each worker for a run."""
+    merge = _merger(ranks_path, pattern)
+    return common.kept("bpe", ("ids", run), lambda: [merge(w) for w in known.value.to_pylist()])
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -204,13 +203,14 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
 
 
 def token_bytes(ranks_path: str) -> list[bytes]:
-    if ("bytes", ranks_path) not in _KEPT:
+    def build():
         ranks = read_ranks(ranks_path)
         table = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
             table[i] = token
-        _KEPT["bytes", ranks_path] = table
-    return _KEPT["bytes", ranks_path]
+        return table
+
+    return common.kept("bpe", ("bytes", ranks_path), build)
 
 
 def digests(encoded: DataFrame, ranks_path: str) -> DataFrame:

@@ -15,6 +15,23 @@ WORD = r"[^\x20\x09-\x0D]+"
 WHITE_SPACE = "\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
+_KEPT: dict = {"owner": None, "items": {}}
+
+
+def kept(owner: str, key, build):
+    """What a worker keeps from task to task, by key; the tables of another operator go as soon as a new one begins."""
+    begin(owner)
+    if key not in _KEPT["items"]:
+        _KEPT["items"][key] = build()
+    return _KEPT["items"][key]
+
+
+def begin(owner: str) -> None:
+    """A task that keeps nothing begins: what other operators kept in its worker goes."""
+    if _KEPT["owner"] != owner:
+        _KEPT["owner"], _KEPT["items"] = owner, {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new temporary one where it is unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)

@@ -210,6 +210,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common.begin("jaccard")
     for batch in batches:
         found = [shingles(t) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_key(f) for f in found], pa.int64()), pa.array([len(f) for f in found], pa.int64())], names=["doc_id", "key", "n_shingles"])

@@ -28,6 +28,7 @@ MOST_TRIGRAMS = 60_000
 LEAST_SHARE = 0.01
 SWITCH_PENALTY = 6.0
 CACHE_WORDS = 400_000
+ROWS_AT_ONCE = 1000
 NO_LANGUAGE = "und"
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
@@ -165,6 +166,7 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin("language")
         model = shared.value
         n_lang = len(model.languages) if model else 0
         index: dict[str, int] = {}
@@ -191,8 +193,14 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
             lengths = np.array([len(w) for w in words], np.int64)
             flat = np.concatenate(words) if words else np.zeros(0, np.int32)
             labels = viterbi(table, flat, lengths, SWITCH_PENALTY) if model else np.zeros(0, np.uint8)
-            doc = np.repeat(np.arange(len(texts)), lengths)
-            by_lang = np.bincount(doc * max(1, n_lang) + labels, letters[flat], len(texts) * max(1, n_lang)).reshape(len(texts), -1)
+            del words
+            starts = np.concatenate([[0], np.cumsum(lengths)])
+            by_lang = np.zeros((len(texts), max(1, n_lang)))
+            for first in range(0, len(texts), ROWS_AT_ONCE):
+                last = min(len(texts), first + ROWS_AT_ONCE)
+                here = slice(starts[first], starts[last])
+                cell = np.repeat(np.arange(last - first), lengths[first:last]) * max(1, n_lang) + labels[here]
+                by_lang[first:last] = np.bincount(cell, letters[flat[here]], (last - first) * max(1, n_lang)).reshape(last - first, -1)
             total = by_lang.sum(1)
             names = [*(model.languages if model else []), NO_LANGUAGE]
             best = np.where(total > 0, by_lang.argmax(1), len(names) - 1)

@@ -128,6 +128,7 @@ def grade(docs: DataFrame, model: Model | None, keep: list[str] | None = None, p
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin("toxicity")
         model, seen = shared.value, {}
         cuts = np.asarray(model.thresholds if model else [40.0, 41.0])
         weights = model.weights if model else {}
