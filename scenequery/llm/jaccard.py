@@ -31,7 +31,7 @@ LISTED = 48
 FANOUT = 8
 AT_ONCE = 1024
 MOST_BITS = 15
-FLUSH = 2_000_000
+FLUSH = 500_000
 SMALL_ENOUGH_TO_SEND = 500_000  # ids of 8 bytes: 4 MB
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
