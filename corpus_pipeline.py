@@ -3,10 +3,11 @@
 toxicity      documents graded toxic go
 language      documents without letters, or of which less than half is in one language, go
 duplicates    of each class of near duplicates the lowest doc_id stays
-mixing        each document is taken as often as the mix takes its words, rounded: not at all, once or twice
+mixing        each document is taken as often as the mix takes its words: not at all, once or twice, rounded up or down such
+              that the words of each shard of a source are met to less than its longest document
 tokens        byte-level BPE ids of what is left, with digests of ids and of the text decoded from them
 
-Rows with a null text count as clean in the first stage and go in the second. Rows that repeat a doc_id share its fate.
+Rows with a null text count as clean in the first stage and go in the second. Rows that repeat a doc_id share its fate until the mixing.
 """
 
 from __future__ import annotations
@@ -37,9 +38,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(docs, prefix="_stage_")
-    times = F.floor(F.col("_stage_taken") / F.greatest("_stage_size", F.lit(1)) + 0.5).cast("int")
-    return mixed.withColumn("_stage_times", times).filter("_stage_times > 0").withColumn("_stage_time", F.explode(F.sequence(F.lit(1), F.col("_stage_times")))).select(*docs.columns)
+    mixed = mixing.mix(docs, prefix="_stage_", copies=True)
+    return mixed.filter("_stage_copies > 0").withColumn("_stage_time", F.explode(F.sequence(F.lit(1), F.col("_stage_copies")))).select(*docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ MOST_SHARDS = 4096
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
 SEED = 9
+COPY_UNIT = 1 << 20  # copies are carried in whole parts of this
 
 
 def mix_targets(sizes: list[int], weights: list[float], share: float = SHARE, most: float = MOST) -> list[float]:
@@ -84,16 +85,33 @@ def word_count(column: str = "text"):
     return F.regexp_count(common.text_or_empty(column), F.lit(common.WORD)).cast("long")
 
 
-def mix(docs: DataFrame, seed: int = SEED, prefix: str = "") -> DataFrame:
-    """Adds size, source_size, target and taken to every row of ``docs`` (doc_id, text, source).
+def _copies(seed: int):
+    """How often each document is taken as a whole, for rows placed in shards: taken / size, rounded up or down.
+
+    A shard's documents, longest first, carry the remainder along from a seeded start, so neighbours of similar length make
+    up for each other: a shard's whole documents differ from its taken words by less than its longest document, and no way
+    on average.
+    """
+    shard = Window.partitionBy("_s", "_shard").orderBy(F.desc("size"), "_h", "doc_id", "taken", "_row.text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ratio = F.when(F.col("size") > 0, F.round(F.col("taken") * COPY_UNIT / F.col("size"))).otherwise(0).cast("long")
+    start = F.pmod(F.xxhash64(F.lit(seed), F.lit("copies"), "_s", "_shard"), F.lit(COPY_UNIT))
+    upto = F.sum(ratio).over(shard) + start
+    return (F.floor(upto / COPY_UNIT) - F.floor((upto - ratio) / COPY_UNIT)).cast("int")
+
+
+def mix(docs: DataFrame, seed: int = SEED, prefix: str = "", copies: bool = False) -> DataFrame:
+    """Adds size, source_size, target and taken (and copies) to every row of ``docs`` (doc_id, text, source).
 
     The new names start with ``prefix``; a column that already has such a name is replaced.
 
     taken: the words the mix takes of the document, from 0 to twice its size. A null text has no words; null is a
     source of its own, the last. The same rows give the same mix, in any order and partitioning.
+
+    copies: how often to take the document where only whole ones can be taken: 0, 1 or 2 times, taken / size rounded such
+    that a shard's words are met.
     """
     spark = docs.sparkSession
-    added = ["size", "source_size", "target", "taken"]
+    added = ["size", "source_size", "target", "taken", "copies"][: 4 + copies]
     kept = [c for c in docs.columns if c not in {prefix + a for a in added}]
     sized = docs.select("doc_id", "source", word_count().alias("size"), F.struct(*kept).alias("_row"))
     totals = sized.groupBy("source").agg(F.sum("size").alias("n")).collect()
@@ -124,7 +142,10 @@ def mix(docs: DataFrame, seed: int = SEED, prefix: str = "") -> DataFrame:
     touched = F.sequence(F.floor(F.col("_from") / size), F.floor((F.col("_to") - 1) / size))
     partly = F.aggregate(touched, F.lit(0).cast("long"), lambda acc, k: acc + F.when(chosen(k), overlap(k)).otherwise(F.lit(0)))
     taken = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("_full") * F.col("size") + partly).cast("long")
-    return placed.withColumn("taken", taken).select("_row.*", *(F.col(a).alias(prefix + a) for a in added))
+    placed = placed.withColumn("taken", taken)
+    if copies:
+        placed = placed.withColumn("copies", _copies(seed))
+    return placed.select("_row.*", *(F.col(a).alias(prefix + a) for a in added))
 
 
 def op9_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
