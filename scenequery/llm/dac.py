@@ -111,9 +111,9 @@ _WORD_TOKENIZERS: dict[str, WordTokenizer] = {}
 class WordTokenizer:
     """A word-end BPE of the tokenizers library, one distinct word at a time.
 
-    White space always ends a word there, so a text's ids are its words' ids joined. Words of letters below U+0250 are
-    merged by tiktoken over the same merges (each word ends in a byte that UTF-8 never holds and that joins the last
-    letter first); all others go through the tokenizers library itself. Words seen are kept, up to ``CACHE_WORDS``.
+    White space always ends a word there, so a text's ids are its words' ids joined. Words of letters that are below
+    U+0250, in lower case too, are merged by tiktoken over the same merges (each word ends in a byte that UTF-8 never
+    holds and that joins the last letter first); all others go through the tokenizers library itself. Words seen are kept, up to ``CACHE_WORDS``.
     """
 
     def __init__(self, path: str):
@@ -146,7 +146,8 @@ class WordTokenizer:
         numbers = "".join(re.escape(c) for c in low if unicodedata.category(c)[0] == "N")
         spaces = "\\t-\\r \x85\xa0"
         self.pieces = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{spaces}{letters}{numbers}]+").findall
-        self.simple = re.compile(f"[\\x00-{chr(0x12F)}{chr(0x131)}-{chr(0x24F)}]*").fullmatch
+        # letters whose lower case is not below U+0250 as well, like schwa and dotted I, take the library
+        self.simple = re.compile(f"[{''.join(re.escape(c) for c in low if max(map(ord, c.lower())) < 0x250)}]*").fullmatch
         # what str.split() takes for white space besides the six characters that end a word
         self.odd_spaces = [chr(c) for c in range(0x110000) if chr(c).isspace() and not 9 <= c <= 13 and c != 32]
         self.words: dict[str, bytes] = {}

@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline
 import public_tokenizers
-from scenequery.llm import mixing
+from scenequery.llm import dac, mixing
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,3 +34,14 @@ def test_whole_documents_meet_each_sources_target(spark, monkeypatch, shard_word
         assert abs(kept[s] - target[s]) <= 0.15 * target[s] + longest[s] / 2
     again = corpus_pipeline.mix_sources(spark, docs.repartition(7), SF).collect()
     assert sorted(r.doc_id for r in again) == sorted(r.doc_id for r in out)
+
+
+def test_every_letter_below_0x250_inside_words():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, own = Tokenizer.from_file(path), dac.WordTokenizer(path)
+    for c in map(chr, range(0x250)):
+        for text in (f"{c}la", f"a{c}b", f"Ha{c}", f"x {c} 1{c}"):
+            assert np.frombuffer(own.encode(text), "<u2").tolist() == whole.encode(text, add_special_tokens=False).ids, hex(ord(c))
+    assert own.simple("Straße") and not own.simple("\u018fla")
