@@ -4,8 +4,10 @@ The scripts of a word's letters narrow its candidates to the languages that were
 word by its letter trigrams; a Viterbi pass over a document's words, with a penalty for every switch, labels spans of
 mixed text. The document's language is the one with most letters, its score that share of the letters.
 
-Trigram counts come from at most about ``MOST_TAUGHT`` documents a language, picked by a hash of doc_id. Documents are
-decoded many at a time, one word position of all of them after another.
+Trigram counts come from at most about ``MOST_TAUGHT`` documents a language, picked by a hash of doc_id. All counts of these
+documents are kept: the model grows with the languages and the different trigrams that each uses, and is held as a list of
+the pairs that occur where a full table of languages by trigrams would be large. Documents are decoded many at a time, one
+word position of all of them after another.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from . import common
 
 MOST_TAUGHT = 3000
-MOST_TRIGRAMS = 60_000
+DENSE_CELLS = 1 << 22
 LEAST_SHARE = 0.01
 SWITCH_PENALTY = 6.0
 CACHE_WORDS = 400_000
@@ -67,7 +69,11 @@ def _grams(word: str) -> list[str]:
 class Model:
     languages: list[str]
     grams: dict[str, int]
-    scores: np.ndarray  # a row of log-probabilities by language for each trigram, the last one for all others
+    scores: np.ndarray | None  # a row of log-probabilities by language for each trigram, the last one for all others
+    others: np.ndarray  # that last row; without scores, places and gains from starts[i] on say what trigram i adds to it
+    starts: list[int]
+    places: np.ndarray
+    gains: np.ndarray
     scripts: dict[str, np.ndarray]  # by script, 0 for candidates and a large penalty for the rest
     seen: dict[str, tuple[int, int]] = field(default_factory=dict)
 
@@ -76,7 +82,15 @@ class Model:
         letters = [c for c in word if c.isalpha()]
         if not letters:
             return np.zeros(len(self.languages)), 0
-        found = self.scores[[self.grams.get(g, len(self.grams)) for g in _grams(word)]].sum(0)
+        at = [self.grams.get(g, len(self.grams)) for g in _grams(word)]
+        if self.scores is not None:
+            found = self.scores[at].sum(0)
+        else:
+            found = self.others * len(at)
+            for i in at:
+                if i < len(self.grams):
+                    here = slice(self.starts[i], self.starts[i + 1])
+                    found[self.places[here]] += self.gains[here]
         script = Counter(map(script_of, letters)).most_common(1)[0][0]
         return found - found.max() + self.scripts.get(script, 0.0), len(letters)
 
@@ -102,22 +116,39 @@ def learn(docs: DataFrame, most: int = MOST_TAUGHT) -> Model | None:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "gram", "n"])
 
     counted = picked.select("text", "lang").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "gram", "lang").limit(MOST_TRIGRAMS).collect()
-    if not rows:
-        return None
-    languages = sorted({r["lang"] for r in rows}, key=lambda x: x.encode())
-    grams = {g: i for i, g in enumerate(sorted({r["gram"] for r in rows}))}
-    counts = np.zeros((len(grams) + 1, len(languages)))
-    scripts: dict[str, np.ndarray] = {}
-    for r in rows:
-        k = languages.index(r["lang"])
-        counts[grams[r["gram"]], k] += r["n"]
-        if r["gram"][1].isalpha():
-            scripts.setdefault(script_of(r["gram"][1]), np.zeros(len(languages)))[k] += r["n"]
-    scores = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * len(counts)))
+    rows = counted.toArrow()
+    return _model(rows) if rows.num_rows else None
+
+
+def _model(rows: pa.Table) -> Model:
+    """The model of all counted pairs (lang, gram, n)."""
+
+    def coded(column: str) -> tuple[list[str], np.ndarray]:
+        """The different values in code-point order, and the place of each row's."""
+        found = rows[column].combine_chunks().dictionary_encode()
+        values = found.dictionary.to_pylist()
+        order = sorted(range(len(values)), key=lambda i: values[i].encode())
+        place = np.zeros(len(values), np.int32)
+        place[order] = np.arange(len(values))
+        return [values[i] for i in order], place[found.indices.to_numpy()]
+
+    (languages, lang), (names, gram), n = coded("lang"), coded("gram"), rows["n"].to_numpy()
+    order = np.lexsort((lang, gram))
+    lang, gram, n = lang[order], gram[order], n[order]
+    of_gram = [script_of(g[1]) if g[1].isalpha() else "" for g in names]
+    known = {s: k for k, s in enumerate(sorted(set(of_gram) - {""}))}
+    script = np.array([known.get(s, -1) for s in of_gram])[gram]
+    scripts = {s: np.bincount(lang[script == k], n[script == k], len(languages)) for s, k in known.items()}
+    total = np.bincount(lang, n, len(languages)) + 0.5 * (len(names) + 1)
+    others, scores = np.log(0.5 / total), None
+    if (len(names) + 1) * len(languages) <= DENSE_CELLS:
+        counts = np.zeros((len(names) + 1, len(languages)))
+        counts[gram, lang] = n
+        scores = np.log((counts + 0.5) / total)
+    starts = np.searchsorted(gram, np.arange(len(names) + 1)).tolist()
     shares = {s: x / np.maximum(1, sum(scripts.values())) for s, x in scripts.items()}
     penalty = {s: np.where(x >= LEAST_SHARE, 0.0, -1e3) if (x >= LEAST_SHARE).any() else np.zeros(len(languages)) for s, x in shares.items()}
-    return Model(languages, grams, scores, penalty)
+    return Model(languages, {g: i for i, g in enumerate(names)}, scores, others, starts, lang, np.log((n + 0.5) / 0.5), penalty)
 
 
 def viterbi(scores: np.ndarray, word: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
@@ -127,8 +158,9 @@ def viterbi(scores: np.ndarray, word: np.ndarray, lengths: np.ndarray, penalty:
     sizes = lengths[order]
     longest = int(sizes[0]) if len(sizes) else 0
     active = np.searchsorted(-sizes, -np.arange(longest), side="left")  # documents longer than each position
-    labels = np.zeros(len(word), np.uint8)
-    best_before = np.zeros(len(word), np.uint8)
+    kind = np.min_scalar_type(scores.shape[1])
+    labels = np.zeros(len(word), kind)
+    best_before = np.zeros(len(word), kind)
     stayed = np.zeros((len(word), scores.shape[1]), bool)
     state = np.zeros((len(sizes), scores.shape[1]))
     for t in range(longest):
