@@ -185,7 +185,7 @@ def _link_blocks(rows: DataFrame) -> DataFrame:
         if len(keys) > 1:
             yield out()
 
-    return rows.select("b1", "b2", "key", "class", "grams").repartition("b1", "b2").sortWithinPartitions("b1", "b2").mapInArrow(link, "a long, b long")
+    return rows.select("b1", "b2", "key", "class", "grams").repartition("b1", "b2").sortWithinPartitions("b1", "b2").mapInArrow(common.lean(link), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -210,7 +210,6 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    common.begin("jaccard")
     for batch in batches:
         found = [shingles(t) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_key(f) for f in found], pa.int64()), pa.array([len(f) for f in found], pa.int64())], names=["doc_id", "key", "n_shingles"])
@@ -253,7 +252,7 @@ def _prefixes(docs: DataFrame, buckets: int) -> DataFrame:
         if hashes:
             yield out()
 
-    return docs.select("text").mapInArrow(emit, "bucket int, hashes binary, keys binary")
+    return docs.select("text").mapInArrow(common.lean(emit), "bucket int, hashes binary, keys binary")
 
 
 def _met(table: pa.Table) -> pa.Table:
@@ -279,7 +278,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    sized = common.staged(docs.mapInArrow(_sets, "doc_id long, key long, n_shingles long"), "sets")
+    sized = common.staged(docs.mapInArrow(common.lean(_sets), "doc_id long, key long, n_shingles long"), "sets")
     classes = sized.filter("n_shingles > 0").groupBy("key", "n_shingles").agg(F.min("doc_id").alias("rep"))
 
     tokens = _prefixes(docs, 4 * common.partitions(spark)).groupBy("bucket").applyInArrow(_met, "key long, token long")
@@ -331,7 +330,7 @@ def _grams_of(docs: DataFrame, left: DataFrame) -> DataFrame:
                 )
 
     found = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("key", "text")
-    read_all = found.mapInArrow(read, "key long, grams binary, r1 long, r2 long")
+    read_all = found.mapInArrow(common.lean(read), "key long, grams binary, r1 long, r2 long")
     return common.staged(read_all, "grams")
 
 

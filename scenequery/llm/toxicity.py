@@ -93,7 +93,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model
     sides = {r["side"]: r["count"] for r in rows.groupBy((F.col("toxic") > 0).cast("int").alias("side")).count().collect()}
     if not sides.get(0) or not sides.get(1):
         return None
-    counts = rows.mapInArrow(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = rows.mapInArrow(common.lean(count), "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (sides[1] + 1)) - F.log((F.col("clean") + 0.5) / (sides[0] + 1))
     scored = counts.filter(F.col("toxic") >= LEAST_SEEN).withColumn("z", odds / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5)))
     features = [r["feature"] for r in scored.filter((F.col("z") > LEAST_Z) & (odds > math.log(3))).orderBy(F.desc("z"), "feature").limit(MOST_FEATURES).collect()]
@@ -108,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model
                 hits.append(len(marked))
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), pa.array(hits, pa.int32()), batch.column(1).cast(pa.int32())], names=["found", "hits", "toxic"])
 
-    got = rows.mapInArrow(keep, "found array<int>, hits int, toxic int").orderBy("toxic", "hits", "found").toArrow().to_pylist()
+    got = rows.mapInArrow(common.lean(keep), "found array<int>, hits int, toxic int").orderBy("toxic", "hits", "found").toArrow().to_pylist()
     median = float(np.median([r["hits"] for r in got if r["toxic"] > 0]))
     grades = [0 if r["toxic"] <= 0 else 1 + (r["hits"] > median) for r in got]
     weights, thresholds = fit_ordinal([r["found"] for r in got], grades, len(features), 3)
@@ -128,7 +128,6 @@ def grade(docs: DataFrame, model: Model | None, keep: list[str] | None = None, p
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.begin("toxicity")
         model, seen = shared.value, {}
         cuts = np.asarray(model.thresholds if model else [40.0, 41.0])
         weights = model.weights if model else {}
@@ -153,7 +152,7 @@ def grade(docs: DataFrame, model: Model | None, keep: list[str] | None = None, p
             )
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(keep).schema]
-    return docs.mapInArrow(score, ", ".join([*kept, *(f"`{c}` {t}" for c, t in zip(added, ("int", "double", "double", "boolean"), strict=True))]))
+    return docs.mapInArrow(common.lean(score), ", ".join([*kept, *(f"`{c}` {t}" for c, t in zip(added, ("int", "double", "double", "boolean"), strict=True))]))
 
 
 def op6_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
