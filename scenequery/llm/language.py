@@ -6,8 +6,11 @@ mixed text. The document's language is the one with most letters, its score that
 
 Trigram counts come from at most about ``MOST_TAUGHT`` documents a language, picked by a hash of doc_id. All counts of these
 documents are kept: the model grows with the languages and the different trigrams that each uses, and is held as a list of
-the pairs that occur where a full table of languages by trigrams would be large. Documents are decoded many at a time, one
-word position of all of them after another.
+the pairs that occur where a full table of languages by trigrams would be large.
+
+Most documents are in one language throughout. That staying in the best one is the best path can be told from sums alone: no
+stretch of words gains more for another language than its switches cost. Only the other documents are walked, many at a
+time, one word position of all of them after another.
 """
 
 from __future__ import annotations
@@ -29,8 +32,9 @@ MOST_TAUGHT = 3000
 DENSE_CELLS = 1 << 22
 LEAST_SHARE = 0.01
 SWITCH_PENALTY = 6.0
-CACHE_WORDS = 400_000
-ROWS_AT_ONCE = 1000
+CACHE_CELLS = 1 << 21  # scores of words that a task keeps
+WORDS_AT_ONCE = 1 << 20
+NEGLIGIBLE = 1e-3
 NO_LANGUAGE = "und"
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
@@ -49,6 +53,7 @@ SCRIPTS = (
     (0x20000, "Han"), (0x323B0, "other"),
 )
 _STARTS = [start for start, _ in SCRIPTS]
+_NOT_LATIN = chr(SCRIPTS[1][0])
 
 
 def script_of(char: str) -> str:
@@ -77,6 +82,26 @@ class Model:
     scripts: dict[str, np.ndarray]  # by script, 0 for candidates and a large penalty for the rest
     seen: dict[str, tuple[int, int]] = field(default_factory=dict)
 
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores by language, and the number of letters, of many words."""
+        if self.scores is None or not words:
+            found = [self.word(w) for w in words]
+            return np.array([f for f, _ in found]).reshape(len(words), len(self.languages)), np.array([n for _, n in found], np.int64)
+        get, other, at = self.grams.get, len(self.grams), []
+        for w in words:
+            padded = f" {w} "
+            at += [get(padded[i : i + 3], other) for i in range(len(w))]
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        found = np.add.reduceat(self.scores[at], np.cumsum(length) - length, axis=0)
+        found -= found.max(1, keepdims=True)
+        latin, letters = self.scripts.get("Latin", 0.0), length.copy()
+        for i, w in enumerate(words):
+            if max(w) < _NOT_LATIN and w.isalpha():
+                found[i] += latin
+            else:
+                found[i], letters[i] = self.word(w)
+        return found, letters
+
     def word(self, word: str) -> tuple[np.ndarray, int]:
         """Scores by language, and the number of letters."""
         letters = [c for c in word if c.isalpha()]
@@ -115,7 +140,7 @@ def learn(docs: DataFrame, most: int = MOST_TAUGHT) -> Model | None:
         rows = [(lang, g, n) for lang, c in grams.items() for g, n in c.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "gram", "n"])
 
-    counted = picked.select("text", "lang").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = picked.select("text", "lang").mapInArrow(common.lean(count), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rows = counted.toArrow()
     return _model(rows) if rows.num_rows else None
 
@@ -186,6 +211,43 @@ def viterbi(scores: np.ndarray, word: np.ndarray, lengths: np.ndarray, penalty:
     return labels
 
 
+def label_words(scores: np.ndarray, word: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
+    """What ``viterbi`` gives (but for ties between whole paths), without a walk where one language is best throughout.
+
+    Let L be the best single language and g[M] the most that a stretch of words scores higher in M than in L. A path of r
+    runs pays r - 1 switches. With a run in L, each other run gains at most the largest g and costs a switch; without one,
+    neighbouring runs are in different languages and gain at most the two largest g together. So if these two add up to
+    less than a switch, staying in L is best.
+    """
+    labels = np.zeros(len(word), np.min_scalar_type(scores.shape[1]))
+    there = np.flatnonzero(lengths)
+    if not len(there):
+        return labels
+    size = lengths[there]
+    starts = np.cumsum(size) - size
+    columns = range(scores.shape[1])
+    total = np.stack([np.add.reduceat(scores[:, m][word], starts) for m in columns], 1)
+    best = total.argmax(1)
+    own = np.repeat(best, size)
+    base = scores[word, own]
+    largest, second = np.zeros(len(there)), np.zeros(len(there))
+    floor = 4 * penalty  # a gain below this ends any stretch; as a bound it keeps sums small
+    apart = np.repeat(np.arange(len(there)) * (floor * len(word) + 1), size)
+    for m in columns:
+        gain = np.maximum(scores[:, m][word] - base, -floor)
+        upto = np.cumsum(gain) - apart
+        most = np.maximum.reduceat(upto - np.minimum.accumulate(upto - gain), starts)
+        most = np.where(best == m, 0.0, np.maximum(most, 0.0))
+        second = np.maximum(second, np.minimum(largest, most))
+        largest = np.maximum(largest, most)
+    clear = largest + second < penalty - NEGLIGIBLE
+    labels[:] = own
+    if not clear.all():
+        walked = np.repeat(~clear, size)
+        labels[walked] = viterbi(scores, word[walked], size[~clear], penalty)
+    return labels
+
+
 def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None, spans: bool = False, prefix: str = "") -> DataFrame:
     """Adds lang_pred and score (and spans: array of first word, words, lang) to every row of ``docs`` (text).
 
@@ -198,45 +260,37 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.begin("language")
         model = shared.value
         n_lang = len(model.languages) if model else 0
+        names = [*(model.languages if model else []), NO_LANGUAGE]
+        most_words = max(1000, CACHE_CELLS // max(1, n_lang))
         index: dict[str, int] = {}
-        table: np.ndarray = np.zeros((1024, n_lang))
-        letters: np.ndarray = np.zeros(1024)
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            if len(index) > CACHE_WORDS:
-                index = {}
-            words: list[np.ndarray] = []
-            for text in texts:
-                found = _WORDS(text.lower()) if text and model else []
-                try:
-                    got = list(map(index.__getitem__, found))
-                except KeyError:
-                    for w in found:
-                        if w not in index:
-                            i = index[w] = len(index)
-                            if i >= len(table):
-                                table, letters = np.concatenate([table, np.zeros_like(table)]), np.concatenate([letters, np.zeros_like(letters)])
-                            table[i], letters[i] = model.word(w)
-                    got = list(map(index.__getitem__, found))
-                words.append(np.array(got, np.int32))
+        table, letters = np.zeros((1024, n_lang)), np.zeros(1024)
+
+        def found_in(text: str | None) -> np.ndarray:
+            """Numbers of a text's words in the table, which grows by those it lacks."""
+            nonlocal table, letters
+            found = _WORDS(text.lower()) if text and model else []
+            try:
+                return np.array(list(map(index.__getitem__, found)), np.int32)
+            except KeyError:
+                new = [w for w in dict.fromkeys(found) if w not in index]
+                first, last = len(index), len(index) + len(new)
+                while last > len(table):
+                    table, letters = np.concatenate([table, np.zeros_like(table)]), np.concatenate([letters, np.zeros_like(letters)])
+                table[first:last], letters[first:last] = model.words(new)
+                index.update(zip(new, range(first, last), strict=True))
+                return np.array(list(map(index.__getitem__, found)), np.int32)
+
+        def labelled(rows: pa.RecordBatch, words: list[np.ndarray]) -> pa.RecordBatch:
             lengths = np.array([len(w) for w in words], np.int64)
-            flat = np.concatenate(words) if words else np.zeros(0, np.int32)
-            labels = viterbi(table, flat, lengths, SWITCH_PENALTY) if model else np.zeros(0, np.uint8)
-            del words
-            starts = np.concatenate([[0], np.cumsum(lengths)])
-            by_lang = np.zeros((len(texts), max(1, n_lang)))
-            for first in range(0, len(texts), ROWS_AT_ONCE):
-                last = min(len(texts), first + ROWS_AT_ONCE)
-                here = slice(starts[first], starts[last])
-                cell = np.repeat(np.arange(last - first), lengths[first:last]) * max(1, n_lang) + labels[here]
-                by_lang[first:last] = np.bincount(cell, letters[flat[here]], (last - first) * max(1, n_lang)).reshape(last - first, -1)
+            flat = np.concatenate(words)
+            labels = label_words(table, flat, lengths, SWITCH_PENALTY) if model else np.zeros(0, np.uint8)
+            cell = np.repeat(np.arange(len(words)), lengths) * max(1, n_lang) + labels
+            by_lang = np.bincount(cell, letters[flat], len(words) * max(1, n_lang)).reshape(len(words), -1)
             total = by_lang.sum(1)
-            names = [*(model.languages if model else []), NO_LANGUAGE]
             best = np.where(total > 0, by_lang.argmax(1), len(names) - 1)
-            out = [*batch.select(keep).columns, pa.array([names[b] for b in best.tolist()], pa.string()), pa.array(by_lang.max(1) / np.maximum(total, 1), pa.float64())]
+            out = [*rows.select(keep).columns, pa.array([names[b] for b in best.tolist()], pa.string()), pa.array(by_lang.max(1) / np.maximum(total, 1), pa.float64())]
             if spans:
                 ends = np.cumsum(lengths)
                 runs = []
@@ -244,11 +298,24 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
                     cuts = [0, *(np.flatnonzero(np.diff(labels[a:b])) + 1).tolist(), b - a]
                     runs.append([{"first": i, "words": j - i, "lang": names[labels[a + i]]} for i, j in zip(cuts, cuts[1:], strict=False) if j > i])
                 out.append(pa.array(runs, pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))))
-            yield pa.RecordBatch.from_arrays(out, names=[*keep, *added])
+            return pa.RecordBatch.from_arrays(out, names=[*keep, *added])
+
+        for batch in batches:
+            column, first, words, held = batch.column(batch.schema.get_field_index("text")), 0, [], 0
+            for row in range(batch.num_rows):
+                words.append(found_in(column[row].as_py()))
+                held += len(words[-1])
+                if held * max(1, n_lang) >= WORDS_AT_ONCE or len(index) > most_words:
+                    yield labelled(batch.slice(first, row + 1 - first), words)
+                    first, words, held = row + 1, [], 0
+                    if len(index) > most_words:
+                        index.clear()
+            if words:
+                yield labelled(batch.slice(first), words)
 
     types = ("string", "double", "array<struct<first: int, words: int, lang: string>>")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(keep).schema] + [f"`{c}` {t}" for c, t in zip(added, types, strict=False)]
-    return docs.mapInArrow(label, ", ".join(fields))
+    return docs.mapInArrow(common.lean(label), ", ".join(fields))
 
 
 def op10_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
