@@ -56,9 +56,16 @@ def pixel_range(low: Column, high: Column, start: float, end: float, n: int) ->
     return held(first), held(last)
 
 
-def zoom_for(width: Column) -> Column:
-    """A map zoom for a box of so many degrees."""
-    return F.greatest(F.lit(0), F.least(F.lit(14), F.floor(F.log2(360.0 / width)))).cast("int")
+#: A box wider than this many degrees is shown at the zoom of its place here; smaller ones at 11.
+ZOOM_SPANS = (180, 90, 45, 20, 10, 5, 2, 1, 0.5, 0.2, 0.1)
+
+
+def zoom_for(width: Column, height: Column) -> Column:
+    """A map zoom for a box of so many degrees, by its larger side."""
+    found = F.lit(len(ZOOM_SPANS))
+    for zoom, span in reversed(list(enumerate(ZOOM_SPANS))):
+        found = F.when(F.greatest(width, height) > span, zoom).otherwise(found)
+    return found
 
 
 def nice_step(span: Column, parts: int = 5) -> Column:

@@ -8,19 +8,22 @@ from pyspark.sql import functions as F
 #: What the letters of a polarization code stand for.
 POLARIZATIONS = {"SH": "single HH", "SV": "single VV", "DH": "dual HH/HV", "DV": "dual VV/VH", "QP": "quad", "CL": "compact left", "CR": "compact right", "NA": "none"}
 
-#: The fields of a product name, in order, with the pattern of each.
+#: The fields of a product name, in order, with the pattern of each; numbers are read as such.
 FIELDS = (
-    ("instrument", "[A-Z]+"), ("level", "L\\d"), ("processing", "[A-Z]{2}"), ("product", "[A-Z0-9]+"), ("cycle", "\\d{3}"), ("track", "\\d{3}"),
-    ("direction", "[AD]"), ("frame", "\\d{3}"), ("mode", "\\d{4}"), ("pol", "[A-Z]{4}"), ("source", "[A-Z]"), ("start", "\\d{8}T\\d{6}"), ("end", "\\d{8}T\\d{6}"),
-    ("crid", "[A-Z]\\d+"), ("accuracy", "[A-Z]"), ("coverage", "[FP]"), ("location", "[A-Z]"), ("counter", "\\d{3}"),
+    ("mission", "[A-Z]+"), ("instrument", "[LS]"), ("level", "\\d"), ("processing", "[A-Z]{2}"), ("product", "[A-Z]{4}"), ("cycle", "\\d{3}"), ("track", "\\d{3}"),
+    ("direction", "[AD]"), ("frame", "\\d{3}"), ("mode", "\\d{4}"), ("pol", "[A-Z]{4}"), ("source", "[AM]"), ("start", "\\d{8}T\\d{6}"), ("end", "\\d{8}T\\d{6}"),
+    ("crid", "[A-Z]\\d{5}"), ("accuracy", "[PMNF]"), ("coverage", "[FP]"), ("location", "[A-Z]"), ("counter", "\\d{3}"),
 )
-PATTERN = "^" + "_".join(f"({p})" for _, p in FIELDS) + "\\.([a-z0-9]+)$"
+NUMBERS = ("level", "cycle", "track", "frame", "counter")
+PATTERN = "^" + "_".join(f"({p})" for _, p in FIELDS).replace("([LS])_(", "([LS])(") + "\\.(.+)$"
 
 
 def parse_product(name: Column) -> dict[str, Column]:
-    """The fields of a product name and its extension; all null if it has another form."""
-    fits = name.rlike(PATTERN)
-    return {f: F.when(fits, F.regexp_extract(name, PATTERN, i + 1)) for i, f in enumerate([*(f for f, _ in FIELDS), "extension"])}
+    """The fields of a product name, whose path does not count, and its extension; all null if it has another form."""
+    base = F.regexp_replace(name, r"^.*[\\/]", "")
+    fits = base.rlike(PATTERN)
+    found = {f: F.when(fits, F.regexp_extract(base, PATTERN, i + 1)) for i, f in enumerate([*(f for f, _ in FIELDS), "extension"])}
+    return {f: c.cast("int") if f in NUMBERS else c for f, c in found.items()}
 
 
 def name_time(stamp: Column) -> Column:
@@ -39,25 +42,50 @@ def format_of(name: Column) -> Column:
     return F.when(lower.rlike("\\.(h5|hdf5|he5)$"), "hdf5").when(lower.rlike("\\.tiff?$"), "geotiff").when(lower.rlike("\\.(nitf|ntf)$"), "nitf").otherwise("other")
 
 
-def band_of(url: Column) -> Column:
-    """The band that a file's URL names, or null."""
-    lower = F.lower(url)
-    found = F.lit(None).cast("string")
-    for band, pattern in reversed((("VV", "[_/-]vv[_.-]"), ("VH", "[_/-]vh[_.-]"), ("HH", "[_/-]hh[_.-]"), ("HV", "[_/-]hv[_.-]"), ("mask", "mask"), ("incidence", "inc(idence)?[_.-]"))):
-        found = F.when(lower.rlike(pattern), band).otherwise(found)
+#: What stands for a band in a file's name, between separators, and the band's name; the first that fits counts.
+BANDS = (
+    ("VV", "VV"), ("VH", "VH"), ("HH", "HH"), ("HV", "HV"), ("pre", "pre"), ("post", "post"), ("during", "during"), ("before", "before"), ("after", "after"),
+    ("coh", "coherence"), ("phase", "phase"), ("amp", "amplitude"), ("int", "intensity"),
+)
+
+
+def band_of(url: Column, place: Column) -> Column:
+    """The band that a file's URL names, or band_ and its place in the list, from 1."""
+    found = F.concat(F.lit("band_"), place.cast("string"))
+    for part, band in reversed(BANDS):
+        found = F.when(url.rlike(f"(?i)[_-]{part}[_.-]"), band).otherwise(found)
     return found
 
 
-def links(html: Column) -> Column:
-    """href values of a page that are neither anchors, queries, parents nor scripts."""
-    hrefs = F.regexp_extract_all(html, F.lit('href\\s*=\\s*["\']([^"\'#?]+)["\']'), F.lit(1))
-    return F.filter(hrefs, lambda h: ~h.rlike("^(\\.\\.?/?|javascript:.*|mailto:.*|/)$"))
+_ANCHOR = r"""(?is)<a\b[^>]*?\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))[^>]*>.*?</a\s*>([^<]*)"""
+
+
+def links(html: Column, base: Column, prefix: Column) -> Column:
+    """Entries of a directory listing, an array of (key, directory, size), from its anchors in order.
+
+    Left out are empty links, the parent, the root, queries, fragments, and absolute links beyond ``base``. Names are decoded
+    and follow ``prefix``; a name that ends in a slash is a directory. The size stands at the end of the text that follows.
+    """
+    anchors = F.transform(F.regexp_extract_all(html, F.lit(_ANCHOR), F.lit(0)), lambda a: F.struct(xml_text(F.concat(*(F.regexp_extract(a, _ANCHOR, k) for k in (1, 2, 3)))).alias("href"), F.regexp_extract(a, _ANCHOR, 4).alias("text")))
+    kept = F.filter(anchors, lambda a: ~a["href"].isin("", "../", "/") & ~a["href"].rlike("^[?#]") & ~(a["href"].startswith("http") & ~a["href"].startswith(base)))
+    name = lambda a: F.coalesce(F.try_url_decode(F.replace(a["href"], F.lit("+"), F.lit("%2B"))), a["href"])
+    return F.transform(kept, lambda a: F.struct(F.concat(prefix, name(a)).alias("key"), name(a).endswith("/").alias("directory"), F.when(name(a).endswith("/"), 0).otherwise(listed_bytes(a["text"])).cast("long").alias("size")))
+
+
+def listed_bytes(text: Column) -> Column:
+    """The size at the end of a listing's line, such as 1.5K or 20 MB, in bytes; 0 where there is none."""
+    form = r"(?i)([0-9]+(?:[.][0-9]+)?)\s*([KMGT]?B?)\s*$"
+    number = F.coalesce(F.regexp_extract(text, form, 1).try_cast("double"), F.lit(0.0))
+    unit = F.upper(F.substring(F.regexp_extract(text, form, 2), 1, 1))
+    return number * F.when(unit == "K", 1024.0).when(unit == "M", 1024.0**2).when(unit == "G", 1024.0**3).when(unit == "T", 1024.0**4).otherwise(1.0)
 
 
 def size_text(n: Column) -> Column:
-    """Bytes in the largest unit below them, with one decimal."""
-    unit = lambda k, u: F.concat(F.format_string("%.1f", F.round(n / float(1024**k), 1)), F.lit(f" {u}"))
-    return F.when(n >= 1024**3, unit(3, "GB")).when(n >= 1024**2, unit(2, "MB")).when(n >= 1024, unit(1, "KB")).otherwise(F.concat(n.cast("string"), F.lit(" B")))
+    """Bytes as text: a dash for none, whole KB, MB with one decimal, GB with two; halves are rounded up, exactly."""
+    tenths, hundredths = F.floor((n * 20 + 2**20) / F.lit(2**21)), F.floor((n * 200 + 2**30) / F.lit(2**31))
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    found = F.when(n < 1024, text(n, " B")).when(n < 1024**2, text(F.floor((n * 2 + 1024) / F.lit(2048)), " KB")).when(n < 1024**3, text(F.floor(tenths / 10), ".", F.pmod(tenths, F.lit(10)), " MB"))
+    return F.when(n.isNull() | (n == 0), "—").otherwise(found.otherwise(text(F.floor(hundredths / 100), ".", F.lpad(F.pmod(hundredths, F.lit(100)).cast("string"), 2, "0"), " GB")))
 
 
 def bytes_of(text: Column) -> Column:

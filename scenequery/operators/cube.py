@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 def trilinear(grid: list[list[list[float | None]]], fi: Column, fj: Column, fk: Column) -> Column:
     """Value of a small cube [height][row][column] at index coordinates.
 
-    Linear between nodes; nodes without a value lose their weight; null beyond half a cell outside; heights are held to
-    the cube. The cube is a literal in the expression, so pixels are not joined or shuffled.
+    Each of the two layers next to the height is bilinear, nodes without a value losing their weight in it; then layers mix by
+    height, or the one that has a value stands for both. Null beyond half a cell outside; heights are held to the cube. The
+    cube is a literal in the expression, so pixels are not joined or shuffled.
     """
     nk, nj, ni = len(grid), len(grid[0]), len(grid[0][0])
     flat = F.array(*(F.lit(v).cast("double") for layer in grid for row in layer for v in row))
@@ -19,16 +20,21 @@ def trilinear(grid: list[list[list[float | None]]], fi: Column, fj: Column, fk:
     i0, j0, k0 = base(fi, ni), base(fj, nj), base(fk, nk)
     part = lambda f, f0: F.least(F.lit(1.0), F.greatest(F.lit(0.0), f - f0))
     wi, wj, wk = part(fi, i0), part(fj, j0), part(fk, k0)
-    total, weight = F.lit(0.0), F.lit(0.0)
-    for dk in range(min(2, nk)):
+
+    def layer(dk: int) -> Column:
+        total, weight = F.lit(0.0), F.lit(0.0)
         for dj in range(min(2, nj)):
             for di in range(min(2, ni)):
                 node = F.element_at(flat, (((k0 + dk) * nj + j0 + dj) * ni + i0 + di + 1).cast("int"))
-                w = (wk if dk else 1 - wk) * (wj if dj else 1 - wj) * (wi if di else 1 - wi)
+                w = (wj if dj else 1 - wj) * (wi if di else 1 - wi)
                 total = total + F.when(node.isNotNull(), w * node).otherwise(0.0)
                 weight = weight + F.when(node.isNotNull(), w).otherwise(0.0)
+        return total / F.when(weight > 0, weight)
+
+    low, high = layer(0), layer(1) if nk > 1 else F.lit(None).cast("double")
+    mixed = F.when(wk == 0, low).when(wk == 1, high).otherwise(F.coalesce(low * (1 - wk) + high * wk, low, high))
     inside = (fi >= -0.5) & (fi <= ni - 0.5) & (fj >= -0.5) & (fj <= nj - 0.5)
-    return F.when(inside & (weight > 0), total / F.when(weight > 0, weight))
+    return F.when(inside, mixed)
 
 
 def plane_fit(points: DataFrame, keys: list[str], least: int = 10) -> DataFrame:

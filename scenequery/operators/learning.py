@@ -49,8 +49,8 @@ def by_rules(bands: dict[str, Column], rules: list[tuple[str, str, float | tuple
     return out
 
 
-def capped_sample(rows: DataFrame, cls: str, key: str, most: int, seed: int) -> DataFrame:
-    """At most ``most`` rows of each class, by a seeded order of a key."""
+def capped_sample(rows: DataFrame, cls: str, key: str, most: int = 20_000, seed: int = 1337) -> DataFrame:
+    """At most ``most`` rows of each class, by a seeded order of a key; the cap is the feature."""
     order = Window.partitionBy(cls).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key)
     return rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_rank")
 

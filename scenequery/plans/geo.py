@@ -78,12 +78,13 @@ def utm_forward(spark, sf_dir):
     return src.granules(spark, sf_dir).select("id", R(east, 3).alias("easting"), R(north, 3).alias("northing"))
 
 
-@query(f"""WITH {G}, w AS (SELECT id, 0.01 * (id % 777 + 3) AS span FROM granules), r AS (SELECT id, span, span / 5 AS raw, pow(10, floor(log10(span / 5))) AS base FROM w)
-  SELECT id, CAST(greatest(0, least(14, floor(log2(360.0 / span)))) AS INTEGER) AS zoom, round(base * CASE WHEN raw / base < 1.5 THEN 1 WHEN raw / base < 3.5 THEN 2 WHEN raw / base < 7.5 THEN 5 ELSE 10 END, 8) AS step FROM r""")
+@query(f"""WITH {G}, w AS (SELECT id, 0.02 * pow(id % 111 + 1, 2) AS span, 0.25 * (id % 37) AS high FROM granules), r AS (SELECT id, span, high, span / 5 AS raw, pow(10, floor(log10(span / 5))) AS base FROM w)
+  SELECT id, CAST(CASE WHEN greatest(span, high) > 180 THEN 0 WHEN greatest(span, high) > 90 THEN 1 WHEN greatest(span, high) > 45 THEN 2 WHEN greatest(span, high) > 20 THEN 3 WHEN greatest(span, high) > 10 THEN 4 WHEN greatest(span, high) > 5 THEN 5
+    WHEN greatest(span, high) > 2 THEN 6 WHEN greatest(span, high) > 1 THEN 7 WHEN greatest(span, high) > 0.5 THEN 8 WHEN greatest(span, high) > 0.2 THEN 9 WHEN greatest(span, high) > 0.1 THEN 10 ELSE 11 END AS INTEGER) AS zoom, round(base * CASE WHEN raw / base < 1.5 THEN 1 WHEN raw / base < 3.5 THEN 2 WHEN raw / base < 7.5 THEN 5 ELSE 10 END, 8) AS step FROM r""")
 def zoom_and_ticks(spark, sf_dir):
     """Map zoom and a nice tick step for boxes of different widths."""
-    span = 0.01 * (F.pmod("id", F.lit(777)) + 3)
-    return src.granules(spark, sf_dir).select("id", geo.zoom_for(span).alias("zoom"), R(geo.nice_step(span), 8).alias("step"))
+    span, high = 0.02 * F.pow(F.pmod("id", F.lit(111)) + 1, F.lit(2)), 0.25 * F.pmod("id", F.lit(37))
+    return src.granules(spark, sf_dir).select("id", geo.zoom_for(span, high).alias("zoom"), R(geo.nice_step(span), 8).alias("step"))
 
 
 @query(f"""WITH {G}, m AS (SELECT id, 'PROJCS["UTM",AUTHORITY["EPSG","' || CAST(32600 + id % 60 + 1 AS VARCHAR) || '"]]' AS wkt, (id % 1000) * 10000 AS max_y FROM granules)

@@ -35,12 +35,12 @@ def resample_bilinear(spark, sf_dir):
 _W = lambda p, s: f"(CASE WHEN least(CASE WHEN {s} = 0 THEN 1000000 ELSE {p} - {s} END, CASE WHEN {s} + 40 >= 100 THEN 1000000 ELSE {s} + 39 - {p} END) < 3 THEN 0.0 ELSE least(1.0, (least(CASE WHEN {s} = 0 THEN 1000000 ELSE {p} - {s} END, CASE WHEN {s} + 40 >= 100 THEN 1000000 ELSE {s} + 39 - {p} END) - 3 + 1) / 4.0) END)"
 
 
-@query(f"""WITH {PX}, st AS (SELECT unnest([0, 28, 56, 84]) AS s), t AS (SELECT px.*, a.s AS tr, b.s AS tc, {_W('"row"', 'a.s')} * {_W('col', 'b.s')} AS w FROM px JOIN st a ON "row" BETWEEN a.s AND a.s + 39 JOIN st b ON col BETWEEN b.s AND b.s + 39),
+@query(f"""WITH {PX}, st AS (SELECT unnest([0, 22, 50, 60]) AS s), t AS (SELECT px.*, a.s AS tr, b.s AS tc, {_W('"row"', 'a.s')} * {_W('col', 'b.s')} AS w FROM px JOIN st a ON "row" BETWEEN a.s AND a.s + 39 JOIN st b ON col BETWEEN b.s AND b.s + 39),
   m AS (SELECT scene_id, tr, tc, avg(v) AS m FROM t GROUP BY 1, 2, 3)
   SELECT scene_id, "row", col, round(sum(w * (v - m)) / nullif(sum(CASE WHEN v IS NOT NULL THEN w END), 0), 6) AS v FROM t JOIN m USING (scene_id, tr, tc) GROUP BY 1, 2, 3""")
 def tiled_feathered_run(spark, sf_dir):
     """A tile function (value less the tile's mean) run on overlapping 40 x 40 tiles and blended by feathered weights."""
-    tiles = ops.in_tiles(src.event_raster(spark, sf_dir), 100, 40, 6)
+    tiles = ops.in_tiles(src.event_raster(spark, sf_dir), 100, 100, 40, 6)
     out = tiles.withColumn("out", F.col("v") - F.avg("v").over(Window.partitionBy(*KEYS, "tr", "tc")))
     total = F.sum(F.when(F.col("out").isNotNull(), F.col("w")))
     return out.groupBy(*KEYS, "row", "col").agg(R(F.sum(F.col("w") * F.col("out")) / F.when(total != 0, total)).alias("v"))
@@ -122,13 +122,13 @@ def bbox_reprojection(spark, sf_dir):
 
 
 @query("""WITH p AS (SELECT l_orderkey AS ring, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k, CASE WHEN l_quantity > 40 THEN 100.0 ELSE l_quantity * 2 END AS x, CASE WHEN l_tax > 0.06 THEN 0.0 ELSE l_discount * 1000 END AS y FROM lineitem),
-  e AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM p WINDOW w AS (PARTITION BY ring ORDER BY k)), c AS (SELECT *, (x = 100 AND x2 = 100) OR (x = 0 AND x2 = 0) OR (y = 0 AND y2 = 0) OR (abs(y - 100) <= 0.1 AND abs(y2 - 100) <= 0.1) AS cut FROM e WHERE x2 IS NOT NULL),
+  e AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM p WINDOW w AS (PARTITION BY ring ORDER BY k)), c AS (SELECT *, (abs(x - 100) < 0.1 AND abs(x2 - 100) < 0.1) OR (abs(x) < 0.1 AND abs(x2) < 0.1) OR (abs(y) < 0.06 AND abs(y2) < 0.06) OR (abs(y - 60) < 0.06 AND abs(y2 - 60) < 0.06) AS cut FROM e WHERE x2 IS NOT NULL),
   r AS (SELECT *, sum(cut::INT) OVER (PARTITION BY ring ORDER BY k) AS run FROM c) SELECT ring, CAST(run AS BIGINT) AS run, CAST(min(k) AS INTEGER) AS first, count(*) + 1 AS points FROM r WHERE NOT cut GROUP BY 1, 2""")
 def coastline_edges(spark, sf_dir):
     """Ring edges without those on the boundary of their tile, joined into runs."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     points = src.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ring"), F.row_number().over(order).alias("k"), F.when(F.col("l_quantity") > 40, 100.0).otherwise(F.col("l_quantity") * 2).alias("x"), F.when(F.col("l_tax") > 0.06, 0.0).otherwise(F.col("l_discount") * 1000).alias("y"))
-    return ops.edges_inside(points, ["ring"], 0.0, 100.0, 0.1)
+    return ops.edges_inside(points, ["ring"], (0.0, 0.0, 100.0, 60.0))
 
 
 @query("""SELECT c_custkey, CAST(c_custkey % 4 + 1 AS INTEGER) AS zoom, 'scene-' || c_nationkey AS scene, list_slice(string_split(CASE c_custkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'a,b,c,d,e,f' ELSE 'x,y' END, ','), 1, 4) AS compare FROM customer""")
@@ -163,12 +163,11 @@ def corner_parse(spark, sf_dir):
     return g.select("id", R(angle(1, 2)).alias("lat"), R(angle(8, 3)).alias("lon"), ((F.col("x0") < -180) | (F.col("x1") > 180)).alias("projected"), shown.alias("shown"))
 
 
-@query("""SELECT c_nationkey AS collection, count(*) AS n, round(avg(c_acctbal), 6) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS k FROM customer) WHERE k % 4 = 0 GROUP BY 1""")
+@query("""SELECT collection, count(*) AS n, round(avg(bytes), 6) AS mean FROM (SELECT o_custkey // 500 AS collection, o_totalprice AS bytes, row_number() OVER (PARTITION BY o_custkey // 500 ORDER BY o_orderkey) - 1 AS k, count(*) OVER (PARTITION BY o_custkey // 500) AS total FROM orders) WHERE k % greatest(1, total // 256) = 0 GROUP BY 1""")
 def chunk_byte_average(spark, sf_dir):
-    """Mean size of every fourth chunk of each dataset (the sample is the operator)."""
-    k = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
-    c = src.table(spark, sf_dir, "customer").withColumn("k", k).where(F.pmod("k", F.lit(4)) == 0)
-    return c.groupBy(F.col("c_nationkey").alias("collection")).agg(F.count("*").alias("n"), R(F.avg("c_acctbal")).alias("mean"))
+    """Mean size of evenly strided chunks of each dataset, some 256 of it where it has more (the sample is the operator)."""
+    o = src.table(spark, sf_dir, "orders").select(F.floor(F.col("o_custkey") / 500).alias("collection"), F.col("o_orderkey").alias("chunk"), F.col("o_totalprice").alias("bytes"))
+    return ops.strided_mean(o, "collection", "chunk", "bytes").select("collection", "n", R(F.col("mean")).alias("mean"))
 
 
 @query(f"""WITH {G} SELECT id, x0, y0, x1, y1, full_frame FROM granules""")

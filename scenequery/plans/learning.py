@@ -37,11 +37,11 @@ def class_counts(spark, sf_dir):
 
 
 @query(f"""{_DB}, l AS (SELECT *, {_LABEL} AS label, scene_id * 15625 + "row" * 125 + col AS id FROM d), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('1337:' || id), id) AS k FROM l WHERE label < 254)
-  SELECT id, label, round(x, 6) AS x, round(y, 6) AS y FROM r WHERE k <= 500""")
+  SELECT id, label, round(x, 6) AS x, round(y, 6) AS y FROM r WHERE k <= 20000""")
 def labelled_dataset(spark, sf_dir):
-    """Labelled pixels, without ambiguous ones, at most 500 a class by a seeded order."""
+    """Labelled pixels, without ambiguous ones, at most 20,000 a class by a seeded order."""
     rows = _db(spark, sf_dir).select((F.col("scene_id") * 15625 + F.col("row") * 125 + F.col("col")).alias("id"), ops.label(F.col("x"), F.col("y"), REGIONS).alias("label"), R(F.col("x")).alias("x"), R(F.col("y")).alias("y"))
-    return ops.capped_sample(rows.where(F.col("label") < ops.AMBIGUOUS), "label", "id", 500, 1337)
+    return ops.capped_sample(rows.where(F.col("label") < ops.AMBIGUOUS), "label", "id")
 
 
 @query("""SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) <= CASE WHEN count(*) OVER (PARTITION BY label) >= 2 THEN greatest(1, floor(count(*) OVER (PARTITION BY label) * 0.25 + 0.5)) ELSE 0 END AS held_out FROM embeddings""")

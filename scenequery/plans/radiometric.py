@@ -173,17 +173,20 @@ def planar_ramp(spark, sf_dir):
     return fit.select("scene_id", R(F.col("a"), 4).alias("a"), R(F.col("b"), 4).alias("b"), R(F.col("c"), 4).alias("c"), "n_pixels")
 
 
-_CUBE = f"""WITH {PX}, g AS (SELECT k, j, i, 30.0 + 2 * i - j + 0.5 * k + 0.1 * i * j AS value FROM range(3) a(k), range(5) b(j), range(6) c(i)),
+_CUBE = f"""WITH {PX}, g AS (SELECT k, j, i, CASE WHEN (7 * i + 3 * j + 5 * k) % 11 < 3 OR (k = 1 AND i < 3 AND j < 3) THEN NULL ELSE 30.0 + 2 * i - j + 0.5 * k + 0.1 * i * j END AS value FROM range(3) a(k), range(5) b(j), range(6) c(i)),
   q AS (SELECT {_AT}, col * 5 / 99.0 AS fi, "row" * 4 / 99.0 AS fj, least(2.0, greatest(0.0, v / 250.0)) AS fk FROM px WHERE v IS NOT NULL),
-  c AS (SELECT *, least(4, CAST(floor(fi) AS INTEGER)) AS i0, least(3, CAST(floor(fj) AS INTEGER)) AS j0, least(1, CAST(floor(fk) AS INTEGER)) AS k0 FROM q)
-  SELECT {_AT}, round(sum(value * (1 - abs(fi - i)) * (1 - abs(fj - j)) * (1 - abs(fk - k))) / sum((1 - abs(fi - i)) * (1 - abs(fj - j)) * (1 - abs(fk - k))), 6) AS value
-  FROM c JOIN g ON i IN (i0, i0 + 1) AND j IN (j0, j0 + 1) AND k IN (k0, k0 + 1) GROUP BY 1, 2, 3"""
+  c AS (SELECT *, least(4, CAST(floor(fi) AS INTEGER)) AS i0, least(3, CAST(floor(fj) AS INTEGER)) AS j0, least(1, CAST(floor(fk) AS INTEGER)) AS k0 FROM q),
+  w AS (SELECT *, (1 - abs(fi - i)) * (1 - abs(fj - j)) AS w FROM c JOIN g ON i IN (i0, i0 + 1) AND j IN (j0, j0 + 1) AND k IN (k0, k0 + 1)),
+  l AS (SELECT {_AT}, fk - k0 AS t, k - k0 AS d, sum(value * w) / nullif(sum(CASE WHEN value IS NOT NULL THEN w END), 0) AS v FROM w GROUP BY 1, 2, 3, 4, 5),
+  b AS (SELECT {_AT}, t, max(CASE WHEN d = 0 THEN v END) AS v0, max(CASE WHEN d = 1 THEN v END) AS v1 FROM l GROUP BY 1, 2, 3, 4)
+  SELECT {_AT}, round(CASE WHEN t = 0 THEN v0 WHEN t = 1 THEN v1 ELSE coalesce(v0 * (1 - t) + v1 * t, v0, v1) END, 6) AS value FROM b"""
 
 
 @query(_CUBE)
 def cube_interpolate(spark, sf_dir):
-    """Each pixel's trilinear value of a metadata cube with 3 x 5 x 6 nodes."""
-    grid = [[[30.0 + 2 * i - j + 0.5 * k + 0.1 * i * j for i in range(6)] for j in range(5)] for k in range(3)]
+    """Each pixel's trilinear value of a metadata cube with 3 x 5 x 6 nodes, of which some have no value."""
+    missing = lambda i, j, k: (7 * i + 3 * j + 5 * k) % 11 < 3 or (k == 1 and i < 3 and j < 3)
+    grid = [[[None if missing(i, j, k) else 30.0 + 2 * i - j + 0.5 * k + 0.1 * i * j for i in range(6)] for j in range(5)] for k in range(3)]
     px = src.event_raster(spark, sf_dir).where("v is not null")
     return px.select(*AT, R(cube.trilinear(grid, F.col("col") * 5 / 99.0, F.col("row") * 4 / 99.0, F.col("v") / 250.0)).alias("value"))
 

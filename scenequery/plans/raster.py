@@ -214,10 +214,11 @@ def probe_phase(spark, sf_dir):
     return px.groupBy(*KEYS).agg(R(F.atan2(F.avg("im"), F.avg("re"))).alias("phase"))
 
 
-@query(f"""WITH {PX} SELECT scene_id, "row", col, round(10 * log10(v), 6) AS db FROM px WHERE "row" = 33 AND col % 4 = 0 AND v > 0""")
+@query(f"""WITH {PX} SELECT scene_id, "row", col, round(10 * log10(v), 6) AS db FROM px WHERE "row" = 33 AND v > 0 AND col % greatest(1, 100 // least(512, 100)) = 0""")
 def row_probe(spark, sf_dir):
-    """Every fourth column of row 33, in decibels."""
-    return src.event_raster(spark, sf_dir).where((F.col("row") == 33) & (F.pmod("col", F.lit(4)) == 0) & (F.col("v") > 0)).select(*KEYS, "row", "col", R(rad.db(F.col("v"))).alias("db"))
+    """At most about 512 evenly strided columns of row 33, in decibels."""
+    step = max(1, src.EVENT_WIDTH // min(512, src.EVENT_WIDTH))
+    return src.event_raster(spark, sf_dir).where((F.col("row") == 33) & (F.pmod("col", F.lit(step)) == 0) & (F.col("v") > 0)).select(*KEYS, "row", "col", R(rad.db(F.col("v"))).alias("db"))
 
 
 def _transect_samples():

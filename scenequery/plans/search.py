@@ -45,7 +45,7 @@ def stac_property_filter(spark, sf_dir):
     """A property equal to a text (gte is then ignored), in a box whose edges do not count."""
     items = src.stac_items(spark, sf_dir)
     box = tuple(F.col("bbox")[k] for k in range(4))
-    return items.where(ops.property_matches(F.col("properties"), "k; --", {"eq": 7, "gte": 99}) & ops.intersects(box, (-120.0, -60.0, 120.0, 60.0), touching=False)).select("id", "collection")
+    return items.where(ops.property_matches(F.col("properties"), "k; '", {"eq": 7, "gte": 99}) & ops.intersects(box, (-120.0, -60.0, 120.0, 60.0), touching=False)).select("id", "collection")
 
 
 @query(f"WITH {ITEMS} SELECT collection, CAST(datetime AS DATE) AS day, count(*) AS n FROM items WHERE datetime >= TIMESTAMP '2024-01-01' AND datetime <= TIMESTAMP '2024-01-20 23:59:59' GROUP BY 1, 2")
