@@ -135,3 +135,61 @@ def epsg_from_wkt(wkt: Column) -> Column:
     """The last EPSG code of a CRS text, in either notation."""
     codes = F.regexp_extract_all(wkt, F.lit(r'(?:AUTHORITY|ID)\["EPSG",\s*"?(\d+)'), F.lit(1))
     return F.when(F.size(codes) > 0, F.element_at(codes, -1).cast("int"))
+
+
+def pixel_bounds(first: Column, count: Column, start: float, end: float, n: int) -> tuple[Column, Column]:
+    """Edges, lower one first, of ``count`` pixels from ``first`` on of a linear axis from ``start`` to ``end``."""
+    at = lambda k: start + k / float(n) * (end - start)
+    return F.least(at(first), at(first + count)), F.greatest(at(first), at(first + count))
+
+
+def utm_inverse(easting: Column, northing: Column, zone: int, south: bool = False) -> tuple[Column, Column]:
+    """Longitude and latitude in degrees of UTM coordinates (WGS84), by series."""
+    e1 = (1 - (1 - E2) ** 0.5) / (1 + (1 - E2) ** 0.5)
+    mu = (northing - (10_000_000.0 if south else 0.0)) / 0.9996 / (A * (1 - E2 / 4 - 3 * E2**2 / 64 - 5 * E2**3 / 256))
+    p = mu + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * mu) + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * mu) + (151 * e1**3 / 96) * F.sin(6 * mu) + (1097 * e1**4 / 512) * F.sin(8 * mu)
+    s2 = F.sin(p) * F.sin(p)
+    n, r = A / F.sqrt(1 - E2 * s2), A * (1 - E2) / F.pow(1 - E2 * s2, F.lit(1.5))
+    t, c, d = F.pow(F.tan(p), F.lit(2)), EP2 * F.cos(p) * F.cos(p), (easting - 500_000.0) / (A / F.sqrt(1 - E2 * s2) * 0.9996)
+    lat = p - n * F.tan(p) / r * (d * d / 2 - (5 + 3 * t + 10 * c - 4 * c * c - 9 * EP2) * F.pow(d, F.lit(4)) / 24 + (61 + 90 * t + 298 * c + 45 * t * t - 252 * EP2 - 3 * c * c) * F.pow(d, F.lit(6)) / 720)
+    lon = (d - (1 + 2 * t + c) * F.pow(d, F.lit(3)) / 6 + (5 - 2 * c + 28 * t - 3 * c * c + 8 * EP2 + 24 * t * t) * F.pow(d, F.lit(5)) / 120) / F.cos(p)
+    return F.degrees(lon) + (6 * zone - 183), F.degrees(lat)
+
+
+#: Polar stereographic systems by EPSG code: north or south, latitude of true scale, central meridian, false easting and northing.
+POLAR = {3413: (1, 70.0, -45.0, 0.0), 3031: (-1, 71.0, 0.0, 0.0), 32661: (1, 90.0, 0.0, 2_000_000.0), 32761: (-1, 90.0, 0.0, 2_000_000.0)}
+
+
+def _polar_radius(true_scale: float) -> float:
+    """Radius by which the isometric term of a latitude is multiplied."""
+    e = E2**0.5
+    if true_scale == 90.0:
+        return 2 * A / ((1 + e) ** (1 + e) * (1 - e) ** (1 - e)) ** 0.5
+    s = math.sin(math.radians(true_scale))
+    t = math.tan(math.pi / 4 - math.radians(true_scale) / 2) / ((1 - e * s) / (1 + e * s)) ** (e / 2)
+    return A * math.cos(math.radians(true_scale)) / (1 - E2 * s * s) ** 0.5 / t
+
+
+def polar_forward(lon: Column, lat: Column, epsg: int) -> tuple[Column, Column]:
+    """x and y of a polar stereographic system of ``POLAR`` (UPS where true scale is at the pole, with its factor 0.994)."""
+    side, true_scale, meridian, false = POLAR[epsg]
+    e, p, lam = E2**0.5, F.radians(lat * side), F.radians((lon - meridian) * side)
+    t = F.tan(math.pi / 4 - p / 2) / F.pow((1 - e * F.sin(p)) / (1 + e * F.sin(p)), F.lit(e / 2))
+    rho = t * _polar_radius(true_scale)
+    return false + side * rho * F.sin(lam), false - side * rho * F.cos(lam)
+
+
+def polar_inverse(x: Column, y: Column, epsg: int) -> tuple[Column, Column]:
+    side, true_scale, meridian, false = POLAR[epsg]
+    u, v = (x - false) * side, (y - false) * side
+    chi = math.pi / 2 - 2 * F.atan(F.sqrt(u * u + v * v) / _polar_radius(true_scale))
+    p = chi + (E2 / 2 + 5 * E2**2 / 24 + E2**3 / 12 + 13 * E2**4 / 360) * F.sin(2 * chi) + (7 * E2**2 / 48 + 29 * E2**3 / 240 + 811 * E2**4 / 11520) * F.sin(4 * chi) + (7 * E2**3 / 120 + 81 * E2**4 / 1120) * F.sin(6 * chi) + (4279 * E2**4 / 161280) * F.sin(8 * chi)
+    return F.pmod(F.degrees(F.atan2(u, -v)) * side + meridian + 180, F.lit(360.0)) - 180, F.degrees(p) * side
+
+
+def envelope(box: tuple[Column, Column, Column, Column], to_degrees) -> tuple[Column, Column, Column, Column]:
+    """Degrees that a projected box reaches: of its corners and the middles of its edges. ``to_degrees``: (x, y) -> (lon, lat)."""
+    x0, y0, x1, y1 = box
+    mx, my = (x0 + x1) / 2, (y0 + y1) / 2
+    points = [to_degrees(x, y) for x, y in ((x0, y0), (x0, y1), (x1, y0), (x1, y1), (mx, y0), (mx, y1), (x0, my), (x1, my))]
+    return F.least(*(p[0] for p in points)), F.least(*(p[1] for p in points)), F.greatest(*(p[0] for p in points)), F.greatest(*(p[1] for p in points))

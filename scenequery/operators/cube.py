@@ -37,6 +37,14 @@ def trilinear(grid: list[list[list[float | None]]], fi: Column, fj: Column, fk:
     return F.when(inside, mixed)
 
 
+def resampled(grid: list[list[float | None]], row: Column, col: Column, height: int, width: int) -> Column:
+    """A small grid's value at a pixel of a larger one whose corners are the same, bilinear; missing nodes lose their weight, and 0
+    stands where all are missing, so that layers can be added up."""
+    scale = lambda n, m: (n - 1) / ((m - 1) or 1)
+    fj, fi = row * scale(len(grid), height), col * scale(len(grid[0]), width)
+    return F.coalesce(trilinear([grid], fi, fj, F.lit(0.0)), F.lit(0.0))
+
+
 def plane_fit(points: DataFrame, keys: list[str], least: int = 10) -> DataFrame:
     """a, b, c of p = a x + b y + c by least squares over all points of a group; zeros with too few or on one line."""
     x, y, p = F.col("x"), F.col("y"), F.col("p")

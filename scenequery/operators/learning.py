@@ -84,6 +84,17 @@ def scores(matrix: DataFrame) -> DataFrame:
     return c.select("cls", ratio(tp, found).alias("precision"), ratio(tp, actual).alias("recall"), ratio(2 * tp, found + actual).alias("f1"), ratio(tp, found + actual - tp).alias("iou"))
 
 
+def summary(rows: DataFrame, truth: str, predicted: str, classes: int) -> DataFrame:
+    """One row: n and accuracy over all rows, macro F1 and mean IoU over ``classes`` classes; INVALID predictions count as wrong in the accuracy only."""
+    matrix = rows.groupBy(F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
+    at = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
+    t, p = F.col("truth"), F.col("predicted")
+    parts = [(at((t == k) & (p == k)), at((t == k) & (p != INVALID)), at(p == k)) for k in range(classes)]
+    ratio = lambda a, b: F.when(b > 0, a / F.nullif(b, F.lit(0))).otherwise(0.0)
+    mean = lambda f: sum((f(*x) for x in parts), F.lit(0.0)) / classes
+    return matrix.agg(at(F.lit(True)).alias("n"), ratio(at(t == p), at(F.lit(True))).alias("accuracy"), mean(lambda tp, a, f: ratio(2 * tp, a + f)).alias("macro_f1"), mean(lambda tp, a, f: ratio(tp, a + f - tp)).alias("mean_iou"))
+
+
 def softmax_predict(features: list[Column], mean: list[float], std: list[float], weights: list[list[float]]) -> tuple[Column, Column]:
     """Class (the first of the best) and its probability; weights are a row a class, bias last. INVALID for missing features."""
     z = [(x - m) / s for x, m, s in zip(features, mean, std, strict=True)]

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import footprints
+
 WORLD = (-180.0, -90.0, 180.0, 90.0)
 
 
@@ -109,8 +111,33 @@ def rank_granules(granules: DataFrame, bbox: tuple[float, float, float, float],
     """
     box = tuple(F.col(c) for c in ("x0", "y0", "x1", "y1"))
     found = granules.where(intersects(box, bbox, touching=False)).withColumn("coverage", coverage(box, bbox))
-    order = [F.desc(F.floor(F.col("coverage") * 2 + 0.5)), F.desc(F.col("full_frame")), F.desc(F.col("pol_mode") == "DHDH"), F.desc("start_ts"), F.col("id")]
-    return found.orderBy(*order).limit(most).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return found.orderBy(*best_first()).limit(most).withColumn("rank", F.row_number().over(Window.orderBy(*best_first())))
+
+
+def best_first() -> list[Column]:
+    return [F.desc(F.floor(F.col("coverage") * 2 + 0.5)), F.desc(F.col("full_frame")), F.desc(F.col("pol_mode") == "DHDH"), F.desc("start_ts"), F.col("id")]
+
+
+def ranked(candidates: DataFrame) -> DataFrame:
+    """All candidates with their rank. Ranks count within half-point steps of coverage, with the better steps' counts before them."""
+    step = F.floor(F.col("coverage") * 2 + 0.5)
+    counts = candidates.groupBy(step.alias("_step")).agg(F.count("*").alias("_n"))  # at most 201 steps
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("_step")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy("_step").orderBy(*best_first()[1:]))
+    return candidates.withColumn("_step", step).join(F.broadcast(before), "_step").withColumn("rank", (own + F.col("_before")).cast("int")).drop("_step", "_before")
+
+
+def resolve_granules(granules: DataFrame, place: str, bbox: tuple[float, float, float, float]) -> DataFrame:
+    """Granules with a data link that cover some of a box, of the first collection (by ``place``) that has any, best first.
+
+    ``granules``: id, url, ring, full_frame, pol_mode, start_ts. It is an error if there are none at all.
+    """
+    if not (bbox[0] < bbox[2] and bbox[1] < bbox[3]):
+        raise ValueError(f"no box: {bbox}")
+    usable = granules.where(F.col("url").isNotNull()).withColumn("coverage", footprints.coverage(F.col("ring"), bbox)).where("coverage > 0")
+    if usable.isEmpty():
+        raise ValueError(f"no granules for {bbox}")
+    return ranked(first_hit(usable, place))
 
 
 def first_hit(rows: DataFrame, priority: str) -> DataFrame:
