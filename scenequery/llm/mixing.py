@@ -5,7 +5,8 @@ words cut into blocks of ``BLOCK_WORDS``. Blocks go to sources, then to each sou
 shard that gets q of its b blocks takes all of them q // b times and q % b more, chosen by a seeded permutation.
 
 Only sums per source and per shard of a source reach the driver: at most ``MOST_SHARDS`` a source, so sources are taken
-to be a dimension of a few thousand values at most.
+to be a dimension of a few thousand values at most. A source too large for that many shards of ``SHARD_WORDS`` has as many, and
+longer ones; no row is left out. Quotas are broadcast up to ``MOST_SENT`` rows and joined by a shuffle beyond that.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from . import common
 BLOCK_WORDS = 64
 SHARD_WORDS = 1 << 17
 MOST_SHARDS = 4096
+MOST_SENT = 100_000  # quotas, of some 60 bytes each
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
 SEED = 9
@@ -92,7 +94,7 @@ def _copies(seed: int):
     up for each other: a shard's whole documents differ from its taken words by less than its longest document, and no way
     on average.
     """
-    shard = Window.partitionBy("_s", "_shard").orderBy(F.desc("size"), "_h", "doc_id", "taken", "_row.text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    shard = Window.partitionBy("_s", "_shard").orderBy(F.desc("size"), "_h", "doc_id", "taken", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ratio = F.when(F.col("size") > 0, F.round(F.col("taken") * COPY_UNIT / F.col("size"))).otherwise(0).cast("long")
     start = F.pmod(F.xxhash64(F.lit(seed), F.lit("copies"), "_s", "_shard"), F.lit(COPY_UNIT))
     upto = F.sum(ratio).over(shard) + start
@@ -102,40 +104,48 @@ def _copies(seed: int):
 def mix(docs: DataFrame, seed: int = SEED, prefix: str = "", copies: bool = False) -> DataFrame:
     """Adds size, source_size, target and taken (and copies) to every row of ``docs`` (doc_id, text, source).
 
-    The new names start with ``prefix``; a column that already has such a name is replaced.
+    The new names start with ``prefix``; a column that already has such a name is replaced. Other columns stay.
 
-    taken: the words the mix takes of the document, from 0 to twice its size. A null text has no words; null is a
-    source of its own, the last. The same rows give the same mix, in any order and partitioning.
+    taken: the words the mix takes of the document, from 0 to twice its size. A null text has no words, as an empty one; null
+    is a source of its own, the last; rows with the same or no doc_id are rows of their own, in the order of a hash of all
+    their columns. The same rows give the same mix, in any order and partitioning; an empty table gives an empty one.
 
     copies: how often to take the document where only whole ones can be taken: 0, 1 or 2 times, taken / size rounded such
     that a shard's words are met.
     """
-    spark = docs.sparkSession
     added = ["size", "source_size", "target", "taken", "copies"][: 4 + copies]
     kept = [c for c in docs.columns if c not in {prefix + a for a in added}]
-    sized = docs.select("doc_id", "source", word_count().alias("size"), F.struct(*kept).alias("_row"))
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if f.name in kept and "map<" not in f.dataType.simpleString()]
+    sized = docs.select("doc_id", "source", word_count().alias("size"), F.xxhash64(F.lit(seed), *hashed).alias("_tie"), F.struct(*(f"`{c}`" for c in kept)).alias("_row"))
+    return _mixed(sized, seed, copies).select("_row.*", *(F.col(a).alias(prefix + a) for a in added))
+
+
+def _mixed(sized: DataFrame, seed: int, copies: bool = False) -> DataFrame:
+    """``sized`` (doc_id, source, size, _tie and others) is read three times: sums by source, sums by shard, rows."""
+    spark = sized.sparkSession
+    small = lambda df, n: F.broadcast(df) if n <= MOST_SENT else df
     totals = sized.groupBy("source").agg(F.sum("size").alias("n")).collect()
     totals.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     targets = mix_targets([r["n"] for r in totals], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(totals))])
     sources = [(i, r["source"], r["n"], t, max(1, min(MOST_SHARDS, math.ceil(r["n"] / SHARD_WORDS)))) for i, (r, t) in enumerate(zip(totals, targets, strict=True))]
     by_source = spark.createDataFrame(sources, "_s int, _source string, source_size long, target double, _shards int")
-    dealt = sized.join(F.broadcast(by_source), F.col("source").eqNullSafe(F.col("_source"))).withColumn("_h", F.xxhash64(F.lit(seed), "doc_id"))
+    dealt = sized.join(small(by_source, len(sources)), F.col("source").eqNullSafe(F.col("_source"))).withColumn("_h", F.xxhash64(F.lit(seed), "doc_id"))
     dealt = dealt.withColumn("_shard", F.pmod("_h", F.col("_shards")).cast("int"))
     cells = sorted((r["_s"], r["_shard"], r["n"]) for r in dealt.groupBy("_s", "_shard").agg(F.sum("size").alias("n")).collect())
     blocks = [math.ceil(n / BLOCK_WORDS) for _, _, n in cells]
-    most = [0] * len(sources)
-    for (s, _, _), b in zip(cells, blocks, strict=True):
-        most[s] += int(MOST * b)
+    own: list[list[int]] = [[] for _ in sources]
+    for i, (s, _, _) in enumerate(cells):
+        own[s].append(i)
+    most = [sum(int(MOST * blocks[i]) for i in here) for here in own]
     seats = sainte_lague(targets, round(sum(targets) / BLOCK_WORDS), most)
     quotas: list[tuple] = []
-    for s in range(len(sources)):
-        own = [i for i, c in enumerate(cells) if c[0] == s]
-        for i, q in zip(own, sainte_lague([cells[i][2] for i in own], seats[s], [int(MOST * blocks[i]) for i in own]), strict=True):
+    for s, here in enumerate(own):
+        for i, q in zip(here, sainte_lague([cells[i][2] for i in here], seats[s], [int(MOST * blocks[i]) for i in here]), strict=True):
             m, o = _permutation(blocks[i], f"{seed}/{cells[i][:2]}") if blocks[i] else (1, 0)
             quotas.append((*cells[i][:2], max(1, blocks[i]), q // max(1, blocks[i]), q % max(1, blocks[i]), m, o))
     by_cell = spark.createDataFrame(quotas, "_s int, _shard int, _blocks long, _full long, _more long, _m long, _o long")
-    stream = Window.partitionBy("_s", "_shard").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = dealt.join(F.broadcast(by_cell), ["_s", "_shard"]).withColumn("_from", F.coalesce(F.sum("size").over(stream), F.lit(0))).withColumn("_to", F.col("_from") + F.col("size"))
+    stream = Window.partitionBy("_s", "_shard").orderBy("_h", "doc_id", "size", "_tie").rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.join(small(by_cell, len(quotas)), ["_s", "_shard"]).withColumn("_from", F.coalesce(F.sum("size").over(stream), F.lit(0))).withColumn("_to", F.col("_from") + F.col("size"))
     size = F.lit(BLOCK_WORDS)
     chosen = lambda k: F.pmod(k * F.col("_m") + F.col("_o"), F.col("_blocks")) < F.col("_more")
     overlap = lambda k: F.least((k + 1) * size, F.col("_to")) - F.greatest(k * size, F.col("_from"))
@@ -143,12 +153,11 @@ def mix(docs: DataFrame, seed: int = SEED, prefix: str = "", copies: bool = Fals
     partly = F.aggregate(touched, F.lit(0).cast("long"), lambda acc, k: acc + F.when(chosen(k), overlap(k)).otherwise(F.lit(0)))
     taken = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("_full") * F.col("size") + partly).cast("long")
     placed = placed.withColumn("taken", taken)
-    if copies:
-        placed = placed.withColumn("copies", _copies(seed))
-    return placed.select("_row.*", *(F.col(a).alias(prefix + a) for a in added))
+    return placed.withColumn("copies", _copies(seed)) if copies else placed
 
 
 def op9_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mix of all documents: doc_id, size, source_size, target, taken."""
-    docs = common.documents(spark, sf_dir).select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    """The mix of all documents: doc_id, size, source_size, target, taken. Texts are counted once, and do not go along."""
+    docs = common.documents(spark, sf_dir)
+    sized = common.staged(docs.select("doc_id", "source", word_count().alias("size"), F.xxhash64(F.lit(SEED), "doc_id", "text", "source").alias("_tie")), "sizes")
+    return _mixed(sized, SEED).select("doc_id", "size", "source_size", "target", "taken")
