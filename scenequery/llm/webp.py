@@ -1,16 +1,19 @@
 """Lossless WebP columns: decode files to pixel arrays, and keep bytes as grayscale pictures.
 
 The decoder reads the whole lossless format: prefix codes, back-references, colour cache, groups of codes chosen by an
-entropy image, and the predictor, cross-colour, subtract-green and palette transforms. Where all symbols of a picture are
-literals of one code length, it reads them at once.
+entropy image, and the predictor, cross-colour, subtract-green and palette transforms. Pictures that vary in one channel
+only are read many bits at a time: what a token at each bit would be, then which bits tokens start at.
 
 Payloads are written as pictures of 192 columns with equal red, green and blue, at most 16,384 rows each; longer payloads
-become several files, one after another.
+become several files, one after another. The writer uses what pays for such bytes: prefix codes of their frequencies,
+back-references to repeated passages, and a palette where there are at most 16 levels. Predictors, cross-colour, the
+colour cache and several groups of codes do not pay there, so op2 does not meet them; the decoder's tests do.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import struct
 import zlib
 from collections.abc import Iterator
@@ -24,6 +27,9 @@ from . import common
 
 UNIT = 192
 MOST_ROWS = 16_384
+WINDOW = 1 << 17  # bits looked at together
+LEAST_COPY, MOST_COPY = 12, 4096
+FARTHEST = (1 << 20) - 120  # fixed by the format, as is the most that one reference copies
 
 #: The order in which lengths of the code-length code are stored.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -62,11 +68,10 @@ class Bits:
 class Code:
     """A canonical prefix code from the lengths of its symbols."""
 
-    def __init__(self, lengths: list[int]):
-        used = [s for s, n in enumerate(lengths) if n]
+    def __init__(self, lengths: list[int], used: list[int] | None = None):
+        used = [s for s, n in enumerate(lengths) if n] if used is None else used
         self.only = used[0] if len(used) == 1 else None
         self.symbols = used
-        self.fixed = lengths[used[0]] if used and len({lengths[s] for s in used}) == 1 else None
         self.lengths = lengths
         self.table: dict[tuple[int, int], int] | None = None
 
@@ -102,14 +107,37 @@ class Code:
         return table
 
 
+    def lookup(self) -> np.ndarray:
+        """For every value of the next bits, as many as the longest code has: the symbol, and above its 12 bits how many it takes."""
+        if self.only is not None:
+            return np.array([self.only])
+        used = np.array(self.symbols)
+        n = np.array(self.lengths)[used]
+        longest = int(n.max(initial=0))
+        order = np.argsort(n, kind="stable")
+        first_bit_first = np.repeat((used | n << 12)[order], 1 << (longest - n[order]))
+        if len(first_bit_first) != 1 << longest:
+            raise ValueError("not a complete code")
+        return first_bit_first[_reversed(longest)]
+
+
+def _reversed(n: int, kept: dict = {}) -> np.ndarray:  # noqa: B006
+    """Numbers of n bits with their bits in reverse order."""
+    if n not in kept:
+        kept[n] = np.zeros(1, np.int64) if not n else np.concatenate([_reversed(n - 1) * 2, _reversed(n - 1) * 2 + 1])
+    return kept[n]
+
+
 def _read_code(bits: Bits, alphabet: int) -> Code:
     lengths = [0] * max(alphabet, 256)
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
-        lengths[bits.read(8 if wide else 1)] = 1
+        used = {bits.read(8 if wide else 1)}
         if two:
-            lengths[bits.read(8)] = 1
-        return Code(lengths)
+            used.add(bits.read(8))
+        for s in used:
+            lengths[s] = 1
+        return Code(lengths, sorted(used))
     of_lengths = [0] * 19
     for k in LENGTH_ORDER[: 4 + bits.read(4)]:
         of_lengths[k] = bits.read(3)
@@ -150,6 +178,79 @@ def _value(bits: Bits, symbol: int) -> int:
     return ((2 + (symbol & 1)) << extra) + bits.read(extra) + 1
 
 
+def _values(symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of length or distance symbols: the least number each stands for, and how many extra bits add to it."""
+    extra = np.maximum(symbol - 2, 0) >> 1
+    return np.where(symbol < 4, symbol, (2 + (symbol & 1)) << extra) + 1, extra
+
+
+def _read_levels(bits: Bits, total: int, width: int, green: Code, distances: Code) -> np.ndarray:
+    """The green channel of a picture whose other channels have one value each, so a token is a literal or a back-reference."""
+    if green.only is not None:
+        return np.full(total, green.only, np.uint8)
+    data = np.concatenate([np.frombuffer(bits.data, np.uint8), np.zeros(16, np.uint8)])
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))  # the eight bytes from each byte on
+    ahead = lambda at, n: (eight[np.minimum(at >> 3, len(eight) - 1)] >> (at & 7).astype(np.uint64) & ((np.uint64(1) << n.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+    tokens, far = green.lookup(), distances.lookup() if distances.symbols else np.zeros(1, np.int64)
+    far_width = np.array(len(far).bit_length() - 1)
+    out, done = np.zeros(total, np.uint8), 0
+    while done < total:
+        first, here = bits.at >> 3, min(WINDOW, 8 * len(bits.data) - bits.at)
+        if here <= 0:
+            raise ValueError("truncated")
+        # what a token that starts at each bit would be, and how many bits it takes
+        low = eight[first : first + (here >> 3) + 2].astype(np.uint32)
+        token = tokens[((low[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32(len(tokens) - 1)).ravel()[bits.at & 7 :][:here]]
+        step = token >> 12
+        copy = np.flatnonzero(token & 256)
+        least, extra = _values((token[copy] & 4095) - 256)
+        at = bits.at + copy + step[copy]
+        length = least + ahead(at, extra)
+        at += extra
+        code = far[ahead(at, far_width)]
+        least, more = _values(code & 4095)
+        at += code >> 12
+        distance = least + ahead(at, more)
+        step[copy] = at + more - bits.at - copy
+        # which bits tokens start at: 16 tokens at a time, then those in between
+        after = np.arange(here + 1)
+        after[:-1] += step
+        jumps = [np.minimum(after, here, out=after)]
+        for _ in range(4):
+            jumps.append(jumps[-1][jumps[-1]])
+        starts, p, jump = [], 0, jumps.pop().item
+        while p < here:
+            starts.append(p)
+            p = jump(p)
+        start = np.array(starts)
+        for j in reversed(jumps):
+            start = np.stack([start, j[start]], 1).ravel()
+        start = start[start < here]
+        symbol = token[start] & 4095
+        of_copy = np.searchsorted(copy, start[symbol >= 256])
+        sizes = np.ones(len(start), np.int64)
+        sizes[symbol >= 256] = length[of_copy]
+        ends = done + np.cumsum(sizes)
+        n = int(np.searchsorted(ends, total)) + 1  # tokens up to the end of the picture
+        start, symbol, ends, sizes = start[:n], symbol[:n], ends[:n], sizes[:n]
+        literal = symbol < 256
+        out[ends[literal] - 1] = symbol[literal]
+        for end, size, d in zip(ends[~literal].tolist(), sizes[~literal].tolist(), distance[of_copy].tolist(), strict=False):
+            d = d - 120 if d > 120 else max(1, NEIGHBOURS[d - 1][0] + NEIGHBOURS[d - 1][1] * width)
+            a = end - size
+            if d > a or end > total:
+                raise ValueError("a reference out of the picture")
+            if d >= size:
+                out[a:end] = out[a - d : end - d]
+            else:
+                out[a:end] = np.resize(out[a - d : a], size)
+        bits.at += int(start[-1] + step[start[-1]])
+        done = int(ends[-1])
+    if bits.at > 8 * len(bits.data):
+        raise ValueError("truncated")
+    return out
+
+
 def _read_image(bits: Bits, width: int, height: int, main: bool = False) -> np.ndarray:
     """One entropy-coded image, as uint32 ARGB of height x width."""
     cache_bits = bits.read(4) if bits.read(1) else 0
@@ -161,21 +262,10 @@ def _read_image(bits: Bits, width: int, height: int, main: bool = False) -> np.n
     groups = [[_read_code(bits, n) for n in (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)] for _ in range(n_groups)]
     total = width * height
     green, *others = groups[0][:4]
-    if n_groups == 1 and not cache_bits and all(c.only is not None for c in others) and green.symbols and green.symbols[-1] < 256 and (green.only is not None or green.fixed == (len(green.symbols) - 1).bit_length() and len(green.symbols) == 1 << green.fixed):
+    if n_groups == 1 and not cache_bits and all(c.only is not None for c in others) and (green.only is None or green.only < 256):
         red, blue, alpha = (np.uint32(c.only) for c in others)
-        literal = np.array(green.symbols, np.uint32)
-        if green.only is None:
-            n = green.fixed
-            first = bits.at >> 3
-            raw = np.frombuffer(bits.data, np.uint8, (bits.at + total * n + 7 >> 3) - first, first)
-            spread = np.unpackbits(raw, bitorder="little")[bits.at & 7 :][: total * n].reshape(total, n)
-            bits.at += total * n
-            eight = np.zeros((total, 8), np.uint8)
-            eight[:, 8 - n :] = spread
-            literal = literal[np.packbits(eight, axis=1).ravel()]
-        else:
-            literal = np.full(total, green.only, np.uint32)
-        return (alpha << np.uint32(24) | red << np.uint32(16) | blue | literal << np.uint32(8)).reshape(height, width)
+        levels = _read_levels(bits, total, width, green, groups[0][4])
+        return (alpha << np.uint32(24) | red << np.uint32(16) | blue | levels.astype(np.uint32) << np.uint32(8)).reshape(height, width)
     out = [0] * total
     cache, at = [0] * (1 << cache_bits if cache_bits else 0), 0
     while at < total:
@@ -304,27 +394,169 @@ def decode(data: bytes) -> np.ndarray:
     return pixels
 
 
+def code_lengths(counts: dict[int, int], limit: int) -> dict[int, int]:
+    """Lengths of a prefix code for at least two symbols with these counts, none above ``limit``."""
+    symbols = list(counts)
+    while True:
+        heap = [(n, k) for k, n in enumerate(counts.values())]
+        heapq.heapify(heap)
+        above = [0] * (2 * len(heap) - 1)
+        for k in range(len(symbols), len(above)):
+            n, a = heapq.heappop(heap)
+            more, b = heap[0]
+            above[a] = above[b] = k
+            heapq.heapreplace(heap, (n + more, k))
+        depth = [0] * len(above)
+        for k in range(len(above) - 2, -1, -1):
+            depth[k] = depth[above[k]] + 1
+        if max(depth[: len(symbols)]) <= limit:
+            return dict(zip(symbols, depth, strict=False))
+        counts = {s: n // 2 + 1 for s, n in counts.items()}
+
+
+def _codes(length: dict[int, int]) -> dict[int, tuple[int, int]]:
+    """Canonical codes of symbols, as (bits in the order they are written, how many)."""
+    code, before, found, turned = 0, 0, {}, _reversed(15)
+    for n, s in sorted((n, s) for s, n in length.items()):
+        code <<= n - before
+        before = n
+        found[s] = (int(turned[code]) >> (15 - n), n)
+        code += 1
+    return found
+
+
+def _write_code(counts: dict[int, int], alphabet: int) -> tuple[list[tuple[int, int]], dict[int, tuple[int, int]]]:
+    """A prefix code as fields (value, bits) of the file, and the codes of its symbols."""
+    if len(counts) <= 2 and all(s < 256 for s in counts):
+        two = sorted(counts) or [0]
+        return [(1, 1), (len(two) - 1, 1), (1, 1), *((s, 8) for s in two)], {s: (k, len(two) - 1) for k, s in enumerate(two)}
+    if len(counts) == 1:
+        counts = {**counts, 0: 0}
+    length = code_lengths(counts, 15)
+    runs, before = [], -1
+    for s in [*sorted(length), alphabet]:
+        gap = s - before - 1
+        while gap >= 3:
+            n = min(gap, 138)
+            runs.append((18, n - 11, 7) if n >= 11 else (17, n - 3, 3))
+            gap -= n
+        runs += [(0, 0, 0)] * gap
+        if s < alphabet:
+            runs.append((length[s], 0, 0))
+        before = s
+    seen: dict[int, int] = {}
+    for k, _, _ in runs:
+        seen[k] = seen.get(k, 0) + 1
+    inner = code_lengths(seen, 7)
+    own, fields = _codes(inner), [(0, 1), (len(LENGTH_ORDER) - 4, 4)]
+    fields += [(inner.get(k, 0), 3) for k in LENGTH_ORDER]
+    fields.append((0, 1))
+    for k, value, n in runs:
+        fields.append(own[k])
+        if n:
+            fields.append((value, n))
+    return fields, _codes(length)
+
+
+#: Red and blue 0 and alpha 255 throughout.
+_OTHERS = [field for only in (0, 0, 255) for field in _write_code({only: 1}, 256)[0]]
+
+
+def _repeats(v: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of passages seen before, in order and without overlap. Only places after white space and every
+    sixteenth one are looked at; what is missed costs bits, nothing else."""
+    n = len(v) - LEAST_COPY
+    if n < 1:
+        return []
+    place = np.flatnonzero(np.concatenate([[False], v[: n - 1] <= 32]) | (np.arange(n) & 15 == 0))
+    key = np.ndarray((n,), "<u8", v, strides=(1,))[place] * np.uint64(0x9E3779B97F4A7C15) ^ np.ndarray((n,), "<u4", v[8:], strides=(1,))[place]
+    order = np.argsort(key, kind="stable")
+    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    later, sooner = place[order[same + 1]], place[order[same]]
+    found, end = [], 0
+    for i in np.argsort(later).tolist():
+        p, q = int(later[i]), int(sooner[i])
+        if p < end or p - q > FARTHEST:
+            continue
+        a, b = v[p : p + MOST_COPY], v[q : q + min(MOST_COPY, len(v) - p)]
+        differ = np.flatnonzero(a != b)
+        size = int(differ[0]) if len(differ) else len(a)
+        if size >= LEAST_COPY:
+            found.append((p, size, p - q))
+            end = p + size
+    return found
+
+
+def _prefix(value: int) -> tuple[int, int, int]:
+    """Symbol, extra value and its bits of a length or distance."""
+    w = value - 1
+    if w < 4:
+        return w, 0, 0
+    extra = w.bit_length() - 2
+    return 2 * (extra + 1) + (w >> extra & 1), w & ((1 << extra) - 1), extra
+
+
+def _write_levels(v: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """Fields of the codes, then values and bits (16 at most) of all tokens, of a picture that varies in green only."""
+    copies = _repeats(v)
+    covered = np.zeros(len(v), bool)
+    for place, size, _ in copies:
+        covered[place : place + size] = True
+    literal = np.flatnonzero(~covered) if copies else slice(None)
+    lengths, distances = [_prefix(size) for _, size, _ in copies], [_prefix(d + 120) for _, _, d in copies]
+    count = np.bincount(v[literal], minlength=256)
+    used = {int(s): int(count[s]) for s in np.flatnonzero(count)}
+    times: dict[int, int] = {}
+    for (s, _, _), (d, _, _) in zip(lengths, distances, strict=True):
+        used[256 + s] = used.get(256 + s, 0) + 1
+        times[d] = times.get(d, 0) + 1
+    fields, green = _write_code(dict(sorted(used.items())), 280)
+    fields += _OTHERS
+    more, distance = _write_code(times, 40)
+    code, bits = np.zeros(256, np.int64), np.zeros(256, np.int64)
+    for s, (c, n) in green.items():
+        if s < 256:
+            code[s], bits[s] = c, n
+    values, widths = code[v[literal]], bits[v[literal]]
+    if copies:
+        own = []
+        for (s, x, n), (d, y, m) in zip(lengths, distances, strict=True):
+            own += [green[256 + s], (x, n), distance[d], (y & 0xFFFF, min(m, 16)), (y >> 16, max(0, m - 16))]
+        before = np.repeat(np.searchsorted(literal, [place for place, _, _ in copies]), 5)
+        own = np.array(own, np.int64)
+        values, widths = np.insert(values, before, own[:, 0]), np.insert(widths, before, own[:, 1])
+    return [*fields, *more], values, widths
+
+
+_FIRST_BITS = np.arange(16) < np.arange(17)[:, None]
+
+
 def encode_gray(samples: bytes, width: int = UNIT) -> bytes:
-    """A picture whose pixels are (v, v, v), rows of ``width`` samples: subtract-green, and one code length for all values."""
+    """A picture whose pixels are (v, v, v), rows of ``width`` samples, by subtract-green or, for at most 16 levels, by a palette."""
     v = np.frombuffer(samples, np.uint8)
-    seen = np.bincount(v, minlength=256) > 0
-    n = (int(seen.sum()) - 1).bit_length()
-    seen[np.flatnonzero(~seen)[: (1 << n) - int(seen.sum())]] = True
-    put = lambda value, count: [value >> k & 1 for k in range(count)]
-    head = put(0x2F, 8) + put(width - 1, 14) + put(len(v) // width - 1, 14) + put(0, 4)
-    head += put(1, 1) + put(2, 2) + put(0, 3)  # subtract green; no other transform, no cache, one group of codes
-    one = lambda symbol: put(1, 1) + put(0, 1) + put(1, 1) + put(symbol, 8)
-    if n == 0:
-        head += one(int(v[0]))
+    levels = np.flatnonzero(np.bincount(v, minlength=256))
+    fields = [(0x2F, 8), (width - 1, 14), (len(v) // width - 1, 14), (0, 4)]
+    if len(levels) <= 16:
+        fields += [(1, 1), (3, 2), (len(levels) - 1, 8), (0, 1)]  # a palette, whose own picture has no cache
+        steps = np.diff(levels, prepend=0)
+        channel, code = _write_code({int(x): int(n) for x, n in zip(*np.unique(steps, return_counts=True), strict=True)}, 280)
+        fields += channel
+        colours = _write_code({int(x): int(n) for x, n in zip(*np.unique(steps, return_counts=True), strict=True)}, 256)
+        first = _write_code({0: 1, 255: 1} if len(levels) > 1 else {255: 1}, 256)
+        fields += colours[0] + colours[0] + first[0] + _write_code({0: 1}, 40)[0]
+        for k, x in enumerate(steps.tolist()):
+            fields += [code[x], colours[1][x], colours[1][x], first[1][0 if k else 255]]
+        per = 8 if len(levels) <= 2 else 4 if len(levels) <= 4 else 2
+        rows = np.zeros((len(v) // width, -(-width // per) * per), np.uint8)
+        rows[:, :width] = np.searchsorted(levels, v).reshape(-1, width)
+        v = np.ascontiguousarray(np.bitwise_or.reduce(rows.reshape(len(rows), -1, per) << (np.arange(per) * (8 // per)).astype(np.uint8), 2).astype(np.uint8)).ravel()
     else:
-        head += put(0, 1) + put(8, 4)
-        for k in LENGTH_ORDER[:12]:
-            head += put(int(k in (0, n)), 3)
-        head += put(0, 1) + seen.astype(int).tolist() + [0] * 24
-    head += one(0) + one(0) + one(255) + one(0)
-    code = (np.cumsum(seen) - 1).astype(np.uint8)[v]
-    body = np.unpackbits(code[:, None], axis=1)[:, 8 - n :].ravel()
-    data = np.packbits(np.concatenate([np.array(head, np.uint8), body]), bitorder="little").tobytes()
+        fields += [(1, 1), (2, 2)]
+    more, values, bits = _write_levels(v)
+    head = np.array([*fields, (0, 1), (0, 1), (0, 1), *more], np.int64)  # no other transform, no cache, one group of codes
+    values, bits = np.concatenate([head[:, 0], values]), np.concatenate([head[:, 1], bits])
+    written = np.unpackbits(values.astype("<u2").view(np.uint8), bitorder="little")[_FIRST_BITS[bits].ravel()]
+    data = np.packbits(written, bitorder="little").tobytes()
     pad = data + b"\0" * (len(data) & 1)
     return b"RIFF" + struct.pack("<I", 12 + len(pad)) + b"WEBPVP8L" + struct.pack("<I", len(data)) + pad
 
@@ -363,7 +595,7 @@ def decode_column(media: DataFrame, column: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.select(keep).columns, *(pa.array(s, pa.int32()) for s in sizes), pa.array([None if f is None else f.astype("<u4").tobytes() for f in found], pa.binary())], names=[*keep, "width", "height", "pixels"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.select(keep).schema)
-    return media.mapInArrow(read, f"{kept}, width int, height int, pixels binary")
+    return media.mapInArrow(common.lean(read), f"{kept}, width int, height int, pixels binary")
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
@@ -377,7 +609,8 @@ def store_texts(docs: DataFrame) -> DataFrame:
                 media = [to_media(x.ljust(max(1, -(-len(x) // UNIT)) * UNIT)) for x in raw]
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(list(map(len, raw)), pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", common.text_or_empty().alias("text")).mapInArrow(write, "doc_id long, n_bytes long, media binary")
+    common.small_batches(docs.sparkSession)
+    return docs.select("doc_id", common.text_or_empty().alias("text")).mapInArrow(common.lean(write), "doc_id long, n_bytes long, media binary")
 
 
 def feature(samples: np.ndarray) -> str:
@@ -411,4 +644,4 @@ def op2_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
                     names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
                 )
 
-    return stored.mapInArrow(read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.mapInArrow(common.lean(read), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

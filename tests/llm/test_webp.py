@@ -303,3 +303,70 @@ def test_query_on_odd_texts(spark, tmp_path):
         padded = raw.ljust(max(1, -(-len(raw) // 192)) * 192)
         assert (got[i].n_bytes, got[i].payload_bytes, got[i].payload_sha256, got[i].tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
     assert (got[3].media_sha256, got[3].feature) == (got[4].media_sha256, got[4].feature)
+
+
+def samples():
+    rng = np.random.default_rng(7)
+    words = [bytes(rng.integers(97, 123, int(n)).astype(np.uint8)) for n in rng.integers(2, 9, 300)]
+    prose = b" ".join(words[k] for k in rng.integers(0, 300, 3000))
+    yield b" " * webp.UNIT
+    yield bytes([0]) * webp.UNIT * 50
+    yield bytes([0] * 191 + [255])
+    for levels in (2, 3, 4, 5, 16, 17, 256):
+        yield bytes(rng.integers(0, levels, webp.UNIT * 11).astype(np.uint8))
+    yield bytes(range(192))
+    yield prose.ljust(-(-len(prose) // webp.UNIT) * webp.UNIT)
+    yield (prose[:5000] * 40).ljust(-(-200_000 // webp.UNIT) * webp.UNIT)
+    yield bytes(rng.geometric(0.3, webp.UNIT * 300).clip(0, 255).astype(np.uint8))  # lengths up to the limit
+    yield (prose * 200)[: webp.UNIT * webp.MOST_ROWS]
+
+
+def scalar(bits, total, width, green, distances):
+    """Levels read token by token, as other pictures are."""
+    out = []
+    while len(out) < total:
+        symbol = green.read(bits)
+        if symbol < 256:
+            out.append(symbol)
+            continue
+        length, d = webp._value(bits, symbol - 256), webp._value(bits, distances.read(bits))
+        d = d - 120 if d > 120 else max(1, webp.NEIGHBOURS[d - 1][0] + webp.NEIGHBOURS[d - 1][1] * width)
+        for _ in range(length):
+            out.append(out[-d])
+    return np.array(out, np.uint8)
+
+
+@pytest.mark.parametrize("case", range(15))
+def test_levels_come_back_and_read_like_single_tokens(case, monkeypatch):
+    raw = list(samples())[case]
+    media = webp.encode_gray(raw)
+    pixels = webp.decode(media)
+    v = np.frombuffer(raw, np.uint8).astype(np.uint32)
+    assert (pixels.ravel() == 255 << 24 | v * 0x10101).all()
+    monkeypatch.setattr(webp, "WINDOW", 900)
+    assert (webp.decode(media) == pixels).all()
+    if len(raw) < 300_000:
+        monkeypatch.setattr(webp, "_read_levels", scalar)
+        assert (webp.decode(media) == pixels).all()
+    assert len(media) < 1.01 * len(raw) + 400
+
+
+def test_texts_are_stored_with_copies_and_several_code_lengths(monkeypatch):
+    seen = []
+    read = webp._read_levels
+
+    def spy(bits, total, width, green, distances):
+        seen.append((len({green.lengths[s] for s in green.symbols}), green.symbols[-1] >= 256))
+        return read(bits, total, width, green, distances)
+
+    monkeypatch.setattr(webp, "_read_levels", spy)
+    text = ("A passage that is long enough to be found again. " * 2 + "Something else between, 0123456789. ") * 3
+    webp.decode(webp.to_media(text.encode().ljust(576)))
+    assert seen[-1][0] > 2 and seen[-1][1]
+
+
+def test_cut_off_and_broken_pictures_are_errors():
+    media = webp.encode_gray(list(samples())[11])
+    for cut in (25, 60, len(media) // 2, len(media) - 40):
+        with pytest.raises((ValueError, IndexError, struct.error)):
+            webp.decode(media[:16] + struct.pack("<I", cut) + media[20 : 20 + cut])
