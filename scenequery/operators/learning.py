@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -49,18 +51,31 @@ def by_rules(bands: dict[str, Column], rules: list[tuple[str, str, float | tuple
     return out
 
 
+def seeded_ranks(rows: DataFrame, cls: str, key: str, seed: str = "") -> DataFrame:
+    """Adds _rank, from 1, and _total of each class, in the order of a hash of a key.
+
+    Counts by the hash's first three digits say how many rows come before, so only rows that share them are ranked together: a
+    class that has most rows is spread over 4096 groups.
+    """
+    hashed = rows.withColumn("_hash", F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))).withColumn("_part", F.substring("_hash", 1, 3))
+    own = Window.partitionBy("_cls")
+    counts = hashed.groupBy(F.col(cls).alias("_cls"), F.col("_part").alias("_at")).agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(own.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_total", F.sum("_n").over(own))
+    met = hashed.join(counts, F.col(cls).eqNullSafe(F.col("_cls")) & (F.col("_part") == F.col("_at")))
+    within = F.row_number().over(Window.partitionBy(cls, "_part").orderBy("_hash", key))
+    return met.withColumn("_rank", within + F.col("_before")).drop("_hash", "_part", "_cls", "_at", "_n", "_before")
+
+
 def capped_sample(rows: DataFrame, cls: str, key: str, most: int = 20_000, seed: int = 1337) -> DataFrame:
     """At most ``most`` rows of each class, by a seeded order of a key; the cap is the feature."""
-    order = Window.partitionBy(cls).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key)
-    return rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_rank")
+    return seeded_ranks(rows, cls, key, f"{seed}:").where(F.col("_rank") <= most).drop("_rank", "_total")
 
 
 def stratified_split(rows: DataFrame, cls: str, key: str, share: float = 0.25) -> DataFrame:
     """Adds held_out: of each class round(n * share) rows, one at least where it has two."""
-    order = Window.partitionBy(cls).orderBy(F.md5(F.col(key).cast("string")), key)
-    n = F.count("*").over(Window.partitionBy(cls))
+    n = F.col("_total")
     held = F.when(n >= 2, F.greatest(F.lit(1), F.floor(n * share + 0.5))).otherwise(0)
-    return rows.withColumn("held_out", F.row_number().over(order) <= held)
+    return seeded_ranks(rows, cls, key).withColumn("held_out", F.col("_rank") <= held).drop("_rank", "_total")
 
 
 def standardizer(rows: DataFrame, features: str) -> DataFrame:
@@ -95,8 +110,18 @@ def summary(rows: DataFrame, truth: str, predicted: str, classes: int) -> DataFr
     return matrix.agg(at(F.lit(True)).alias("n"), ratio(at(t == p), at(F.lit(True))).alias("accuracy"), mean(lambda tp, a, f: ratio(2 * tp, a + f)).alias("macro_f1"), mean(lambda tp, a, f: ratio(tp, a + f - tp)).alias("mean_iou"))
 
 
+def assert_finite(**parameters) -> None:
+    """An error that names the first model parameter that is not finite."""
+    for name, values in parameters.items():
+        flat = [x for row in values for x in (row if isinstance(row, (list, tuple)) else [row])]
+        for i, x in enumerate(flat):
+            if not math.isfinite(x):
+                raise ValueError(f"{name}[{i}] of the model is {x}")
+
+
 def softmax_predict(features: list[Column], mean: list[float], std: list[float], weights: list[list[float]]) -> tuple[Column, Column]:
     """Class (the first of the best) and its probability; weights are a row a class, bias last. INVALID for missing features."""
+    assert_finite(weights=weights, mean=mean, std=std)
     z = [(x - m) / s for x, m, s in zip(features, mean, std, strict=True)]
     s = [sum((w * x for w, x in zip(row[:-1], z, strict=True)), F.lit(row[-1])) for row in weights]
     best = F.greatest(*s)

@@ -146,7 +146,19 @@ def first_hit(rows: DataFrame, priority: str) -> DataFrame:
     return rows.join(F.broadcast(best), F.col(priority) == F.col("_best")).drop("_best")  # one row
 
 
-def evict(entries: DataFrame, most_bytes: int, keys: list[str]) -> DataFrame:
-    """Entries to drop from each cache so that the most recently used stay within ``most_bytes``."""
-    kept = F.sum("bytes").over(Window.partitionBy(*keys).orderBy(F.desc("last_access"), "id"))
-    return entries.withColumn("kept_bytes", kept).where(F.col("kept_bytes") > most_bytes)
+def beyond_budget(entries: DataFrame, most_bytes: int, keys: list[str], span: int = 1000) -> DataFrame:
+    """Entries that no longer fit into ``most_bytes`` of each key when the newest are kept first, with the bytes up to each.
+
+    ``entries``: keys, id, bytes, at (a whole number, newest highest). Sums over spans of ``at`` come first, so that running
+    sums only go over rows of one span, whatever share of the rows a key has.
+    """
+    parted = entries.withColumn("_span", F.floor(F.col("at") / span))
+    sums = parted.groupBy(*keys, "_span").agg(F.sum("bytes").alias("_bytes"))
+    newer = F.sum("_bytes").over(Window.partitionBy(*keys).orderBy(F.desc("_span")).rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_span").alias("_at"), F.coalesce(newer, F.lit(0)).alias("_newer"))
+    same = F.col("_span") == F.col("_at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    within = F.sum("bytes").over(Window.partitionBy(*keys, "_span").orderBy(F.desc("at"), "id"))
+    met = parted.join(sums, same).withColumn("kept_bytes", F.col("_newer") + within)
+    return met.where(F.col("kept_bytes") > most_bytes).drop("_span", "_at", "_newer", *(f"_{k}" for k in keys))

@@ -85,9 +85,9 @@ def filter_options(spark, sf_dir):
 
 @query("""SELECT source, doc_id AS id, CAST(kept AS BIGINT) AS kept_bytes FROM (SELECT source, doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id DESC) AS kept FROM documents) WHERE kept > 60000""")
 def lru_eviction(spark, sf_dir):
-    """What leaves each cache of 60,000 bytes, least recently used first."""
-    entries = src.table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("id"), F.col("n_chars").alias("bytes"), F.col("doc_id").alias("last_access"))
-    return ops.evict(entries, 60_000, ["source"]).select("source", "id", "kept_bytes")
+    """Documents beyond a storage budget of 60,000 characters of each source, the newest (highest id) kept first."""
+    entries = src.table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("id"), F.col("n_chars").alias("bytes"), F.col("doc_id").alias("at"))
+    return ops.beyond_budget(entries, 60_000, ["source"]).select("source", "id", "kept_bytes")
 
 
 @query(f"""WITH {GRANULES} SELECT CAST(floor((x0 + 180) / 360 * 64) AS INTEGER) AS tx, CAST(floor((1 - ln(tan(radians((y0 + y1) / 2)) + 1 / cos(radians((y0 + y1) / 2))) / pi()) / 2 * 64) AS INTEGER) AS ty, count(*) AS n FROM granules GROUP BY 1, 2""")

@@ -153,3 +153,30 @@ def test_evaluation_summary(spark):
     r = learning.summary(rows, "t", "p", 2).first()
     assert (r.n, r.accuracy) == (5, 0.6) and r.macro_f1 == pytest.approx((2 / 3 + 4 / 5) / 2) and r.mean_iou == pytest.approx((1 / 2 + 2 / 3) / 2)
     assert learning.summary(rows.limit(0), "t", "p", 2).first().accuracy == 0.0
+
+
+def test_models_with_parameters_that_are_not_finite_are_refused(spark):
+    with pytest.raises(ValueError, match=r"std\[1\]"):
+        learning.softmax_predict([F.lit(1.0), F.lit(2.0)], [0.0, 0.0], [1.0, float("nan")], [[1.0, 2.0, 3.0]])
+
+
+def test_a_fitted_model_tells_regions_apart(spark):
+    rows = spark.range(600).select("id", (F.pmod("id", F.lit(3)) * 4 + F.rand(1)).alias("x"), F.rand(2).alias("y"), F.pmod("id", F.lit(3)).cast("int").alias("label"))
+    split = learning.stratified_split(rows, "label", "id")
+    assert split.where("held_out").groupBy("label").count().collect() and {r["count"] for r in split.where("held_out").groupBy("label").count().collect()} == {50}
+    model, _ = learning.fit_logistic(split.where("not held_out"), ["x", "y"], "label")
+    from pyspark.ml.feature import VectorAssembler
+
+    found = model.transform(VectorAssembler(inputCols=["x", "y"], outputCol="_x").transform(split.where("held_out")))
+    assert found.where("prediction <> label").count() <= 3
+
+
+def test_hot_classes_and_budgets_rank_exactly(spark):
+    rows = spark.range(5000).select("id", F.when(F.pmod("id", F.lit(10)) == 0, "b").when(F.pmod("id", F.lit(10)) == 1, None).otherwise("a").alias("cls"))
+    ranks = learning.seeded_ranks(rows, "cls", "id", "s").collect()
+    for cls in ("a", "b", None):
+        own = [r for r in ranks if r.cls == cls]
+        assert sorted(r._rank for r in own) == list(range(1, len(own) + 1)) and {r._total for r in own} == {len(own)}
+    entries = rows.select("cls", "id", F.lit(3).alias("bytes"), F.col("id").alias("at"))
+    over = search.beyond_budget(entries, 300, ["cls"], span=100).where("cls = 'a'").collect()
+    assert len(over) == 4000 - 100 and min(r.kept_bytes for r in over) == 303
