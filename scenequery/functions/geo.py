@@ -131,6 +131,30 @@ def parse_wkt(text: str) -> dict:
     return {"type": ("Multi" if multi else "") + {"POINT": "Point", "LINESTRING": "LineString", "POLYGON": "Polygon"}[kind], "coordinates": coordinates}
 
 
+def wkt_box(wkt: Column) -> Column:
+    """Kind (as GeoJSON names it) and bounds of a WKT geometry or BBOX(west, south, east, north); null for anything else."""
+    number = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
+    point = rf"\s*{number}\s+{number}\s*"
+    ring = rf"\(\s*{point}(?:,{point})*\)\s*"
+    rings = rf"\(\s*{ring}(?:,\s*{ring})*\)\s*"
+    kinds = (
+        ("Polygon", rf"BBOX\s*\(\s*{number}\s*(?:,\s*{number}\s*){{3}}\)"), ("Point", rf"POINT\s*\({point}\)"), ("LineString", rf"LINESTRING\s*{ring}"), ("Polygon", rf"POLYGON\s*{rings}"),
+        ("MultiPoint", rf"MULTIPOINT\s*\((?:{point}|\s*\({point}\)\s*)(?:,(?:{point}|\s*\({point}\)\s*))*\)"), ("MultiLineString", rf"MULTILINESTRING\s*{rings}"), ("MultiPolygon", rf"MULTIPOLYGON\s*\(\s*{rings}(?:,\s*{rings})*\)"),
+    )
+    kind = F.lit(None).cast("string")
+    for name, pattern in reversed(kinds):
+        kind = F.when(wkt.rlike(rf"(?i)^\s*{pattern}\s*$"), name).otherwise(kind)
+    values = F.transform(F.regexp_extract_all(wkt, F.lit(f"({number})"), F.lit(1)), lambda x: x.cast("double"))
+    along = lambda k: F.filter(values, lambda v, i: i % 2 == k)
+    return F.when(kind.isNotNull(), F.struct(kind.alias("kind"), F.array_min(along(0)).alias("x0"), F.array_min(along(1)).alias("y0"), F.array_max(along(0)).alias("x1"), F.array_max(along(1)).alias("y1")))
+
+
+def box_wkt(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """A box as a WKT polygon, closed, from its south-west corner."""
+    pair = lambda x, y: F.concat_ws(" ", x.cast("string"), y.cast("string"))
+    return F.concat(F.lit("POLYGON (("), F.concat_ws(", ", pair(x0, y0), pair(x1, y0), pair(x1, y1), pair(x0, y1), pair(x0, y0)), F.lit("))"))
+
+
 def epsg_from_wkt(wkt: Column) -> Column:
     """The last EPSG code of a CRS text, in either notation."""
     codes = F.regexp_extract_all(wkt, F.lit(r'(?:AUTHORITY|ID)\["EPSG",\s*"?(\d+)'), F.lit(1))

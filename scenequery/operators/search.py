@@ -162,3 +162,9 @@ def beyond_budget(entries: DataFrame, most_bytes: int, keys: list[str], span: in
     within = F.sum("bytes").over(Window.partitionBy(*keys, "_span").orderBy(F.desc("at"), "id"))
     met = parted.join(sums, same).withColumn("kept_bytes", F.col("_newer") + within)
     return met.where(F.col("kept_bytes") > most_bytes).drop("_span", "_at", "_newer", *(f"_{k}" for k in keys))
+
+
+def sorted_entries(entries: DataFrame, folder: str) -> DataFrame:
+    """Adds directory (a name that ends in a slash, of size 0) and place (from 1) in each folder: directories, then files, by name."""
+    marked = entries.withColumn("directory", F.col("name").endswith("/")).withColumn("size", F.when(F.col("directory"), F.lit(0).cast("long")).otherwise(F.col("size")))
+    return marked.withColumn("place", F.row_number().over(Window.partitionBy(folder).orderBy(F.desc("directory"), "name", "size")).cast("long"))

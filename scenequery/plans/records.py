@@ -235,3 +235,35 @@ def class_legend_metadata(spark, sf_dir):
     palette = F.when(three == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0), wide * 255, v, v, F.lit(0), F.lit(3)))
     colours = records.colour_table(palette)
     return src.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.size(names).alias("n"), F.try_element_at(names, F.lit(2)).alias("label"), F.get(colours, F.lit(0))["g"].alias("green"))
+
+
+@query(f"""WITH {G} SELECT id, CASE id % 9 WHEN 8 THEN NULL WHEN 7 THEN NULL WHEN 1 THEN 'Point' WHEN 2 THEN 'LineString' WHEN 3 THEN 'MultiPolygon' WHEN 4 THEN 'MultiPoint' WHEN 6 THEN 'MultiLineString' ELSE 'Polygon' END AS kind,
+  CASE WHEN id % 9 < 7 THEN x0 END AS x0, CASE WHEN id % 9 < 7 THEN y0 END AS y0, CASE WHEN id % 9 = 1 THEN x0 WHEN id % 9 < 7 THEN x1 END AS x1, CASE WHEN id % 9 = 1 THEN y0 WHEN id % 9 < 7 THEN y1 END AS y1 FROM granules""")
+def wkt_boxes(spark, sf_dir):
+    """Kinds and bounds of geometries as text; what is none of the known kinds gives nulls."""
+    g, k = src.granules(spark, sf_dir), F.pmod("id", F.lit(9))
+    sw, ne = (F.concat_ws(" ", F.col(f"x{i}").cast("string"), F.col(f"y{i}").cast("string")) for i in (0, 1))
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    wkt = (
+        F.when(k == 0, geo.box_wkt(*(F.col(c) for c in ("x0", "y0", "x1", "y1")))).when(k == 1, text(" point(", sw, " )")).when(k == 2, text("LINESTRING (", sw, ",", ne, ")"))
+        .when(k == 3, text("MultiPolygon (((", sw, ",", ne, ",", sw, ")), ((", ne, ",", sw, ", ", ne, ")))")).when(k == 4, text("MULTIPOINT((", sw, "), ", ne, ")")).when(k == 5, F.concat(F.lit("bbox("), F.concat_ws(" , ", *(F.col(c).cast("string") for c in ("x0", "y0", "x1", "y1"))), F.lit(")")))
+        .when(k == 6, text("MULTILINESTRING((", sw, ",", ne, "),(", ne, ",", sw, "))")).when(k == 7, text("POLYGON (", sw, ",", ne, ")")).otherwise(text("CIRCLE(", sw, ")"))
+    )
+    return g.select("id", geo.wkt_box(wkt).alias("b")).select("id", "b.*")
+
+
+@query("""WITH f AS (SELECT p_brand AS folder, CASE WHEN p_partkey % 5 = 0 THEN '.' || p_name WHEN p_partkey % 7 = 0 THEN p_name || '/' ELSE p_name || '.h5' END AS name, p_size AS size FROM part)
+  SELECT folder, name, name LIKE '%/' AS directory, CAST(CASE WHEN name LIKE '%/' THEN 0 ELSE size END AS BIGINT) AS size, row_number() OVER (PARTITION BY folder ORDER BY CASE WHEN name LIKE '%/' THEN 0 ELSE 1 END, name, size) AS place FROM f WHERE name NOT LIKE '.%'""")
+def folder_listing(spark, sf_dir):
+    """Entries of folders without hidden ones: directories first, then files, each by name."""
+    name = F.when(F.pmod("p_partkey", F.lit(5)) == 0, F.concat(F.lit("."), "p_name")).when(F.pmod("p_partkey", F.lit(7)) == 0, F.concat("p_name", F.lit("/"))).otherwise(F.concat("p_name", F.lit(".h5")))
+    entries = src.table(spark, sf_dir, "part").select(F.col("p_brand").alias("folder"), name.alias("name"), F.col("p_size").cast("long").alias("size")).where(~F.col("name").startswith("."))
+    return ops.sorted_entries(entries, "folder").select("folder", "name", "directory", "size", "place")
+
+
+@query(f"""WITH {src.BAND_RASTER_SQL} SELECT scene_id, b * 15625 + "row" * 125 + col AS by_band, ("row" * 125 + col) * 3 + b AS by_pixel, round(CASE b WHEN 0 THEN hh WHEN 1 THEN hv ELSE vv END, 4) AS v FROM mb, (SELECT unnest([0, 1, 2]) AS b)""")
+def band_interleave(spark, sf_dir):
+    """Values of three bands with their places in a stack of bands and in a row of pixels."""
+    at = F.col("row") * src.BAND_WIDTH + F.col("col")
+    long = src.band_raster(spark, sf_dir).select("scene_id", at.alias("at"), F.posexplode(F.array("hh", "hv", "vv")).alias("b", "v"))
+    return long.select("scene_id", (F.col("b") * src.BAND_SCENE + F.col("at")).alias("by_band"), (F.col("at") * 3 + F.col("b")).alias("by_pixel"), R(F.col("v"), 4).alias("v"))
