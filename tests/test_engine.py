@@ -132,7 +132,7 @@ def test_wkt_and_rings():
 
 def test_names(spark):
     row = spark.range(1).select(names.size_text(F.lit(1536)).alias("a"), names.bytes_of(F.lit("1.5K")).alias("b"), names.bytes_of(F.lit("-")).alias("c"), names.xml_text(F.lit("&amp;lt; &quot;")).alias("d"), names.parse_product(F.lit("x.h5"))["cycle"].alias("e")).first()
-    assert tuple(row) == ("1.5 KB", 1536, None, '&lt; "', None)
+    assert tuple(row) == ("2 KB", 1536, None, '&lt; "', None)
 
 
 def test_rules_meet_missing_bands_in_order(spark):
