@@ -1,9 +1,14 @@
-"""Exact top-k search by BM25: inverted indexes of shards, pruned by block maxima, merged with global statistics.
+"""Exact top-k search by BM25: inverted indexes of shards, block-max WAND pruning, merged with global statistics.
 
-A shard holds the postings of up to ``SHARD_DOCS`` documents, by term and in blocks of ``BLOCK_DOCS``. A query first adds up,
-for each block, the most that its terms can score there. The two most promising blocks are scored, and then those whose bound
-still exceeds the k-th best score; a task carries that score from shard to shard. What is left out cannot be among the best,
-so the merged k are exact.
+A shard holds the postings of up to ``SHARD_DOCS`` documents, by term. Documents that share their most frequent terms lie next
+to each other, in blocks of ``BLOCK_DOCS``; for each term and block the index stores the most that it adds to a score there,
+up to the term's idf. A query's terms move from pivot to pivot: the next block in document order in which the sum of their
+maxima reaches the k-th best score so far. Blocks in between are skipped. Pivots are blocks, not documents, so that many
+queries are scored in one block together: terms that a large part of the shard has by a matrix product, rare ones posting by
+posting. Scores of 32 bits, within their error, tell which documents may be among the best; those get exact ones.
+
+Before all shards are searched, each query is tried on some ``TRIED`` of them, and the k-th best score found there is what all
+tasks start from; a task raises it from shard to shard. What is left out cannot be among the best, so the merged k are exact.
 
 Queries come in blocks of about ``QUERIES_AT_ONCE``; only one such block is broadcast at a time. Each block of queries meets
 all shards, so the work is that of queries times documents, less what the bounds leave out.
@@ -23,32 +28,72 @@ from . import common
 from .jaccard import word_hashes
 
 K1, B = 1.2, 0.75
-SHARD_DOCS = 2048
-BLOCK_DOCS = 64
-QUERIES_AT_ONCE = 2000
+SHARD_DOCS = 8192
+BLOCK_DOCS = 128
+DENSE_SHARE = 1 / 48  # a term that more of a shard's documents have is scored by matrix products
+QUERIES_AT_ONCE = 3000
+SCORED_AT_ONCE = 256
+TRIED = 3
 TOP = 10
 EVERY = 50
-
-_BINARY = ("lengths", "vocab", "starts", "docs", "tfs")
-
-
-def build_shards(docs: DataFrame) -> DataFrame:
+ERROR = 1e-4  # of sums in 32 bits, relative and absolute; measured ones are below 1e-5
+NO_ID = 1 << 63  # stands for a null doc_id, after all others
+
+_BINARY = {"lengths": "<u4", "vocab": "<u8", "starts": "<u4", "docs": "<u2", "tfs": "<u4", "block_starts": "<u4", "blocks": "<u2", "maxima": "<f4"}
+
+
+def _impact(tf: np.ndarray, length: np.ndarray, mean_length: float) -> np.ndarray:
+    """What a posting adds to a score, but for the term's idf."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean_length, 1e-9)))
+
+
+def _shard(ids: list, words: list[np.ndarray], mean_length: float) -> tuple[list, list[bytes]]:
+    """doc_ids and the arrays of one shard, its documents ordered by their most frequent terms."""
+    length = np.array([len(w) for w in words], np.int64)
+    vocab, term = np.unique(np.concatenate(words), return_inverse=True)
+    pairs, tf = np.unique(term.astype(np.int64) * len(words) + np.repeat(np.arange(len(words)), length), return_counts=True)
+    of, doc = pairs // len(words), pairs % len(words)
+    often = np.argsort(-np.bincount(of, minlength=len(vocab)), kind="stable")[:48]
+    bit = np.zeros(len(vocab), np.int64)
+    bit[often] = 1 << np.arange(47, 47 - len(often), -1)
+    order = np.argsort(-np.bincount(doc, bit[of], len(words)), kind="stable")
+    place = np.zeros(len(words), np.int64)
+    place[order] = np.arange(len(words))
+    length, doc = length[order], place[doc]
+    by_place = np.lexsort((doc, of))
+    doc, tf = doc[by_place], tf[by_place]
+    cell = of * (len(words) // BLOCK_DOCS + 1) + doc // BLOCK_DOCS
+    first = np.flatnonzero(np.diff(cell, prepend=-1))
+    maxima = np.maximum.reduceat(_impact(tf.astype(np.float64), length[doc], mean_length), first) if len(cell) else np.zeros(0)
+    maxima = np.nextafter(maxima.astype(np.float32), np.float32(np.inf))
+    ends = np.arange(len(vocab) + 1)
+    parts = (length, vocab, np.searchsorted(of, ends), doc, tf, np.searchsorted(of[first], ends), doc[first] // BLOCK_DOCS, maxima)
+    return [ids[i] for i in order.tolist()], [p.astype(t).tobytes() for p, t in zip(parts, _BINARY.values(), strict=True)]
+
+
+def build_shards(docs: DataFrame, mean_length: float) -> DataFrame:
     """Index shards of all rows (doc_id, text), stored. A null text counts as empty; it is indexed and never found."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list = []
+        words: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            own, parts = _shard(ids, words, mean_length)
+            return pa.RecordBatch.from_arrays([pa.array([own], pa.list_(pa.int64())), *(pa.array([p], pa.binary()) for p in parts)], names=["doc_ids", *_BINARY])
+
         for batch in batches:
-            for start in range(0, batch.num_rows, SHARD_DOCS):
-                rows = batch.slice(start, SHARD_DOCS)
-                words = [word_hashes(t) for t in rows.column(1).to_pylist()]
-                lengths = np.array([len(w) for w in words], np.int64)
-                vocab, term = np.unique(np.concatenate(words), return_inverse=True)
-                pairs, tf = np.unique(term.astype(np.int64) * len(words) + np.repeat(np.arange(len(words)), lengths), return_counts=True)
-                starts = np.searchsorted(pairs, np.arange(len(vocab) + 1, dtype=np.int64) * len(words))
-                parts = (lengths.astype("<u4"), vocab.astype("<u8"), starts.astype("<u4"), (pairs % len(words)).astype("<u2"), tf.astype("<u4"))
-                yield pa.RecordBatch.from_arrays([pa.array([rows.column(0).to_pylist()], pa.list_(pa.int64())), *(pa.array([p.tobytes()], pa.binary()) for p in parts)], names=["doc_ids", *_BINARY])
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids.append(doc_id)
+                words.append(word_hashes(text))
+                if len(ids) == SHARD_DOCS:
+                    yield out()
+                    ids, words = [], []
+        if ids:
+            yield out()
 
     schema = "doc_ids array<long>, " + ", ".join(f"{c} binary" for c in _BINARY)
-    return common.staged(docs.select("doc_id", common.text_or_empty().alias("text")).mapInArrow(build, schema), "index")
+    return common.staged(docs.select("doc_id", common.text_or_empty().alias("text")).mapInArrow(common.lean(build), schema), "index").withColumn("shard", F.xxhash64("doc_ids"))
 
 
 def _matched(vocab: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,99 +105,135 @@ def _matched(vocab: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return there, at[there]
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one after another."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
 class Shard:
-    """One shard with the scores that each posting of the asked terms adds."""
+    """One shard, cut down to the asked terms."""
 
     def __init__(self, row: dict, terms: np.ndarray, idf: np.ndarray, mean_length: float):
-        lengths, vocab, starts, docs, tfs = (np.frombuffer(row[c], t) for c, t in zip(_BINARY, ("<u4", "<u8", "<u4", "<u2", "<u4"), strict=True))
-        self.doc_ids = np.array([-1 if d is None else d for d in row["doc_ids"]], np.int64)
-        self.blocks = -(-len(lengths) // BLOCK_DOCS)
-        asked, held = _matched(vocab, terms)
+        part = {c: np.frombuffer(row[c], t) for c, t in _BINARY.items()}
+        length, n = part["lengths"].astype(np.int64), len(part["lengths"])
+        self.ids = [NO_ID if d is None else d for d in row["doc_ids"]]
+        self.n, self.blocks = n, -(-n // BLOCK_DOCS)
+        asked, held = _matched(part["vocab"], terms)
         self.place = np.full(len(terms), -1, np.int64)
         self.place[asked] = np.arange(len(asked))
-        sizes = (starts[held + 1] - starts[held]).astype(np.int64)
-        first = np.cumsum(sizes) - sizes
-        take = np.repeat(starts[held].astype(np.int64) - first, sizes) + np.arange(int(sizes.sum()))
-        self.docs, tf = docs[take].astype(np.int64), tfs[take].astype(np.float64)
-        of = np.repeat(np.arange(len(asked)), sizes)
-        self.scores = idf[asked][of] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.docs] / max(mean_length, 1e-9)))
-        cell = of * self.blocks + self.docs // BLOCK_DOCS
-        self.bounds = np.zeros(len(asked) * self.blocks)
-        np.maximum.at(self.bounds, cell, self.scores)
-        self.bounds = self.bounds.reshape(len(asked), self.blocks)
-        self.cuts = np.searchsorted(cell, np.arange(len(asked) * self.blocks + 1))
-
-    def score(self, own: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Documents of the given blocks that hold any of the terms, with their scores."""
-        cells = (own[:, None] * self.blocks + blocks[None, :]).ravel()
-        a, b = self.cuts[cells], self.cuts[cells + 1]
-        sizes = b - a
-        take = np.repeat(a - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-        total = np.bincount(self.docs[take], self.scores[take], len(self.doc_ids))
-        found = np.flatnonzero(total > 0)
-        return found, total[found]
-
-    def search(self, own: np.ndarray, best: list[tuple[float, int]], k: int) -> list[tuple[float, int]]:
-        """The k best of ``best`` and this shard, as (-score, doc_id) in order."""
-        own = self.place[own]
-        own = own[own >= 0]
-        if not len(own):
-            return best
-        bound = self.bounds[own].sum(0) * (1 + 1e-9) + 1e-9
-        order = np.argsort(-bound)
-        for blocks in (order[:2], order[2:]):
-            if len(best) >= k:
-                blocks = blocks[bound[blocks] >= -best[-1][0]]
-            if len(blocks):
-                docs, scores = self.score(own, blocks)
-                scores = np.round(scores, 9)
-                if len(docs) > k:
-                    near = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
-                    docs, scores = docs[near], scores[near]
-                best = sorted([*best, *zip((-scores).tolist(), self.doc_ids[docs].tolist(), strict=True)])[:k]
-        return best
+        idf = idf[asked]
+        starts = part["starts"].astype(np.int64)
+        self.start, self.size = starts[held], starts[held + 1] - starts[held]
+        take = _ranges(self.start, self.size)
+        self.start = np.cumsum(self.size) - self.size
+        of = np.repeat(np.arange(len(asked)), self.size)
+        self.docs = part["docs"][take].astype(np.int64)
+        self.scores = idf[of] * _impact(part["tfs"][take].astype(np.float64), length[self.docs], mean_length)
+        starts = part["block_starts"].astype(np.int64)
+        self.block_start, self.block_size = starts[held], starts[held + 1] - starts[held]
+        take = _ranges(self.block_start, self.block_size)
+        self.block_start = np.cumsum(self.block_size) - self.block_size
+        block_of = np.repeat(np.arange(len(asked)), self.block_size)
+        self.block = part["blocks"][take].astype(np.int64)
+        self.maxima = (idf[block_of] * part["maxima"][take] * (1 + ERROR)).astype(np.float32)
+        # terms of many documents, as matrices
+        dense = np.flatnonzero(self.size > DENSE_SHARE * n)
+        self.column = np.full(len(asked), -1, np.int64)
+        self.column[dense] = np.arange(len(dense))
+        own = self.column[of] >= 0
+        self.matrix = np.zeros((len(dense), self.blocks * BLOCK_DOCS), np.float32)
+        self.matrix[self.column[of[own]], self.docs[own]] = self.scores[own]
+        own = self.column[block_of] >= 0
+        self.bounds = np.zeros((len(dense), self.blocks), np.float32)
+        self.bounds[self.column[block_of[own]], self.block[own]] = self.maxima[own]
+        # terms of each document, for exact scores
+        order = np.argsort(self.docs, kind="stable")
+        self.doc_start = np.searchsorted(self.docs[order], np.arange(n + 1)).tolist()
+        self.doc_terms, self.doc_scores = of[order], self.scores[order]
+
+    def search(self, queries: list[np.ndarray], best: list[list[tuple[float, int]]], least: np.ndarray, k: int) -> None:
+        """Puts what this shard has into the k best of each query, as (-score, doc_id) in order, and raises ``least``, their last score."""
+        for first in range(0, len(queries), SCORED_AT_ONCE):
+            here = range(first, min(len(queries), first + SCORED_AT_ONCE))
+            terms = [(t := self.place[queries[q]])[t >= 0] for q in here]
+            self._search(terms, [best[q] for q in here], least[first : first + SCORED_AT_ONCE], k)
+
+    def _search(self, terms: list[np.ndarray], best: list[list[tuple[float, int]]], least: np.ndarray, k: int) -> None:
+        flat, query = np.concatenate(terms), np.repeat(np.arange(len(terms)), [len(t) for t in terms])
+        column = self.column[flat]
+        weights = np.zeros((len(terms), len(self.matrix)), np.float32)
+        weights[query[column >= 0], column[column >= 0]] = 1
+        rare, rare_query = flat[column < 0], query[column < 0]
+        # the most that each query can score in each block
+        take, size = _ranges(self.block_start[rare], self.block_size[rare]), self.block_size[rare]
+        bound = weights @ self.bounds + np.bincount(np.repeat(rare_query, size) * self.blocks + self.block[take], self.maxima[take], len(terms) * self.blocks).reshape(len(terms), -1)
+        pivots = bound * (1 + ERROR) + ERROR >= np.maximum(least, ERROR)[:, None]
+        take, size = _ranges(self.start[rare], self.size[rare]), self.size[rare]
+        found = np.bincount(np.repeat(rare_query, size) * (self.blocks * BLOCK_DOCS) + self.docs[take], self.scores[take], len(terms) * self.blocks * BLOCK_DOCS).astype(np.float32).reshape(len(terms), self.blocks, BLOCK_DOCS)
+        for b in range(self.blocks):
+            own = np.flatnonzero(pivots[:, b])
+            if len(own):
+                found[own, b] += (weights if len(own) == len(terms) else weights[own]) @ self.matrix[:, b * BLOCK_DOCS : (b + 1) * BLOCK_DOCS]
+        found[~pivots] = -1
+        found = found.reshape(len(terms), -1)
+        asked = np.zeros(len(self.size), bool)
+        for q in np.flatnonzero(pivots.any(1)).tolist():
+            score = found[q]
+            near = np.flatnonzero(score >= max(least[q] * (1 - ERROR) - ERROR, 1e-12))
+            if len(near) > k:
+                kth = np.partition(score[near], len(near) - k)[len(near) - k]
+                near = near[score[near] >= kth * (1 - 2 * ERROR) - 2 * ERROR]
+            if not len(near):
+                continue
+            asked[terms[q]] = True
+            more = []
+            for d in near.tolist():
+                own = slice(self.doc_start[d], self.doc_start[d + 1])
+                more.append((-round(float(self.doc_scores[own][asked[self.doc_terms[own]]].sum()), 9), self.ids[d]))
+            asked[terms[q]] = False
+            best[q][:] = sorted([*best[q], *more])[:k]
+            if len(best[q]) == k:
+                least[q] = max(least[q], -best[q][-1][0])
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
-    """The k best documents of each query: query_id, rank, doc_id, score. Ties go to the lower doc_id.
+    """The k best documents of each query: query_id, rank, doc_id, score. Ties go to the lower doc_id, a null one last.
 
-    ``queries``: query_id, text. A query's distinct words count once each. Queries without words, or without a document
-    that holds any of them, have no rows. A null doc_id is found as -1.
+    ``docs``: doc_id, text; other columns are not kept. ``queries``: query_id (a whole number that is not null, as doc_id),
+    text. A query's distinct words count once each. Queries without words, or without a document that holds any of them,
+    have no rows, as there are none for an empty table. Rows that repeat are documents, and queries, of their own; queries
+    with the same id share their ranks. A text of any length is read whole.
     """
     spark = docs.sparkSession
-    shards = build_shards(docs)
+    common.small_batches(spark)
+    whole = docs.agg(F.count("*").alias("n"), F.sum(F.regexp_count(common.text_or_empty(), F.lit(common.WORD)).cast("long")).alias("words")).first()
+    n, mean_length = whole["n"], (whole["words"] or 0) / max(1, whole["n"])
+    shards = build_shards(docs, mean_length)
 
     def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.unique(word_hashes(t)).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["query_id", "terms"])
 
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lengths = [np.frombuffer(x, "<u4") for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in lengths], pa.int64()), pa.array([int(x.sum()) for x in lengths], pa.int64())], names=["n", "words"])
-
-    whole = shards.select("lengths").mapInArrow(sizes, "n long, words long").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).first()
-    n, mean_length = whole["n"] or 0, (whole["words"] or 0) / max(1, whole["n"] or 0)
-    asked = common.staged(queries.select("query_id", common.text_or_empty().alias("text")).mapInArrow(terms_of, "query_id long, terms binary").filter(F.octet_length("terms") > 0), "queries")
-    blocks = max(1, -(-asked.count() // QUERIES_AT_ONCE))
+    asked = common.staged(queries.select("query_id", common.text_or_empty().alias("text")).mapInArrow(common.lean(terms_of), "query_id long, terms binary").filter(F.octet_length("terms") > 0), "queries")
+    blocks, n_shards = max(1, -(-asked.count() // QUERIES_AT_ONCE)), shards.count()
     found = []
     for block in range(blocks):
         own = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()
         lists = [np.frombuffer(t, "<u8") for t in own.column("terms").to_pylist()]
         if lists:
             terms = np.unique(np.concatenate(lists))
-            found.append(_search_block(spark, shards, own.column("query_id").to_pylist(), [np.searchsorted(terms, x).astype(np.int32) for x in lists], terms, n, mean_length, k))
+            found.append(_search_block(spark, shards, n_shards, own.column("query_id").to_pylist(), [np.searchsorted(terms, x).astype(np.int32) for x in lists], terms, n, mean_length, k))
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
     merged = found[0]
     for other in found[1:]:
         merged = merged.unionByName(other)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     return merged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
-def _search_block(spark: SparkSession, shards: DataFrame, ids: list[int], lists: list[np.ndarray], terms: np.ndarray, n: int, mean_length: float, k: int) -> DataFrame:
+def _search_block(spark: SparkSession, shards: DataFrame, n_shards: int, ids: list[int], lists: list[np.ndarray], terms: np.ndarray, n: int, mean_length: float, k: int) -> DataFrame:
     shared = spark.sparkContext.broadcast(terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,23 +246,38 @@ def _search_block(spark: SparkSession, shards: DataFrame, ids: list[int], lists:
         held = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(seen[held], pa.int64())], names=["term", "df"])
 
-    counted = shards.select("vocab", "starts").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    counted = shards.select("vocab", "starts").mapInArrow(common.lean(count), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
     df = np.zeros(len(terms))
     df[counted.column("term").to_numpy()] = counted.column("df").to_numpy()
     asked = spark.sparkContext.broadcast((ids, lists, np.log(1 + (n - df + 0.5) / (df + 0.5))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, (ids, lists, idf) = shared.value, asked.value
-        best: list[list[tuple[float, int]]] = [[] for _ in ids]
-        for batch in batches:
-            for row in batch.to_pylist():
-                shard = Shard(row, terms, idf, mean_length)
-                for i, own in enumerate(lists):
-                    best[i] = shard.search(own, best[i], k)
-        rows = [(q, d, -s) for q, found in zip(ids, best, strict=True) for s, d in found]
-        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "doc_id", "score"])
-
-    return common.staged(shards.mapInArrow(run, "query_id long, doc_id long, score double"), "found")
+    def searching(least, some: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            terms, (ids, lists, idf) = shared.value, asked.value
+            best: list[list[tuple[float, int]]] = [[] for _ in ids]
+            at_least = least.value.copy() if least else np.zeros(len(ids))
+            for batch in batches:
+                for row in batch.to_pylist():
+                    shard = Shard(row, terms, idf, mean_length)
+                    own = np.flatnonzero(np.random.default_rng(row["shard"] & 0xFFFFFFFF).random(len(ids)) * n_shards < TRIED) if some else np.arange(len(ids))
+                    mine = at_least[own]
+                    shard.search([lists[q] for q in own.tolist()], [best[q] for q in own.tolist()], mine, k)
+                    at_least[own] = mine
+                    del shard
+            rows = [(i, d, -s) for i, found in enumerate(best) for s, d in found]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([None if r[1] == NO_ID else r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], names=["query", "doc_id", "score"])
+
+        return shards.mapInArrow(common.lean(run), "query long, doc_id long, score double")
+
+    least = None
+    if n_shards > TRIED:
+        order = Window.partitionBy("query").orderBy(F.desc("score"))
+        kth = searching(None, True).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k).select("query", "score").toArrow()
+        known = np.zeros(len(ids))
+        known[kth.column("query").to_numpy()] = kth.column("score").to_numpy()
+        least = spark.sparkContext.broadcast(known)
+    numbers = spark.createDataFrame(pa.table({"query": pa.array(range(len(ids)), pa.int64()), "query_id": pa.array(ids, pa.int64())}))
+    return common.staged(searching(least, False), "found").join(F.broadcast(numbers), "query").select("query_id", "doc_id", "score")  # as many rows as QUERIES_AT_ONCE
 
 
 def op5_block_max_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
