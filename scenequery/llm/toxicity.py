@@ -4,8 +4,12 @@ Features are a text's distinct words and word beginnings. P(grade <= k) = sigmoi
 for all thresholds, which stay in order. The expected severity is the sum of P(grade > k).
 
 Grades: 0 for rows labelled clean; rows labelled toxic are 1 or 2, up to or above the median number of different words
-that carry a marker, since the labels themselves only say toxic or not. The model is fitted on at most about ``MOST_LABELLED``
-labelled rows, picked by a hash of doc_id; every document is scored over its whole text.
+that carry a marker, since the labels themselves only say toxic or not; where they grade, ``fit_ordinal`` takes their grades.
+
+The model is fitted on at most about ``MOST_LABELLED`` labelled rows, picked by a hash of doc_id. Its features are, of the words
+and beginnings in these rows, those in at least ``LEAST_SEEN`` toxic ones whose odds of being toxic are above 3 and differ from 1
+by ``LEAST_Z`` standard errors, the ``MOST_FEATURES`` most certain ones where there are more: a choice of the fit, like the sample.
+Every document is scored over its whole text.
 """
 
 from __future__ import annotations
@@ -25,8 +29,9 @@ from . import common
 
 MOST_LABELLED = 20_000
 MOST_FEATURES = 4096
-LEAST_SEEN = 4
-LEAST_Z = 3.5
+LEAST_SEEN = 3
+LEAST_Z = 2.5
+PRIOR = 0.1
 STARTS = (3, 4, 5, 6, 7, 8)
 REJECT = 0.5
 CACHE_WORDS = 500_000
@@ -45,9 +50,9 @@ class Model:
     thresholds: list[float]
 
 
-def fit_ordinal(rows: list[list[int]], grades: list[int], n_features: int, levels: int, steps: int = 1500, l2: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered thresholds that maximise the likelihood, by full-batch Adam. ``rows``: indices of present features."""
-    y = np.asarray(grades)
+def fit_ordinal(rows: list[list[int]], grades: list[int], n_features: int, levels: int, steps: int = 1500, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ordered thresholds that maximise the likelihood, with a normal prior on the weights, by full-batch Adam. ``rows``: indices of present features."""
+    y, l2 = np.asarray(grades), prior / len(grades)
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     feature = np.fromiter((j for r in rows for j in r), np.int64)
     share = np.array([(y > k).mean() for k in range(levels - 1)]).clip(1e-4, 1 - 1e-4)
@@ -76,6 +81,7 @@ def fit_ordinal(rows: list[list[int]], grades: list[int], n_features: int, level
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model | None:
     """Fit on labelled rows of ``docs``; None if they are not of both kinds. Rows without text or label are left out."""
+    common.small_batches(docs.sparkSession)
     labels = labels.select("doc_id", "toxic").filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = max(1, labels.count())
     picked = labels.filter(F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(n)) < most)  # about `most` rows, whatever n
@@ -120,9 +126,11 @@ def grade(docs: DataFrame, model: Model | None, keep: list[str] | None = None, p
 
     The new names start with ``prefix``; a column that already has such a name is replaced.
 
-    A null or empty text has no features and gets what the thresholds alone say. Without a model all rows are clean.
+    A null or empty text has no features and gets what the thresholds alone say. Without a model all rows are clean. Rows that
+    repeat are graded each; an empty table gives an empty one; a text of any length is read whole.
     """
     spark = docs.sparkSession
+    common.small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     added = [prefix + c for c in ("grade", "expected_severity", "score", "toxic")]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
