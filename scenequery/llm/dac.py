@@ -14,7 +14,8 @@ import re
 import struct
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ MAGIC = b"DAC1"
 RANK_STEP = 512
 END_ID = 1
 SEGMENT_TOKENS = 1 << 18
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 
 SEGMENTS = T.StructType(
     [
@@ -62,7 +63,7 @@ def pack(ids: np.ndarray) -> bytes:
 
 
 class Codes:
-    """A packed segment: ``codes[i]`` reads one id, ``codes.all()`` every id."""
+    """A packed segment: ``codes[i]`` reads one id, ``codes.read(a, b)`` some in a row, ``codes.all()`` every id."""
 
     def __init__(self, blob: bytes):
         if blob[:4] != MAGIC:
@@ -83,15 +84,26 @@ class Codes:
     def __getitem__(self, i: int) -> int:
         if not 0 <= i < len(self):
             raise IndexError(i)
-        value = 0
-        for level, (chunks, bits, ones) in enumerate(self.levels):
-            value |= int(chunks[i]) << (8 * level)
-            if not bits[i >> 3] >> (i & 7) & 1:
+        return int(self.read(i, i + 1)[0])
+
+    def _rank(self, level: int, i: int) -> int:
+        """How many of a level's entries before entry i continue: the directory, and the bits since its last step."""
+        _, bits, ones = self.levels[level]
+        start, end = i // RANK_STEP, i >> 3
+        found = int(ones[start]) + int(np.bitwise_count(bits[start * RANK_STEP >> 3 : end]).sum())
+        return found + int(bits[end] & ((1 << (i & 7)) - 1)).bit_count() if i & 7 else found
+
+    def read(self, a: int, b: int) -> np.ndarray:
+        """Ids a to b - 1: at each level those entries alone, whose place on the next level their rank tells."""
+        values, where, n = np.zeros(b - a, np.uint32), slice(None), b - a
+        for level, (chunks, bits, _) in enumerate(self.levels):
+            values[where] |= chunks[a : a + n].astype(np.uint32) << np.uint32(8 * level)
+            more = np.flatnonzero(np.unpackbits(bits[a >> 3 : a + n + 7 >> 3], bitorder="little")[a & 7 :][:n])
+            if not len(more):
                 break
-            start = i // RANK_STEP
-            inside = np.unpackbits(bits[start * RANK_STEP // 8 : (i >> 3) + 1], bitorder="little")[: i - start * RANK_STEP]
-            i = int(ones[start]) + int(inside.sum())
-        return value
+            where = more if level == 0 else where[more]
+            a, n = self._rank(level, a), len(more)
+        return values
 
     def all(self) -> np.ndarray:
         values = np.zeros(0, np.uint32)
@@ -111,36 +123,20 @@ _WORD_TOKENIZERS: dict[str, WordTokenizer] = {}
 class WordTokenizer:
     """A word-end BPE of the tokenizers library, one distinct word at a time.
 
-    White space always ends a word there, so a text's ids are its words' ids joined. Words of letters that are below
-    U+0250, in lower case too, are merged by tiktoken over the same merges (each word ends in a byte that UTF-8 never
-    holds and that joins the last letter first); all others go through the tokenizers library itself. Words seen are kept, up to ``CACHE_WORDS``.
+    White space always ends a word there, so a text's ids are its words' ids joined. The library's model merges every word.
+    Of words of letters that are below U+0250, in lower case too, what comes before it (lower case, splitting, bytes as
+    letters) is done here; all other words take the library's whole way. Words seen are kept in two generations of up to
+    ``CACHE_WORDS``, so frequent ones stay.
     """
 
     def __init__(self, path: str):
-        import json
-
-        import tiktoken
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+        self.merge = self.whole.model.tokenize
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        shown = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
-        byte = {c: b for b, c in shown.items()}
-        end, ranks = b"\xff", {}
-        raw = lambda s: bytes(byte[c] for c in s.removesuffix("</w>")) + end * s.endswith("</w>")
-        for b in range(256):
-            ranks[bytes([b]) + end] = b
-            ranks[bytes([b])] = 256 + b
-        for pair in model["merges"]:
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            ranks.setdefault(raw(a) + raw(b), len(ranks))
-        self.ids = np.zeros(len(ranks), "<u2")
-        for token, i in model["vocab"].items():
-            if all(c in byte for c in token.removesuffix("</w>")) and (r := ranks.get(raw(token))) is not None:
-                self.ids[r] = i
-        self.merge = tiktoken.Encoding("word_ends", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        others = [b for b in range(256) if b not in plain]
+        self.shown = {b: 256 + i for i, b in enumerate(others)}  # bytes that stand for themselves are left out
         low = [chr(c) for c in range(0x250)]
         letters = "".join(re.escape(c) for c in low if unicodedata.category(c)[0] == "L")
         numbers = "".join(re.escape(c) for c in low if unicodedata.category(c)[0] == "N")
@@ -149,26 +145,33 @@ class WordTokenizer:
         # letters whose lower case is not below U+0250 as well, like schwa and dotted I, take the library
         self.simple = re.compile(f"[{''.join(re.escape(c) for c in low if max(map(ord, c.lower())) < 0x250)}]*").fullmatch
         # what str.split() takes for white space besides the six characters that end a word
-        self.odd_spaces = [chr(c) for c in range(0x110000) if chr(c).isspace() and not 9 <= c <= 13 and c != 32]
-        self.words: dict[str, bytes] = {}
+        self.odd_spaces = [c for c in map(chr, range(0x3001)) if c.isspace() and not 9 <= ord(c) <= 13 and c != " "]
+        self.words = Words(self.word, {})
 
     def word(self, w: str) -> bytes:
         if "<|" in w or not self.simple(w):
             return np.asarray(self.whole.encode(w, add_special_tokens=False).ids, "<u2").tobytes()
-        return b"".join(self.ids[self.merge(p.encode() + b"\xff")].tobytes() for p in self.pieces(w.lower()))
+        ids = [t.id for p in self.pieces(w.lower()) for t in self.merge(p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(self.shown))]
+        return array("H", ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 16-bit integers."""
-        words, found = self.words, re.findall(common.WORD, text) if any(c in text for c in self.odd_spaces) else text.split()
-        try:
-            return b"".join(map(words.__getitem__, found))
-        except KeyError:
-            if len(words) > CACHE_WORDS:
-                words.clear()
-            for w in found:
-                if w not in words:
-                    words[w] = self.word(w)
-            return b"".join(map(words.__getitem__, found))
+        if len(self.words) > CACHE_WORDS:
+            self.words.before = {}
+            self.words = Words(self.word, self.words)
+        found = re.findall(common.WORD, text) if any(c in text for c in self.odd_spaces) else text.split()
+        return b"".join(map(self.words.__getitem__, found))
+
+
+class Words(dict):
+    """Words -> ids as bytes; a new one comes from the words before, or is encoded."""
+
+    def __init__(self, encode: Callable[[str], bytes], before: dict[str, bytes]):
+        self.encode, self.before = encode, before
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = ids = self.before.get(word) or self.encode(word)
+        return ids
 
 
 def word_tokenizer(path: str) -> WordTokenizer:
@@ -184,7 +187,8 @@ def write_segments(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and store segments in ascending doc_id order; returns the stored table.
 
     Each document's ids are followed by ``END_ID``. A null text counts as empty, equal doc_ids are ordered by text,
-    a null doc_id comes first. The sort is a range partitioning, so no task holds more than its range.
+    a null doc_id comes first; doc_ids that are no whole numbers are an error. An empty table gives an empty one, repeated rows
+    are documents of their own, and only doc_id and text are kept. A text of any length is encoded whole. The sort is a range partitioning, so no task holds more than its range.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,13 +220,15 @@ def write_segments(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         if ids:
             yield segment()
 
+    common.small_batches(docs.sparkSession)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text")).repartitionByRange(common.partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    return common.staged(ordered.mapInArrow(encode, SEGMENTS), "dac-segments")
+    return common.staged(ordered.mapInArrow(common.lean(encode), SEGMENTS), "dac-segments")
 
 
 def read_segments(segments: DataFrame) -> DataFrame:
     """Per document of a stored table: doc_id, start (ids before it in the whole set), n_tokens, ids_crc32.
 
+    Each document's ids are read by their place in its segment, through the rank directories; segments are not decoded.
     Only the totals per partition are added up in one place; their number is that of the shuffle partitions.
     """
     totals = segments.groupBy("part").agg(F.sum("n_tokens").alias("n"))
@@ -232,18 +238,18 @@ def read_segments(segments: DataFrame) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids = Codes(row["codes"]).all().astype("<u4")
+                codes = Codes(row["codes"])
                 counts = np.asarray(row["doc_tokens"], np.int64)
                 ends = np.cumsum(counts)
                 starts = ends - counts
-                crcs = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                crcs = [zlib.crc32(codes.read(a, b).astype("<u4")) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row["doc_ids"], pa.int64()), pa.array(starts + row["part_start"] + row["before_part"], pa.int64()), pa.array(counts, pa.int64()), pa.array(crcs, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
     rows = segments.join(F.broadcast(starts), "part").select("part_start", "before_part", "doc_ids", "doc_tokens", "codes")
-    return rows.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(common.lean(decode), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op3_dac_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
