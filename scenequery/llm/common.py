@@ -14,10 +14,16 @@ from pyspark.sql import functions as F
 #: A word of the contracts: a run of anything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: The setting that says how many rows an Arrow batch has, its default, and what the operators take instead.
+BATCH_SIZE, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"
+
 #: The characters of Unicode's White_Space, to stand inside a character class.
 WHITE_SPACE = "\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
+_TABLES: list[str] = []
+
+
 def lean(f: Callable) -> Callable:
     """A function for mapInArrow whose worker gives its memory back when the task ends: Spark keeps workers for later tasks."""
 
@@ -38,11 +44,19 @@ def release() -> None:
         trim(0)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: Arrow batches of ``BATCH_ROWS`` rows from now on in this session, unless it has a size of its own."""
+    if spark.conf.get(BATCH_SIZE) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SIZE, BATCH_ROWS)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new temporary one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; in local mode a new temporary one where it is unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if configured is None and current is None:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="scenequery-"))
         current = spark.sparkContext.getCheckpointDir()
     return configured or current
@@ -52,10 +66,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage is cut, lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _TABLES.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables() -> list[str]:
+    """Paths of all tables staged so far by this driver, and not discarded."""
+    return list(_TABLES)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes staged tables; nothing that reads them may run after that."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _TABLES.remove(path)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -190,6 +190,7 @@ def _link_blocks(rows: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(key, class): the smallest key that links (a, b) reach; only keys with links. Large and small stars in turn, by sums over keys."""
+    spark = links.sparkSession
     edges = common.staged(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -199,9 +200,11 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "a")
         small = small.select("b", "m").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         after = common.staged(small, "edges")
-        if after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty():
-            break
+        same = after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty()
+        common.discard(spark, [common.tables()[-2]])  # the edges before
         edges = after
+        if same:
+            break
     keys = edges.groupBy("a").agg(F.min("b").alias("class")).select(F.col("a").alias("key"), "class")
     return common.staged(keys.unionByName(keys.select(F.col("class").alias("key"), "class").distinct()), "classes")
 
@@ -274,9 +277,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     component_id is the smallest doc_id that links reach, 100 * shared >= 75 * union of distinct 5-word shingles. Null texts
     and texts without words have no shingles and link with nothing. Rows that repeat are kept. Rows without a doc_id are
-    named by those they share a shingle set with, and do not link any further.
+    named by those they share a shingle set with, and do not link any further. An empty table gives an empty one; other columns
+    of ``docs`` are not kept; a text of any length is read whole, its set being one value. doc_id is a whole number.
     """
     spark = docs.sparkSession
+    common.small_batches(spark)
     docs = docs.select("doc_id", "text")
     sized = common.staged(docs.mapInArrow(common.lean(_sets), "doc_id long, key long, n_shingles long"), "sets")
     classes = sized.filter("n_shingles > 0").groupBy("key", "n_shingles").agg(F.min("doc_id").alias("rep"))

@@ -122,6 +122,7 @@ class Model:
 
 def learn(docs: DataFrame, most: int = MOST_TAUGHT) -> Model | None:
     """A model from ``docs`` (doc_id, text, lang) that are not held out; None if there are none with letters."""
+    common.small_batches(docs.sparkSession)
     taught = docs.filter(~held_out(F.col("doc_id")) & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["count"] for r in taught.groupBy("lang").count().collect()}
     if not sizes:
@@ -252,9 +253,11 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
     """Adds lang_pred and score (and spans: array of first word, words, lang) to every row of ``docs`` (text).
 
     ``und`` with score 0 for a null text, one without letters, or without a model. Words are runs of letters. Ties go to the
-    language that is lower in code-point order. The new names start with ``prefix``; a column that already has such a name
+    language that is lower in code-point order; of an empty table come no rows, of rows that repeat as many. Texts are read whole:
+    the words of one document, as numbers, and its scores by language must fit a task. The new names start with ``prefix``; a column that already has such a name
     is replaced.
     """
+    common.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     added = [prefix + c for c in ("lang_pred", "score", "spans")][: 2 + spans]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]

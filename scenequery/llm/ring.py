@@ -54,6 +54,8 @@ def overflow(nodes: list[tuple[int, int]], counts: dict[tuple[int, int], int], r
 def assign(keyed: DataFrame, key: str, shards: int, ties: list[str]) -> DataFrame:
     """Adds shard and slot (gapless from 0 in each shard); columns that already have these names are replaced. Rows with the same key are ordered by ``ties``; a null key is a key.
 
+    Rows that repeat take a slot each, an empty table gives an empty one, other columns stay. Texts do not count here.
+
     Law: with n rows, every shard gets n // shards or one more.
     """
     spark = keyed.sparkSession

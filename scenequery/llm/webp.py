@@ -599,7 +599,11 @@ def decode_column(media: DataFrame, column: str) -> DataFrame:
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media): each text (null: empty) as UTF-8, padded by spaces to a multiple of 192 bytes, as pictures."""
+    """(doc_id, n_bytes, media): each text (null: empty) as UTF-8, padded by spaces to a multiple of 192 bytes, as pictures.
+
+    Rows that repeat give a row each, a null doc_id stays null, an empty table gives an empty one, other columns are not kept.
+    doc_id is a whole number. A long text becomes several pictures of at most ``MOST_ROWS`` rows.
+    """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
