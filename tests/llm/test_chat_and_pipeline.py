@@ -91,8 +91,13 @@ def test_stages(spark):
             classes = jaccard.near_duplicates(docs).collect()
             assert {r.doc_id for r in out.collect()} == {r.doc_id for r in classes if r.doc_id == r.component_id} and out.count() == len({r.component_id for r in classes})
         elif name == "mixing":
-            times = {r.doc_id: int(r.taken / max(1, r["size"]) + 0.5) for r in mixing.mix(docs).collect()}
-            assert collections.Counter(r.doc_id for r in out.collect()) == {k: n for k, n in times.items() if n}
+            # whole documents: each taken / size times, rounded up or down, and a source's words to less than its longest one
+            times, mixed = collections.Counter(r.doc_id for r in out.collect()), mixing.mix(docs).collect()
+            assert set(times) <= {r.doc_id for r in mixed}
+            for source in {r.source for r in mixed}:
+                own = [r for r in mixed if r.source == source]
+                assert all(r.taken // max(1, r["size"]) <= times[r.doc_id] <= -(-r.taken // max(1, r["size"])) for r in own)
+                assert abs(sum(times[r.doc_id] * r["size"] - r.taken for r in own)) <= max(r["size"] for r in own)
         else:
             assert out.count() == docs.count() and out.columns[0] == "doc_id"
         docs = out
