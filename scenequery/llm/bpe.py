@@ -28,7 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
 
-CHUNK_CHARS = 1 << 22
+CHUNK_CHARS = 1 << 21
 MOST_SENT = 1_000_000  # rows of a token-byte table that is broadcast; a vocabulary has its size, whatever the corpus
 ROWS_AT_ONCE = 1000
 
