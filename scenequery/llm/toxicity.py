@@ -114,7 +114,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model
                 hits.append(len(marked))
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), pa.array(hits, pa.int32()), batch.column(1).cast(pa.int32())], names=["found", "hits", "toxic"])
 
-    got = rows.mapInArrow(common.lean(keep), "found array<int>, hits int, toxic int").orderBy("toxic", "hits", "found").toArrow().to_pylist()
+    got = rows.mapInArrow(common.lean(keep), "found array<int>, hits int, toxic int").toArrow().to_pylist()  # about `most` rows
+    got.sort(key=lambda r: (r["toxic"], r["hits"], r["found"]))
     median = float(np.median([r["hits"] for r in got if r["toxic"] > 0]))
     grades = [0 if r["toxic"] <= 0 else 1 + (r["hits"] > median) for r in got]
     weights, thresholds = fit_ordinal([r["found"] for r in got], grades, len(features), 3)
