@@ -7,8 +7,9 @@ maxima reaches the k-th best score so far. Blocks in between are skipped. Pivots
 queries are scored in one block together: terms that a large part of the shard has by a matrix product, rare ones posting by
 posting. Scores of 32 bits, within their error, tell which documents may be among the best; those get exact ones.
 
-Before all shards are searched, each query is tried on some ``TRIED`` of them, and the k-th best score found there is what all
-tasks start from; a task raises it from shard to shard. What is left out cannot be among the best, so the merged k are exact.
+Before all shards are searched, each query is tried on some of them, and the k-th best score found there is what all tasks start
+from; a task raises it from shard to shard. With m of n shards tried, both rounds together give some k * (m + n / m) rows a query,
+fewest for the square root of n. What is left out cannot be among the best, so the merged k are exact.
 
 Queries come in blocks of about ``QUERIES_AT_ONCE``; only one such block is broadcast at a time. Each block of queries meets
 all shards, so the work is that of queries times documents, less what the bounds leave out.
@@ -16,6 +17,7 @@ all shards, so the work is that of queries times documents, less what the bounds
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +30,11 @@ from . import common
 from .jaccard import word_hashes
 
 K1, B = 1.2, 0.75
-SHARD_DOCS = 8192
+SHARD_DOCS = 4096
 BLOCK_DOCS = 128
 DENSE_SHARE = 1 / 48  # a term that more of a shard's documents have is scored by matrix products
 QUERIES_AT_ONCE = 3000
 SCORED_AT_ONCE = 256
-TRIED = 3
 TOP = 10
 EVERY = 50
 ERROR = 1e-4  # of sums in 32 bits, relative and absolute; measured ones are below 1e-5
@@ -234,7 +235,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
 
 
 def _search_block(spark: SparkSession, shards: DataFrame, n_shards: int, ids: list[int], lists: list[np.ndarray], terms: np.ndarray, n: int, mean_length: float, k: int) -> DataFrame:
-    shared = spark.sparkContext.broadcast(terms)
+    shared, tried = spark.sparkContext.broadcast(terms), max(3, math.ceil(n_shards**0.5))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = shared.value
@@ -259,7 +260,7 @@ def _search_block(spark: SparkSession, shards: DataFrame, n_shards: int, ids: li
             for batch in batches:
                 for row in batch.to_pylist():
                     shard = Shard(row, terms, idf, mean_length)
-                    own = np.flatnonzero(np.random.default_rng(row["shard"] & 0xFFFFFFFF).random(len(ids)) * n_shards < TRIED) if some else np.arange(len(ids))
+                    own = np.flatnonzero(np.random.default_rng(row["shard"] & 0xFFFFFFFF).random(len(ids)) * n_shards < tried) if some else np.arange(len(ids))
                     mine = at_least[own]
                     shard.search([lists[q] for q in own.tolist()], [best[q] for q in own.tolist()], mine, k)
                     at_least[own] = mine
@@ -270,7 +271,7 @@ def _search_block(spark: SparkSession, shards: DataFrame, n_shards: int, ids: li
         return shards.mapInArrow(common.lean(run), "query long, doc_id long, score double")
 
     least = None
-    if n_shards > TRIED:
+    if n_shards > tried:
         order = Window.partitionBy("query").orderBy(F.desc("score"))
         kth = searching(None, True).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k).select("query", "score").toArrow()
         known = np.zeros(len(ids))
