@@ -6,6 +6,8 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +23,7 @@ BATCH_SIZE, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPer
 WHITE_SPACE = "\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
-_TABLES: list[str] = []
+_STAGED: ContextVar[list[str] | None] = ContextVar("staged", default=None)
 
 
 def lean(f: Callable) -> Callable:
@@ -62,26 +64,37 @@ def shared_dir(spark: SparkSession) -> str:
     return configured or current
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage is cut, lost executors lose nothing."""
+def staged_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` as a table in the shared folder; the table, which cuts the lineage, and its path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _TABLES.append(path)
+    if (paths := _STAGED.get()) is not None:
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: lineage is cut, lost executors lose nothing."""
+    return staged_at(df, name)[0]
 
 
-def tables() -> list[str]:
-    """Paths of all tables staged so far by this driver, and not discarded."""
-    return list(_TABLES)
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """Gathers the paths that are staged inside, by this thread alone."""
+    paths: list[str] = []
+    before = _STAGED.set(paths)
+    try:
+        yield paths
+    finally:
+        _STAGED.reset(before)
 
 
 def discard(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes staged tables; nothing that reads them may run after that."""
+    """Deletes staged tables; nothing that reads them may run after that. Those that are gone already stay gone."""
     for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        _TABLES.remove(path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

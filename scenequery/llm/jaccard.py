@@ -191,7 +191,7 @@ def _link_blocks(rows: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(key, class): the smallest key that links (a, b) reach; only keys with links. Large and small stars in turn, by sums over keys."""
     spark = links.sparkSession
-    edges = common.staged(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges, path = common.staged_at(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -199,10 +199,10 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select("b", "m").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        after = common.staged(small, "edges")
+        after, next_path = common.staged_at(small, "edges")
         same = after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty()
-        common.discard(spark, [common.tables()[-2]])  # the edges before
-        edges = after
+        common.discard(spark, [path])
+        edges, path = after, next_path
         if same:
             break
     keys = edges.groupBy("a").agg(F.min("b").alias("class")).select(F.col("a").alias("key"), "class")
