@@ -62,7 +62,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; each stage's rows are written as Parquet and read by the next."""
     docs = common.documents(spark, sf_dir)
     for name, stage in STAGES:
-        before = common.tables()
-        docs = common.staged(stage(spark, docs, sf_dir), f"stage-{name}")
-        common.discard(spark, common.tables()[len(before) : -1])  # what the stage wrote on its way
+        with common.noted() as paths:
+            docs = common.staged(stage(spark, docs, sf_dir), f"stage-{name}")
+        common.discard(spark, paths[:-1])  # what the stage wrote on its way
     return docs
