@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
-
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -132,10 +133,83 @@ def softmax_predict(features: list[Column], mean: list[float], std: list[float],
     return F.when(missing, INVALID).otherwise(cls), F.when(missing, 0.0).otherwise(1 / sum((F.exp(x - best) for x in s), F.lit(0.0)))
 
 
-def fit_logistic(rows: DataFrame, features: list[str], cls: str, steps: int = 60, l2: float = 1e-4):
-    """A multinomial logistic model over all rows, fitted on the executors."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
+@dataclass(frozen=True)
+class Logistic:
+    """weights: a row a class, bias last; mean and std of the features; the loss of each epoch."""
+
+    weights: list[list[float]]
+    mean: list[float]
+    std: list[float]
+    history: list[float]
+
 
-    vectors = VectorAssembler(inputCols=features, outputCol="_x").transform(rows.withColumn("label", F.col(cls).cast("double")))
-    return LogisticRegression(featuresCol="_x", labelCol="label", family="multinomial", maxIter=steps, regParam=l2).fit(vectors), vectors
+def require_classes(rows: DataFrame, cls: str, names: list[str]) -> dict[int, int]:
+    """Rows of each class, numbered as in ``names``; an error with fewer than two classes, or one that names those without rows."""
+    if len(names) < 2:
+        raise ValueError("two classes or more are wanted")
+    counts = {r[cls]: r["count"] for r in rows.filter(F.col(cls).between(0, len(names) - 1)).groupBy(cls).count().collect()}
+    empty = [n for k, n in enumerate(names) if not counts.get(k)]
+    if empty:
+        raise ValueError(f"no rows of {', '.join(empty)}")
+    return {k: counts[k] for k in range(len(names))}
+
+
+def train_logistic(rows: DataFrame, features: list[str], cls: str, classes: int, epochs: int = 60, batches: int = 1, rate: float = 0.3, momentum: float = 0.9, l2: float = 1e-4, seed: int = 1337, tolerance: float = 0.0) -> Logistic:
+    """Multinomial logistic regression by gradient steps with momentum on standardized features; biases do not decay.
+
+    A step is one pass over a batch: each task adds up loss and gradient of its rows, and these few numbers a task meet on the
+    driver. Rows are dealt to ``batches`` batches an epoch by a seeded hash of their content, so reruns agree. Training ends early once an
+    epoch lowers the loss by less than ``tolerance`` of it. Rows whose class is no class are left out; a feature that is missing or not
+    finite is an error, as are weights that diverge.
+    """
+    if classes < 2 or not features:
+        raise ValueError("two classes or more, and features, are wanted")
+    known = rows.filter(F.col(cls).between(0, classes - 1)).select(F.col(cls).cast("int").alias("_cls"), *(F.col(f).cast("double").alias(f) for f in features))
+    bad = lambda f: F.coalesce(F.abs(F.col(f)) == float("inf"), F.lit(True)) | F.isnan(f)
+    told = known.agg(F.count("*").alias("n"), *(x for f in features for x in (F.count_if(bad(f)).alias(f"bad_{f}"), F.avg(f).alias(f"mean_{f}"), F.stddev_pop(f).alias(f"std_{f}")))).collect()[0]
+    if not told["n"]:
+        raise ValueError("no rows to learn from")
+    for f in features:
+        if told[f"bad_{f}"]:
+            raise ValueError(f"{told[f'bad_{f}']} values of {f} are missing or not finite: leave such rows out first")
+    mean = [told[f"mean_{f}"] for f in features]
+    std = [told[f"std_{f}"] if told[f"std_{f}"] > 1e-12 else 1.0 for f in features]
+    scaled = known.select("_cls", F.pmod(F.xxhash64(F.lit(seed), *features), F.lit(batches)).cast("int").alias("_batch"), *(((F.col(f) - m) / s).alias(f"_x{k}") for k, (f, m, s) in enumerate(zip(features, mean, std, strict=True)))).persist()
+    w, v = np.zeros((classes, len(features) + 1)), np.zeros((classes, len(features) + 1))
+    history: list[float] = []
+
+    def gradient(at: np.ndarray, batch: int) -> tuple[float, int, np.ndarray]:
+        def sums(parts):
+            loss, n, g = 0.0, 0, np.zeros_like(at)
+            for part in parts:
+                y = part.column(0).to_numpy()[(own := part.column(1).to_numpy() == batch)]
+                x = np.column_stack([*(c.to_numpy()[own] for c in part.columns[2:]), np.ones(len(y))])
+                s = x @ at.T
+                p = np.exp(s - s.max(1, keepdims=True, initial=-np.inf))
+                p /= p.sum(1, keepdims=True)
+                loss -= float(np.log(np.maximum(p[np.arange(len(y)), y], 1e-12)).sum())
+                p[np.arange(len(y)), y] -= 1
+                n, g = n + len(y), g + p.T @ x
+            yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([n], pa.int64()), pa.array([g.tobytes()], pa.binary())], names=["loss", "n", "g"])
+
+        found = scaled.mapInArrow(sums, "loss double, n long, g binary").collect()
+        return sum(r["loss"] for r in found), sum(r["n"] for r in found), sum((np.frombuffer(r["g"]).reshape(at.shape) for r in found), np.zeros_like(at))
+
+    try:
+        for _ in range(epochs):
+            total = 0.0
+            for batch in range(batches):
+                loss, n, g = gradient(w, batch)
+                if n:
+                    g[:, :-1] += l2 * n * w[:, :-1]
+                    v = momentum * v - rate / n * g
+                    w = w + v
+                total += loss
+            history.append(total / told["n"])
+            if len(history) > 1 and tolerance and history[-2] - history[-1] < tolerance * history[-2]:
+                break
+    finally:
+        scaled.unpersist()
+    if not np.isfinite(w).all():
+        raise ValueError("weights diverged: take a lower rate")
+    return Logistic(w.tolist(), mean, std, history)

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import extras, geo, grids, learning, neighbourhood, radiometric, raster, records, search, strings  # noqa: F401
+from . import bytes_and_schemas, extras, files, geo, grids, learning, models, neighbourhood, radiometric, raster, records, search, strings, tiles  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401

@@ -12,7 +12,6 @@ from scenequery.functions import geo, names
 from scenequery.functions import radiometry as rad
 from scenequery.operators import learning, multilook, neighbourhood, search, stats
 from scenequery.plans import catalogue
-from scenequery.sources import geotiff
 from scenequery.streaming import ingest
 
 SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -141,18 +140,6 @@ def test_rules_meet_missing_bands_in_order(spark):
     assert [r[0] for r in df.select(learning.by_rules({"x": F.col("x"), "y": F.col("y")}, rules)).collect()] == [1, 255, 2]
 
 
-def test_geotiff_tiles_round_trip(spark):
-    values = [float(i) if i % 7 else None for i in range(30)]
-    px = pixels(spark, values, 6)
-    tiles = geotiff.encode_tiles(px, ["scene_id"], tile=4)
-    back = {(r.row, r.col): r.v for r in geotiff.decode_tiles(tiles, ["scene_id"], tile=4).collect()}
-    assert back == {(i // 6, i % 6): v for i, v in enumerate(values) if v is not None}
-    file = geotiff.assemble({(r.tile_row, r.tile_col): bytes(r.payload) for r in tiles.collect()}, 5, 6, tile=4)
-    grid = geotiff.read_band(file)
-    assert grid.shape == (5, 6) and np.isnan(grid[0, 0]) and grid[4, 5] == 29.0
-    assert geotiff.read_tags(file)[42113] == b"nan\0"
-
-
 def test_streaming_statistics(spark, tmp_path):
     events = spark.read.parquet(f"{SF}/events.parquet").select(*ingest.EVENTS.names)
     events.repartition(3).write.parquet(str(tmp_path / "in"))
@@ -178,14 +165,3 @@ def test_colour_maps(spark):
     assert rows["viridis", 0] == (71, 1, 85)
     with pytest.raises(ValueError):
         colormaps.colours("none", F.lit(0.5))
-
-
-def test_schema_checks():
-    from scenequery.functions import documents
-
-    schema = {"type": "object", "required": ["id", "rate"], "additionalProperties": False, "definitions": {"part": {"type": "array", "minItems": 1, "items": {"type": "string", "pattern": "^a"}}}, "properties": {"id": {"type": "string", "minLength": 1}, "rate": {"type": ["number", "null"], "minimum": 0, "maximum": 1}, "parts": {"$ref": "#/definitions/part"}, "kind": {"enum": ["x", "y"]}}}
-    assert documents.problems({"id": "a", "rate": 0.5, "parts": ["a", "ab"], "kind": "x"}, schema) == []
-    assert documents.problems({"id": "a", "rate": None}, schema) == []
-    bad = documents.problems({"id": "", "rate": 2, "parts": ["b", 3], "kind": "z", "more": 1}, schema)
-    assert [b.split(":")[0] for b in bad] == ["$.id", "$.rate", "$.parts[0]", "$.parts[1]", "$.kind", "$.more"]
-    assert documents.problems([], schema) == ["$: not of type object"] and documents.problems({"id": "a", "rate": True}, schema) == ["$.rate: not of type number or null"]

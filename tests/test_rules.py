@@ -164,10 +164,8 @@ def test_a_fitted_model_tells_regions_apart(spark):
     rows = spark.range(600).select("id", (F.pmod("id", F.lit(3)) * 4 + F.rand(1)).alias("x"), F.rand(2).alias("y"), F.pmod("id", F.lit(3)).cast("int").alias("label"))
     split = learning.stratified_split(rows, "label", "id")
     assert split.where("held_out").groupBy("label").count().collect() and {r["count"] for r in split.where("held_out").groupBy("label").count().collect()} == {50}
-    model, _ = learning.fit_logistic(split.where("not held_out"), ["x", "y"], "label")
-    from pyspark.ml.feature import VectorAssembler
-
-    found = model.transform(VectorAssembler(inputCols=["x", "y"], outputCol="_x").transform(split.where("held_out")))
+    model = learning.train_logistic(split.where("not held_out"), ["x", "y"], "label", 3)
+    found = split.where("held_out").withColumn("prediction", learning.softmax_predict([F.col("x"), F.col("y")], model.mean, model.std, model.weights)[0])
     assert found.where("prediction <> label").count() <= 3
 
 
