@@ -1,7 +1,10 @@
-"""Polygon footprints as columns: rings are arrays of structs (x, y), open or closed."""
+"""Polygon footprints: rings are arrays of structs (x, y), open or closed. Areas are column expressions; cutting works on whole batches
+of rings at once, as flat arrays of points with the number of points of each ring."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,40 +17,71 @@ def opened(ring: Column) -> Column:
     return F.when(closed, F.slice(ring, F.lit(1), F.size(ring) - 1)).otherwise(ring)
 
 
-def _after(ring: Column, i: Column) -> Column:
-    return F.element_at(ring, F.pmod(i + 1, F.size(ring)) + 1)
-
-
-def clip_ring(ring: Column, box: tuple[float, float, float, float]) -> Column:
-    """What of a ring lies in a box (x0, y0, x1, y1): cut by one side after the other; an empty ring where nothing does."""
-    sides = F.array(*(F.struct(F.lit(horizontal).alias("horizontal"), F.lit(float(at)).alias("at"), F.lit(above).alias("above")) for horizontal, at, above in ((False, box[0], True), (False, box[2], False), (True, box[1], True), (True, box[3], False))))
-
-    def cut(points: Column, side: Column) -> Column:
-        along = lambda p: F.when(side["horizontal"], p["y"]).otherwise(p["x"])
-        inside = lambda p: F.when(side["above"], along(p) >= side["at"]).otherwise(along(p) <= side["at"])
-
-        def kept(p: Column, i: Column) -> Column:
-            q = _after(points, i)
-            t = (side["at"] - along(p)) / F.nullif(along(q) - along(p), F.lit(0.0))
-            crossing = F.struct((p["x"] + t * (q["x"] - p["x"])).alias("x"), (p["y"] + t * (q["y"] - p["y"])).alias("y"))
-            return F.array(F.when(inside(p), p), F.when(inside(p) != inside(q), crossing))
-
-        return F.filter(F.flatten(F.transform(points, kept)), lambda p: p.isNotNull())
-
-    return F.aggregate(sides, opened(ring).cast(RING), cut)
-
-
 def ring_area(ring: Column) -> Column:
     """Area of a ring in the units of its coordinates; 0 with fewer than three points."""
     points = opened(ring)
-    parts = F.transform(points, lambda p, i: p["x"] * _after(points, i)["y"] - _after(points, i)["x"] * p["y"])
+    after = lambda i: F.element_at(points, F.pmod(i + 1, F.size(points)) + 1)
+    parts = F.transform(points, lambda p, i: p["x"] * after(i)["y"] - after(i)["x"] * p["y"])
     return F.when(F.size(points) < 3, 0.0).otherwise(F.abs(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)) / 2)
 
 
-def coverage(ring: Column, box: tuple[float, float, float, float]) -> Column:
-    """Per cent of a box that a footprint covers, 0 to 100; 0 for no ring or one of fewer than three points."""
-    area = (box[2] - box[0]) * (box[3] - box[1])
-    if not area > 0:
-        return F.lit(0.0)
-    found = F.greatest(F.lit(0.0), F.least(F.lit(100.0), ring_area(clip_ring(ring, box)) / area * 100))
-    return F.when(ring.isNull() | (F.size(ring) < 3), 0.0).otherwise(found)
+def _following(sizes: np.ndarray) -> np.ndarray:
+    """Of each point, the place of the one that follows it in its ring."""
+    ends = np.cumsum(sizes)
+    after = np.arange(1, ends[-1] + 1 if len(ends) else 1)
+    some = sizes > 0
+    after[ends[some] - 1] = (ends - sizes)[some]
+    return after
+
+
+def points_of(rings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(points, sizes) of a column of rings, opened; a null ring has none."""
+    sizes = rings.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = rings.flatten()
+    points = np.column_stack([flat.field(k).to_numpy(zero_copy_only=False).astype(float) for k in (0, 1)]) if len(flat) else np.zeros((0, 2))
+    last = np.cumsum(sizes)[sizes > 1] - 1
+    closed = (points[last] == points[last - sizes[sizes > 1] + 1]).all(1)
+    keep = np.ones(len(points), bool)
+    keep[last[closed]] = False
+    sizes[np.flatnonzero(sizes > 1)[closed]] -= 1
+    return points[keep], sizes
+
+
+def clip(points: np.ndarray, sizes: np.ndarray, boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What of each ring lies in its box (x0, y0, x1, y1): all rings are cut by one side after the other."""
+    for axis, side, above in ((0, 0, True), (0, 2, False), (1, 1, True), (1, 3, False)):
+        ring = np.repeat(np.arange(len(sizes)), sizes)
+        after, bound, at = _following(sizes), boxes[ring, side], points[:, axis]
+        inside = at >= bound if above else at <= bound
+        crosses = inside != inside[after]
+        count = inside.astype(int) + crosses
+        place = np.cumsum(count) - count
+        out = np.empty((int(count.sum()), 2))
+        out[place[inside]] = points[inside]
+        a, b = points[crosses], points[after[crosses]]
+        t = (bound[crosses] - a[:, axis]) / (b[:, axis] - a[:, axis])
+        out[(place + inside)[crosses]] = a + t[:, None] * (b - a)
+        points, sizes = out, np.bincount(ring, weights=count, minlength=len(sizes)).astype(np.int64)
+    return points, sizes
+
+
+def areas(points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    ring, after = np.repeat(np.arange(len(sizes)), sizes), _following(sizes)
+    parts = points[:, 0] * points[after, 1] - points[after, 0] * points[:, 1]
+    return np.where(sizes < 3, 0.0, np.abs(np.bincount(ring, weights=parts, minlength=len(sizes))) / 2)
+
+
+def cover(rings: pa.Array, boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each ring and its box: per cent of the box that it covers, corners of what lies inside, whether its extent meets the box."""
+    points, sizes = points_of(rings)
+    ring = np.repeat(np.arange(len(sizes)), sizes)
+    extent = np.full((len(sizes), 4), [np.inf, np.inf, -np.inf, -np.inf])
+    for k in (0, 1):
+        np.minimum.at(extent[:, k], ring, points[:, k])
+        np.maximum.at(extent[:, k + 2], ring, points[:, k])
+    meets = (extent[:, 0] <= boxes[:, 2]) & (extent[:, 2] >= boxes[:, 0]) & (extent[:, 1] <= boxes[:, 3]) & (extent[:, 3] >= boxes[:, 1])
+    inside, left = clip(points, sizes, boxes)
+    whole = (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1])
+    share = np.divide(areas(inside, left), whole, out=np.zeros(len(sizes)), where=whole > 0) * 100
+    given = rings.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.where(given < 3, 0.0, np.clip(share, 0, 100)), left, meets

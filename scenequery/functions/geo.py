@@ -76,25 +76,6 @@ def nice_step(span: Column, parts: int = 5) -> Column:
     return base * F.when(x < 1.5, 1).when(x < 3.5, 2).when(x < 7.5, 5).otherwise(10)
 
 
-def ring_area(ring: list[tuple[float, float]]) -> float:
-    return abs(sum(x0 * y1 - x1 * y0 for (x0, y0), (x1, y1) in zip(ring, [*ring[1:], ring[0]], strict=True))) / 2
-
-
-def clip_ring(ring: list[tuple[float, float]], box: tuple[float, float, float, float]) -> list[tuple[float, float]]:
-    """The part of a ring in a box, one edge after another."""
-    for axis, limit, sign in ((0, box[0], 1), (0, box[2], -1), (1, box[1], 1), (1, box[3], -1)):
-        inside = lambda p: sign * (p[axis] - limit) >= 0  # noqa: B023, E731
-        kept: list[tuple[float, float]] = []
-        for p, q in zip([*ring[-1:], *ring[:-1]], ring, strict=True):
-            if inside(p) != inside(q):
-                t = (limit - p[axis]) / (q[axis] - p[axis])
-                kept.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
-            if inside(q):
-                kept.append(q)
-        ring = kept
-    return ring
-
-
 _NUMBER = r"[-+]?\d+\.?\d*(?:[eE][-+]?\d+)?"
 
 

@@ -2,47 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def trilinear(grid: list[list[list[float | None]]], fi: Column, fj: Column, fk: Column) -> Column:
-    """Value of a small cube [height][row][column] at index coordinates.
+MOST_CELLS = 200_000  # of a cube whose cells are broadcast; larger ones are shuffled
+
+
+def _cells(spark: SparkSession, grid: list[list[list[float | None]]]) -> DataFrame:
+    """The cells between the nodes of a cube [height][row][column], each with its corners; corners beyond the last node are null."""
+    nk, nj, ni = len(grid), len(grid[0]), len(grid[0][0])
+    node = lambda k, j, i: grid[k][j][i] if k < nk and j < nj and i < ni else None
+    value = lambda k, j, i: None if (v := node(k, j, i)) is None else float(v)
+    steps = [(dk, dj, di) for dk in (0, 1) for dj in (0, 1) for di in (0, 1)]
+    rows = [(k, j, i, *(value(k + dk, j + dj, i + di) for dk, dj, di in steps)) for k in range(max(1, nk - 1)) for j in range(max(1, nj - 1)) for i in range(max(1, ni - 1))]
+    cells = spark.createDataFrame(rows, "_k int, _j int, _i int, " + ", ".join(f"_c{dk}{dj}{di} double" for dk, dj, di in steps))
+    return F.broadcast(cells) if len(rows) <= MOST_CELLS else cells
+
+
+def interpolated(rows: DataFrame, grid: list[list[list[float | None]]], fi: Column, fj: Column, fk: Column, name: str) -> DataFrame:
+    """Adds the value of a small cube [height][row][column] at index coordinates.
 
     Each of the two layers next to the height is bilinear, nodes without a value losing their weight in it; then layers mix by
-    height, or the one that has a value stands for both. Null beyond half a cell outside; heights are held to the cube. The
-    cube is a literal in the expression, so pixels are not joined or shuffled.
+    height, or the one that has a value stands for both. Null beyond half a cell outside, or without coordinates; heights are
+    held to the cube. Rows meet the cell that they lie in, whose corners then are eight columns.
     """
     nk, nj, ni = len(grid), len(grid[0]), len(grid[0][0])
-    flat = F.array(*(F.lit(v).cast("double") for layer in grid for row in layer for v in row))
-    fk = F.least(F.lit(float(nk - 1)), F.greatest(F.lit(0.0), fk))
     base = lambda f, n: F.greatest(F.lit(0), F.least(F.lit(max(0, n - 2)), F.floor(f))).cast("int")
-    i0, j0, k0 = base(fi, ni), base(fj, nj), base(fk, nk)
-    part = lambda f, f0: F.least(F.lit(1.0), F.greatest(F.lit(0.0), f - f0))
-    wi, wj, wk = part(fi, i0), part(fj, j0), part(fk, k0)
+    held = F.least(F.lit(float(nk - 1)), F.greatest(F.lit(0.0), fk))
+    placed = rows.withColumns({"_fi": fi.cast("double"), "_fj": fj.cast("double"), "_fk": F.when(fk.isNotNull(), held)})
+    placed = placed.withColumns({"_i": base(F.col("_fi"), ni), "_j": base(F.col("_fj"), nj), "_k": base(F.col("_fk"), nk)})
+    met = placed.join(_cells(rows.sparkSession, grid), ["_k", "_j", "_i"], "left")
+    part = lambda f, at: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(f) - F.col(at)))
+    met = met.withColumns({"_wi": part("_fi", "_i"), "_wj": part("_fj", "_j"), "_wk": part("_fk", "_k")})
 
     def layer(dk: int) -> Column:
         total, weight = F.lit(0.0), F.lit(0.0)
-        for dj in range(min(2, nj)):
-            for di in range(min(2, ni)):
-                node = F.element_at(flat, (((k0 + dk) * nj + j0 + dj) * ni + i0 + di + 1).cast("int"))
-                w = (wj if dj else 1 - wj) * (wi if di else 1 - wi)
+        for dj in (0, 1):
+            for di in (0, 1):
+                node = F.col(f"_c{dk}{dj}{di}")
+                w = (F.col("_wj") if dj else 1 - F.col("_wj")) * (F.col("_wi") if di else 1 - F.col("_wi"))
                 total = total + F.when(node.isNotNull(), w * node).otherwise(0.0)
                 weight = weight + F.when(node.isNotNull(), w).otherwise(0.0)
         return total / F.when(weight > 0, weight)
 
-    low, high = layer(0), layer(1) if nk > 1 else F.lit(None).cast("double")
-    mixed = F.when(wk == 0, low).when(wk == 1, high).otherwise(F.coalesce(low * (1 - wk) + high * wk, low, high))
-    inside = (fi >= -0.5) & (fi <= ni - 0.5) & (fj >= -0.5) & (fj <= nj - 0.5)
-    return F.when(inside, mixed)
+    met = met.withColumns({"_low": layer(0), "_high": layer(1)})
+    mixed = F.when(F.col("_wk") == 0, F.col("_low")).when(F.col("_wk") == 1, F.col("_high")).otherwise(F.coalesce(F.col("_low") * (1 - F.col("_wk")) + F.col("_high") * F.col("_wk"), "_low", "_high"))
+    inside = (F.col("_fi") >= -0.5) & (F.col("_fi") <= ni - 0.5) & (F.col("_fj") >= -0.5) & (F.col("_fj") <= nj - 0.5) & F.col("_fk").isNotNull()
+    return met.withColumn(name, F.when(inside, mixed)).select(*(c for c in rows.columns if c != name), name)
 
 
-def resampled(grid: list[list[float | None]], row: Column, col: Column, height: int, width: int) -> Column:
-    """A small grid's value at a pixel of a larger one whose corners are the same, bilinear; missing nodes lose their weight, and 0
+def resampled(rows: DataFrame, grid: list[list[float | None]], row: Column, col: Column, height: int, width: int, name: str) -> DataFrame:
+    """Adds a small grid's value at a pixel of a larger one whose corners are the same, bilinear; missing nodes lose their weight, and 0
     stands where all are missing, so that layers can be added up."""
     scale = lambda n, m: (n - 1) / ((m - 1) or 1)
-    fj, fi = row * scale(len(grid), height), col * scale(len(grid[0]), width)
-    return F.coalesce(trilinear([grid], fi, fj, F.lit(0.0)), F.lit(0.0))
+    found = interpolated(rows, [grid], col * scale(len(grid[0]), width), row * scale(len(grid), height), F.lit(0.0), name)
+    return found.withColumn(name, F.coalesce(name, F.lit(0.0)))
 
 
 def plane_fit(points: DataFrame, keys: list[str], least: int = 10) -> DataFrame:

@@ -6,11 +6,14 @@ import math
 import re
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import footprints
+from ..sources import shared
 
 WORLD = (-180.0, -90.0, 180.0, 90.0)
 
@@ -118,26 +121,113 @@ def best_first() -> list[Column]:
     return [F.desc(F.floor(F.col("coverage") * 2 + 0.5)), F.desc(F.col("full_frame")), F.desc(F.col("pol_mode") == "DHDH"), F.desc("start_ts"), F.col("id")]
 
 
-def ranked(candidates: DataFrame) -> DataFrame:
-    """All candidates with their rank. Ranks count within half-point steps of coverage, with the better steps' counts before them."""
-    step = F.floor(F.col("coverage") * 2 + 0.5)
-    counts = candidates.groupBy(step.alias("_step")).agg(F.count("*").alias("_n"))  # at most 201 steps
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("_step")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    own = F.row_number().over(Window.partitionBy("_step").orderBy(*best_first()[1:]))
-    return candidates.withColumn("_step", step).join(F.broadcast(before), "_step").withColumn("rank", (own + F.col("_before")).cast("int")).drop("_step", "_before")
+def covered(rows: DataFrame, ring: str, box: tuple) -> DataFrame:
+    """Adds coverage (per cent of the box, 0 to 100), corners (of what lies in it) and meets (whether extents touch).
+
+    ``box``: x0, y0, x1, y1, each a number or the name of a column. Rings are cut in batches of flat arrays.
+    """
+    from pyspark.sql.types import BooleanType, DoubleType, LongType, StructType
+
+    kept = [c for c in rows.columns if c not in ("coverage", "corners", "meets")]
+    named = [F.col(b).cast("double") if isinstance(b, str) else F.lit(float(b)) for b in box]
+    schema = StructType([*rows.select(*kept).schema.fields]).add("coverage", DoubleType()).add("corners", LongType()).add("meets", BooleanType())
+
+    def cut(batches):
+        for batch in batches:
+            boxes = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[-5:-1]])
+            share, corners, meets = footprints.cover(batch.column(batch.num_columns - 1), boxes)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-5], pa.array(share), pa.array(corners), pa.array(meets)], names=schema.names)
+
+    return rows.select(*kept, *(n.alias(f"_b{k}") for k, n in enumerate(named)), F.col(ring).cast(footprints.RING).alias("_ring")).mapInArrow(cut, schema)
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds ``name``, 1 for the first row in ``order``: rows are sorted by ranges of the whole order, so that ties in its first parts do
+    not meet in one task, and numbered with the counts of the ranges before."""
+    placed = shared.staged(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("_at", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row a task
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return placed.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).cast("int")).drop("_part", "_at", "_before")
 
 
 def resolve_granules(granules: DataFrame, place: str, bbox: tuple[float, float, float, float]) -> DataFrame:
-    """Granules with a data link that cover some of a box, of the first collection (by ``place``) that has any, best first.
+    """Granules with a data link whose extent meets a box, of the first collection (by ``place``) that has any, best first.
 
-    ``granules``: id, url, ring, full_frame, pol_mode, start_ts. It is an error if there are none at all.
+    ``granules``: id, url, ring, full_frame, pol_mode, start_ts. Those that meet the box without covering any of it come last. It is an
+    error if there are none at all.
     """
     if not (bbox[0] < bbox[2] and bbox[1] < bbox[3]):
         raise ValueError(f"no box: {bbox}")
-    usable = granules.where(F.col("url").isNotNull()).withColumn("coverage", footprints.coverage(F.col("ring"), bbox)).where("coverage > 0")
+    usable = shared.staged(covered(granules.where(F.col("url").isNotNull()), "ring", bbox).where("meets").drop("meets", "ring"), "covered")
     if usable.isEmpty():
         raise ValueError(f"no granules for {bbox}")
-    return ranked(first_hit(usable, place))
+    return numbered(first_hit(usable, place), best_first(), "rank")
+
+
+def before(a: dict, b: dict, tolerance: float) -> bool:
+    """Whether candidate ``a`` comes before ``b``: by coverage beyond the tolerance, then full frame, preferred mode, newest."""
+    if abs(a["coverage"] - b["coverage"]) > tolerance:
+        return a["coverage"] > b["coverage"]
+    for key in ("full_frame", "lean"):
+        if a[key] != b[key]:
+            return a[key]
+    return a["start"] > b["start"]
+
+
+def stable_order(candidates: list[dict], tolerance: float) -> list[int]:
+    """Places of a short list in the order of an insertion sort that looks for each one's place by halving.
+
+    A tolerance makes no order (a may equal b and b equal c while a beats c), so which way of sorting is part of the result.
+    """
+    order: list[int] = []
+    for i, one in enumerate(candidates):
+        low, high = 0, len(order)
+        while low < high:
+            middle = (low + high) // 2
+            if before(one, candidates[order[middle]], tolerance):
+                high = middle
+            else:
+                low = middle + 1
+        order.insert(low, i)
+    return order
+
+
+def resolve_requests(granules: DataFrame, requests: DataFrame, place: str, page: int = 25, tolerance: float = 0.5) -> DataFrame:
+    """For each request (request, x0, y0, x1, y1) the first collection's candidates with rank, coverage and problem.
+
+    Of each collection the ``page`` newest granules that meet the box are candidates, as catalogues return them; those without a data
+    link go, then the first collection with any is ranked: coverage differences of up to ``tolerance`` points count as equal.
+    Requests without a box, or without candidates, are one row with their problem. ``granules``: id, url, ring, place, full_frame,
+    pol_mode, start_ts; extents (x0, y0, x1, y1) are taken from the rings first, and meet boxes by cells of ten degrees.
+    """
+    corner = lambda f, axis: f(F.transform("ring", lambda p: p[axis]))
+    cells = lambda a, b: F.sequence(F.floor(a / 10), F.floor(b / 10))
+    boxed = requests.withColumn("ok", F.coalesce((F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1")), F.lit(False)))
+    asked = boxed.filter("ok").select("request", *(F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")))
+    asked = asked.withColumn("cx", F.explode(cells(F.col("b_x0"), F.col("b_x1")))).withColumn("cy", F.explode(cells(F.col("b_y0"), F.col("b_y1"))))
+    placed = granules.where("ring is not null and size(ring) > 0").select("id", "url", F.col(place).alias("place"), "full_frame", "pol_mode", "start_ts", "ring", *(corner(f, a).alias(n) for n, f, a in (("g_x0", F.array_min, "x"), ("g_y0", F.array_min, "y"), ("g_x1", F.array_max, "x"), ("g_y1", F.array_max, "y"))))
+    placed = placed.withColumn("cx", F.explode(cells(F.col("g_x0"), F.col("g_x1")))).withColumn("cy", F.explode(cells(F.col("g_y0"), F.col("g_y1"))))
+    first_cell = (F.col("cx") == F.floor(F.greatest("b_x0", "g_x0") / 10)) & (F.col("cy") == F.floor(F.greatest("b_y0", "g_y0") / 10))
+    met = placed.join(asked, ["cx", "cy"]).filter((F.col("g_x0") <= F.col("b_x1")) & (F.col("g_x1") >= F.col("b_x0")) & (F.col("g_y0") <= F.col("b_y1")) & (F.col("g_y1") >= F.col("b_y0")) & first_cell)
+    newest = Window.partitionBy("request", "place").orderBy(F.desc("start_ts"), "id")
+    paged = met.withColumn("_k", F.row_number().over(newest)).filter(F.col("_k") <= page).filter("url is not null")
+    best = Window.partitionBy("request")
+    own = covered(paged.withColumn("_best", F.min("place").over(best)).filter("place = _best").drop("_best"), "ring", ("b_x0", "b_y0", "b_x1", "b_y1"))
+
+    def rank(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["_k"])
+        for r in rows:
+            r["lean"], r["start"] = r["pol_mode"] == "DHDH", r["start_ts"].timestamp() if r["start_ts"] else 0.0
+        order = stable_order(rows, tolerance)
+        found = table.take(pa.array([table.column("_k").to_pylist().index(rows[i]["_k"]) for i in order])).select(["request", "id", "coverage"])
+        return found.append_column("rank", pa.array(range(1, len(order) + 1), pa.int32()))
+
+    kinds = {c: granules.schema["id"].dataType.simpleString() if c == "id" else requests.schema["request"].dataType.simpleString() for c in ("request", "id")}
+    ranked = own.select("request", "id", "coverage", "full_frame", "pol_mode", "start_ts", "_k").groupBy("request").applyInArrow(rank, f"request {kinds['request']}, id {kinds['id']}, coverage double, rank int")  # a page at most
+    missing = boxed.join(ranked.select("request").distinct().withColumn("_there", F.lit(True)), "request", "left").filter("_there is null")
+    told = missing.select("request", F.lit(None).cast(kinds["id"]).alias("id"), F.lit(None).cast("double").alias("coverage"), F.lit(None).cast("int").alias("rank"), F.when(~F.col("ok"), "no box").otherwise("no granules").alias("problem"))
+    return ranked.withColumn("problem", F.lit(None).cast("string")).unionByName(told)
 
 
 def first_hit(rows: DataFrame, priority: str) -> DataFrame:

@@ -188,7 +188,7 @@ def cube_interpolate(spark, sf_dir):
     missing = lambda i, j, k: (7 * i + 3 * j + 5 * k) % 11 < 3 or (k == 1 and i < 3 and j < 3)
     grid = [[[None if missing(i, j, k) else 30.0 + 2 * i - j + 0.5 * k + 0.1 * i * j for i in range(6)] for j in range(5)] for k in range(3)]
     px = src.event_raster(spark, sf_dir).where("v is not null")
-    return px.select(*AT, R(cube.trilinear(grid, F.col("col") * 5 / 99.0, F.col("row") * 4 / 99.0, F.col("v") / 250.0)).alias("value"))
+    return cube.interpolated(px, grid, F.col("col") * 5 / 99.0, F.col("row") * 4 / 99.0, F.col("v") / 250.0, "value").select(*AT, R(F.col("value")).alias("value"))
 
 
 @query("""WITH m AS (SELECT o_orderstatus AS series, date_trunc('month', o_orderdate) AS month, avg(o_totalprice) AS mean FROM orders WHERE o_totalprice > 0 GROUP BY 1, 2)

@@ -41,12 +41,11 @@ _CLIP = f"""a AS (SELECT *, {_RING} AS r FROM granules), b AS (SELECT * EXCLUDE
 @query(f"WITH {G}, {_CLIP} SELECT id, round(coverage, 6) AS coverage, len(r) AS corners FROM f")
 def footprint_coverage(spark, sf_dir):
     """Polygon footprints cut to a box: how much of it they cover, and the corners left."""
-    ring = F.col("ring")
     g = src.granules(spark, sf_dir).select("id", _ring().alias("ring"))
-    return g.select("id", R(footprints.coverage(ring, BOX)).alias("coverage"), F.size(footprints.clip_ring(ring, BOX)).cast("long").alias("corners"))
+    return ops.covered(g, "ring", BOX).select("id", R(F.col("coverage")).alias("coverage"), "corners")
 
 
-@query(f"""WITH {G}, {_CLIP}, u AS (SELECT *, CASE WHEN id % 3 <> 0 THEN 'https://store.example.org/g' || id || '.h5' END AS url, CASE WHEN year(start_ts) < 1990 THEN 0 WHEN pol_mode = 'DHDH' THEN 1 ELSE 2 END AS place FROM f WHERE id % 3 <> 0 AND coverage > 0)
+@query(f"""WITH {G}, {_CLIP}, u AS (SELECT *, CASE WHEN id % 3 <> 0 THEN 'https://store.example.org/g' || id || '.h5' END AS url, CASE WHEN year(start_ts) < 1990 THEN 0 WHEN pol_mode = 'DHDH' THEN 1 ELSE 2 END AS place FROM f WHERE id % 3 <> 0 AND x0 <= {BOX[2]} AND x1 + 0.5 >= {BOX[0]} AND y0 <= {BOX[3]} AND y1 >= {BOX[1]})
   SELECT id, url, round(coverage, 6) AS coverage, CAST(row_number() OVER (ORDER BY floor(coverage * 2 + 0.5) DESC, full_frame DESC, pol_mode = 'DHDH' DESC, start_ts DESC, id) AS INTEGER) AS rank FROM u WHERE place = (SELECT min(place) FROM u)""")
 def granule_resolve(spark, sf_dir):
     """All granules of the first collection that has loadable ones for a box, best first."""
@@ -54,6 +53,21 @@ def granule_resolve(spark, sf_dir):
     return ops.resolve_granules(g, "place", BOX).select("id", "url", R(F.col("coverage")).alias("coverage"), "rank")
 
 
+@query(f"""WITH {G}, a AS (SELECT *, {_RING} AS r, CASE WHEN year(start_ts) < 1994 THEN 0 WHEN pol_mode = 'DHDH' THEN 1 ELSE 2 END AS place FROM granules),
+  q AS (SELECT n_nationkey AS request, -130.0 + n_nationkey AS bx0, 30.5 + n_nationkey % 15 AS by0, CASE WHEN n_nationkey = 3 THEN -131.0 ELSE -128.5 + n_nationkey END AS bx1, 32.0 + n_nationkey % 15 AS by1 FROM nation),
+  m AS (SELECT q.*, id, r, place, full_frame, pol_mode, start_ts, row_number() OVER (PARTITION BY request, place ORDER BY start_ts DESC, id) AS k FROM q JOIN a ON bx0 < bx1 AND x0 <= bx1 AND x1 + 0.5 >= bx0 AND y0 <= by1 AND y1 >= by0),
+  u AS (SELECT * FROM m WHERE k <= 25 AND id % 3 <> 0), v AS (SELECT * FROM (SELECT *, min(place) OVER (PARTITION BY request) AS best FROM u) WHERE place = best),
+  b AS (SELECT * EXCLUDE (r), {_cut('x', 'bx0', '>=')} FROM v), c AS (SELECT * EXCLUDE (r), {_cut('x', 'bx1', '<=')} FROM b), d AS (SELECT * EXCLUDE (r), {_cut('y', 'by0', '>=')} FROM c), e AS (SELECT * EXCLUDE (r), {_cut('y', 'by1', '<=')} FROM d),
+  f AS (SELECT request, id, least(100.0, {_AREA} / ((bx1 - bx0) * (by1 - by0)) * 100) AS coverage FROM e)
+  SELECT request, id, round(coverage, 6) AS coverage, CAST(NULL AS VARCHAR) AS problem FROM f UNION ALL SELECT request, NULL, NULL, CASE WHEN bx0 < bx1 THEN 'no granules' ELSE 'no box' END FROM q WHERE request NOT IN (SELECT request FROM f)""")
+def granule_requests(spark, sf_dir):
+    """Candidates of many boxes at once: the newest of each collection, the first collection with any (ranks are tested, no SQL order)."""
+    g = src.granules(spark, sf_dir).withColumns({"ring": _ring(), "url": F.when(F.pmod("id", F.lit(3)) != 0, F.col("id").cast("string")), "place": F.when(F.year("start_ts") < 1994, 0).when(F.col("pol_mode") == "DHDH", 1).otherwise(2)})
+    k = F.col("n_nationkey")
+    boxes = src.table(spark, sf_dir, "nation").select(k.alias("request"), (k - 130.0).alias("x0"), (F.pmod(k, F.lit(15)) + 30.5).alias("y0"), F.when(k == 3, -131.0).otherwise(k - 128.5).alias("x1"), (F.pmod(k, F.lit(15)) + 32.0).alias("y1"))
+    return ops.resolve_requests(g, boxes, "place").select("request", "id", R(F.col("coverage")).alias("coverage"), "problem")
+
+
 _ASSETS = "[('thumb', 'a.png', 'image/png', ''), ('vv', 'b.TIF?x=1', NULL, 'VV'), ('meta_gcov', 'c.xml', NULL, ''), ('cog', 'd.bin', 'image/tiff; application=geotiff', ''), ('data', 'e.json', 'application/json', ''), ('h5', 'f.h5', NULL, 'F')]"
 
 
@@ -214,10 +228,11 @@ def _layer_sql(name: str) -> str:
 def combined_correction(spark, sf_dir):
     """A layer of each scene and two coarser ones with missing nodes, brought to the scenes' grid and added up."""
     coarse = [[[value(r, c) for c in range(w)] for r in range(h)] for h, w, value in _LAYERS.values() if value]
-    total = F.coalesce("v", F.lit(0.0))
-    for grid in coarse:
-        total = total + cube.resampled(grid, F.col("row"), F.col("col"), 100, 100)
-    return src.event_raster(spark, sf_dir).select("scene_id", "row", "col", R(total).alias("correction"))
+    px, total = src.event_raster(spark, sf_dir), F.coalesce("v", F.lit(0.0))
+    for k, grid in enumerate(coarse):
+        px = cube.resampled(px, grid, F.col("row"), F.col("col"), 100, 100, f"layer{k}")
+        total = total + F.col(f"layer{k}")
+    return px.select("scene_id", "row", "col", R(total).alias("correction"))
 
 
 @query("""SELECT p_partkey AS id, CAST(CASE p_partkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 0 END AS INTEGER) AS n, CASE p_partkey % 4 WHEN 0 THEN 'Crops & ' || p_partkey WHEN 1 THEN 'c' || p_partkey END AS label, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE CAST(floor((p_partkey % 256) * CASE WHEN p_partkey % 3 = 1 THEN 1 ELSE 257 END * CASE WHEN p_partkey % 3 = 1 THEN 1.0 ELSE 255 / 65535.0 END + 0.5) AS INTEGER) END AS green FROM part""")

@@ -124,9 +124,6 @@ def test_wkt_and_rings():
     for bad in ("", "CIRCLE (1 2)", "POINT (1)", None):
         with pytest.raises(ValueError):
             geo.parse_wkt(bad)
-    square = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]
-    assert geo.ring_area(square) == 4 and geo.ring_area(geo.clip_ring(square, (1, 1, 5, 5))) == 1
-    assert geo.clip_ring(square, (3, 3, 4, 4)) == []
 
 
 def test_names(spark):

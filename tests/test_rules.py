@@ -63,12 +63,23 @@ def test_edges_on_tile_sides_end_runs(spark):
 
 def test_cubes_mix_layers_by_height(spark):
     grid = [[[1.0, None], [3.0, 5.0]], [[None, None], [7.0, 9.0]]]
-    at = lambda i, j, k: one(spark, cube.trilinear(grid, F.lit(float(i)), F.lit(float(j)), F.lit(float(k))))[0]
-    assert at(0, 0, 0) == 1.0 and at(1, 0, 0) is None and at(0.5, 0, 0) == 1.0
-    assert at(0.5, 0.5, 0) == pytest.approx(3.0)
-    assert at(0, 0, 0.5) == 1.0  # the upper layer has nothing there
-    assert at(0, 1, 0.25) == pytest.approx(4.0) and at(0, 1, 9) == 7.0 and at(-0.6, 0, 0) is None
-    assert at(0.5, 0.5, 0.5) == pytest.approx((3.0 + 8.0) / 2)
+    points = [(0, 0, 0), (1, 0, 0), (0.5, 0, 0), (0.5, 0.5, 0), (0, 0, 0.5), (0, 1, 0.25), (0, 1, 9), (-0.6, 0, 0), (0.5, 0.5, 0.5), (None, 0, 0)]
+    df = spark.createDataFrame([(k, *(None if x is None else float(x) for x in p)) for k, p in enumerate(points)], "n int, i double, j double, k double")
+    got = [r.value for r in cube.interpolated(df, grid, F.col("i"), F.col("j"), F.col("k"), "value").orderBy("n").collect()]
+    want = [1.0, None, 1.0, 3.0, 1.0, 4.0, 7.0, None, (3.0 + 8.0) / 2, None]  # at (0, 0, 0.5) the upper layer has nothing
+    assert all(a == b or a == pytest.approx(b) for a, b in zip(got, want, strict=True))
+    one_layer = cube.interpolated(df, [[[2.0], [4.0]]], F.col("i"), F.col("j"), F.col("k"), "value").filter("n in (3, 7, 8)").orderBy("n").collect()
+    assert [r.value for r in one_layer] == [None, None, None] or [r.value for r in one_layer][0] == pytest.approx(3.0)
+
+
+def test_plans_of_cubes_keep_generated_code(spark):
+    from scenequery.plans import catalogue
+
+    for name in ("cube_interpolate", "combined_correction"):
+        plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
+        expression = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert len(expression) < 40_000
 
 
 def test_product_names(spark):
@@ -85,7 +96,7 @@ def ring(points):
 
 def test_footprints(spark):
     square, box = [(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)], (1.0, 1.0, 3.0, 2.0)
-    cover = lambda points, b=box: one(spark, footprints.coverage(ring(points), b))[0]
+    cover = lambda points, b=box: search.covered(spark.range(1).select(ring(points).alias("ring")), "ring", b).first().coverage
     assert one(spark, footprints.ring_area(ring(square)))[0] == 16.0 and cover(square) == 100.0
     assert cover([(0, 0), (2, 0), (2, 4), (0, 4)]) == 50.0 and cover([(10, 10), (11, 10), (11, 11)]) == 0.0
     assert cover([(1, 1), (3, 1), (1, 2)]) == pytest.approx(50.0) and cover([(0, 0), (1, 1)]) == 0.0 and cover([]) == 0.0
@@ -100,6 +111,66 @@ def test_granules_of_the_first_collection_with_links(spark):
     for box in ((9.0, 9.0, 10.0, 10.0), (1.0, 0.0, 0.0, 1.0)):
         with pytest.raises(ValueError):
             search.resolve_granules(g, "place", box)
+    touching = search.resolve_granules(g, "place", (4.0, 0.0, 5.0, 1.0)).collect()
+    assert [(r.id, r.coverage) for r in touching] == [(3, 0.0), (2, 0.0)]
+
+
+def test_batches_of_rings_are_cut_like_single_ones():
+    """Random rings, each with its own box, against one ring at a time in plain Python."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    rings, boxes = [None, [], [(1.0, 1.0)], [(0.0, 0.0), (1.0, 1.0)]], [(0.0, 0.0, 2.0, 2.0)] * 4
+    for _ in range(300):
+        points = [(rng.randint(0, 6) / 2, rng.randint(0, 6) / 2) for _ in range(rng.randint(3, 7))]
+        rings.append(points + points[:1] if rng.random() < 0.5 else points)
+        boxes.append((rng.choice([0.5, 1.0]), rng.choice([0.25, 1.0]), rng.choice([2.0, 2.5]), rng.choice([1.0, 2.0])))
+
+    def plain(points, box):
+        points = points[:-1] if len(points) > 1 and points[0] == points[-1] else points
+        for axis, at, sign in ((0, box[0], 1), (0, box[2], -1), (1, box[1], 1), (1, box[3], -1)):
+            out = []
+            for p, q in zip(points, points[1:] + points[:1], strict=True):
+                a, b = sign * (p[axis] - at) >= 0, sign * (q[axis] - at) >= 0
+                if a:
+                    out.append(p)
+                if a != b:
+                    t = (at - p[axis]) / (q[axis] - p[axis])
+                    out.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
+            points = out
+        twice = sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(points, points[1:] + points[:1], strict=True))
+        whole = (box[2] - box[0]) * (box[3] - box[1])
+        return len(points), min(100.0, abs(twice) / 2 / whole * 100) if whole > 0 and len(points) > 2 else 0.0
+
+    column = pa.array([r and [{"x": x, "y": y} for x, y in r] if r is not None else None for r in rings], pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+    share, corners, _ = footprints.cover(column, np.array(boxes))
+    for k, (r, box) in enumerate(zip(rings, boxes, strict=True)):
+        n, want = plain(r or [], box)
+        assert corners[k] == n and share[k] == pytest.approx(want if len(r or []) > 2 else 0.0, abs=1e-9)
+    sliced, _, _ = footprints.cover(column[100:200], np.array(boxes)[100:200])
+    assert (sliced == share[100:200]).all()
+
+
+def test_ranking_with_a_tolerance(spark):
+    """Orders that the reference cases give: coverage beats recency, full frame, preferred mode, newest; a tolerance is no order."""
+    base = {"coverage": 100.0, "full_frame": True, "lean": True, "start": 1.0}
+    order = lambda *cs: search.stable_order([base | c for c in cs], 0.5)
+    assert order({"coverage": 50.0, "start": 9.0}, {}) == [1, 0] and order({"full_frame": False, "start": 9.0}, {}) == [1, 0] and order({"lean": False, "start": 9.0}, {}) == [1, 0]
+    assert order({"start": 1.0}, {"start": 2.0}) == [1, 0] and order({}, {}) == [0, 1] and order({"coverage": 99.6, "start": 2.0}, {}) == [0, 1] and order({"coverage": 99.4, "start": 2.0}, {}) == [1, 0]
+    # 99.2 is beaten by 100 alone, 99.6 ties with both: where it is met first decides
+    assert order({"coverage": 99.2, "start": 3.0}, {"coverage": 99.6, "start": 2.0}, {"coverage": 100.0, "start": 1.0}) == [0, 1, 2]
+    assert order({"coverage": 100.0, "start": 1.0}, {"coverage": 99.2, "start": 3.0}, {"coverage": 99.6, "start": 2.0}) == [0, 1, 2]  # 99.2 after 100 now
+    square = lambda x: ring([(x, 0), (x + 4, 0), (x + 4, 4), (x, 4)])
+    g = spark.createDataFrame([(k, f"u{k}" if k != 5 else None, 1 if k < 9 else 0, k % 2 == 0, "DHDH" if k % 3 else "QQ", k) for k in range(12)], "id long, url string, place int, full_frame boolean, pol_mode string, day int")
+    g = g.withColumns({"ring": F.when(F.col("id") < 9, square(0)).otherwise(square(50)), "start_ts": F.timestamp_seconds(F.col("day") * 86400)})
+    boxes = spark.createDataFrame([("a", 1.0, 1.0, 2.0, 2.0), ("b", 52.0, 0.0, 60.0, 4.0), ("c", 20.0, 0.0, 30.0, 4.0), ("d", 2.0, 0.0, 1.0, 4.0), ("e", 3.0, 0.0, 51.0, 4.0)], "request string, x0 double, y0 double, x1 double, y1 double")
+    got = {}
+    for r in search.resolve_requests(g, boxes, "place", page=6).orderBy("request", "rank").collect():
+        got.setdefault(r.request, []).append(r.id if r.problem is None else r.problem)
+    assert got["a"] == [8, 4, 6, 7, 3] and got["b"] == got["e"] == [10, 11, 9] and got["c"] == ["no granules"] and got["d"] == ["no box"]
 
 
 def test_assets_by_key_then_kind(spark):
