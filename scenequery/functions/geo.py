@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,6 +36,39 @@ def from_ecef(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
     return F.degrees(lat), F.degrees(F.atan2(y, x)), p / F.cos(lat) - n
 
 
+@dataclass(frozen=True)
+class Frame:
+    """An image plane: its centre (earth-centred columns), unit vectors of rows and columns, metres a row and a column, the centre's
+    pixel in the full image, and the first row and column of the part at hand."""
+
+    centre: tuple[Column, Column, Column]
+    rows: tuple[float, float, float]
+    cols: tuple[float, float, float]
+    row_size: float
+    col_size: float
+    centre_row: float
+    centre_col: float
+    first_row: float = 0
+    first_col: float = 0
+
+    def to_image(self, lat: Column, lon: Column, height: Column) -> tuple[Column, Column]:
+        """(row, column) of a ground point: its distance from the centre along both vectors."""
+        away = [a - c for a, c in zip(to_ecef(lat, lon, height), self.centre, strict=True)]
+        along = lambda u: sum((d * w for d, w in zip(away, u, strict=True)), F.lit(0.0))
+        return along(self.rows) / self.row_size + (self.centre_row - self.first_row), along(self.cols) / self.col_size + (self.centre_col - self.first_col)
+
+    def to_ground(self, row: Column, col: Column) -> tuple[Column, Column, Column]:
+        """Latitude, longitude and height of a pixel: the point of the plane, as geodetic coordinates."""
+        dr, dc = (row - (self.centre_row - self.first_row)) * self.row_size, (col - (self.centre_col - self.first_col)) * self.col_size
+        return from_ecef(*(c + dr * u + dc * v for c, u, v in zip(self.centre, self.rows, self.cols, strict=True)))
+
+    def box(self, height: int, width: int) -> tuple[Column, Column, Column, Column]:
+        """West, south, east and north of an image of so many rows and columns, by its four corner pixels."""
+        corners = [self.to_ground(F.lit(r), F.lit(c)) for r in (0, height - 1) for c in (0, width - 1)]
+        lat, lon = [c[0] for c in corners], [c[1] for c in corners]
+        return F.least(*lon), F.least(*lat), F.greatest(*lon), F.greatest(*lat)
+
+
 def utm_forward(lon: Column, lat: Column, zone: int) -> tuple[Column, Column]:
     """Easting and northing (north of the equator) by the standard series of the transverse Mercator projection."""
     p, lam = F.radians(lat), F.radians(lon - (zone * 6 - 183))
