@@ -69,3 +69,57 @@ def test_pixels_to_the_ground_and_back(spark):
     assert all((r[2], r[3]) == pytest.approx((r[0], r[1]), abs=1e-6) for r in back)
     west, s, e, n = spark.range(1).select(*frame.box(800, 600)).first()
     assert west < 45 < e and s < 45 < n and n - 45 == pytest.approx(4_000 / 111_131.8, abs=1e-3)
+
+
+def test_marks_survive_a_round_trip(spark):
+    from scenequery.operators import markup
+
+    scene = spark.createDataFrame([(1, 200, 100, 10.0, 20.0, 50.0, 40.0, "EPSG:1"), (2, 0, 0, None, None, None, None, None)], "scene_id int, width int, height int, x0 double, y0 double, x1 double, y1 double, crs string")
+    schema = "scene_id int, seq int, kind string, id string, label string, color string, size string, a double, b double, c double, d double, more string"
+    rows = [
+        (1, 1, "annotation-text", 't"1', 'a "b" \\ c', "red", "small", 1.5, 2.5, None, None, '{"observer":"agent","n":{"k":[1,null]}}'),
+        (1, 2, "annotation-arrow", "2", None, None, None, 1.0, 2.0, 3.0, 4.0, None), (1, 3, "roi", "3", "r", None, None, 10.0, 20.0, 30.0, 40.0, None), (1, 4, "transect", None, "t", None, None, 0.0, 0.0, 200.0, 100.0, None),
+        (1, 5, "class-region", "5", "c", None, None, -20.0, -10.0, -30.0, -25.0, None), (2, 6, "roi", "6", "r", None, None, 1.0, 1.0, 1.0, 1.0, None), (2, 7, "annotation-text", "7", "x", None, None, 0.0, 0.0, None, None, "not json"), (1, 8, "stamp", "8", "x", None, None, 0.0, 0.0, None, None, None),
+    ]
+    out = markup.exported(spark.createDataFrame(rows, schema), scene).cache()
+    told = {r.seq: r for r in out.collect()}
+    import json
+
+    assert set(told) == {1, 2, 3, 4, 5, 6, 7} and told[6].feature is None and told[6].problem == "roi of a scene without a size"
+    roi = json.loads(told[3].feature)
+    assert roi["geometry"] == {"type": "Polygon", "coordinates": [[[12.0, 36.0], [12.0, 28.0], [18.0, 28.0], [18.0, 36.0], [12.0, 36.0]]]} and roi["id"] == "3"
+    assert roi["properties"]["markup:kind"] == "roi" and roi["properties"]["observer"] == "human" and roi["properties"]["style"] == {"color": "cyan", "size": "medium"} and roi["properties"]["sourceScene"] == {"crs": "EPSG:1", "bounds": [10.0, 20.0, 50.0, 40.0]}
+    region = json.loads(told[5].feature)
+    assert region["geometry"] is None and region["properties"]["featureSpace"] == {"xMin": -20.0, "xMax": -10.0, "yMin": -30.0, "yMax": -25.0}
+    text = json.loads(told[1].feature)
+    assert text["id"] == 't"1' and text["properties"]["label"] == 'a "b" \\ c' and text["properties"]["observer"] == "agent" and text["properties"]["method"] == "manual" and text["properties"]["n"] == {"k": [1, None]}
+    assert json.loads(told[4].feature)["id"] is None
+    back = {r.seq: r for r in markup.imported(out.filter("feature is not null").select("scene_id", "seq", "feature"), scene).collect()}
+    for _, seq, kind, id_, label, color, _, a, b, c, d, _ in (r for r in rows if r[1] in back):
+        r = back[seq]
+        assert (r.kind, r.id, r.label, r.color, r.problem, r.warning) == (kind, id_, label or "", color or "cyan", None, None)
+        assert all(x == y or x == pytest.approx(y, abs=1e-9) for x, y in zip((r.a, r.b, r.c, r.d), (a, b, c, d), strict=True))
+    assert json.loads(back[1].more)["n"] == {"k": [1, None]}
+
+
+def test_features_that_are_no_marks(spark):
+    import json
+
+    from scenequery.operators import markup
+
+    scene = spark.createDataFrame([(1, 200, 100, 10.0, 20.0, 50.0, 40.0, "EPSG:1")], "scene_id int, width int, height int, x0 double, y0 double, x1 double, y1 double, crs string")
+    feature = lambda kind, geometry, **more: json.dumps({"type": "Feature", "geometry": geometry, "properties": {"markup:kind": kind} | more})
+    ring = [[12, 36], [12, 28], [18, 28], [12, 36]]
+    line = {"type": "LineString", "coordinates": [[10, 40], [50, 20]]}
+    cases = [
+        ("{", "not a feature"), (None, "not a feature"), ('{"type":"Feature"}', "no kind"), (feature("stamp", None), "unknown kind stamp"), (feature("annotation-text", line), "a point is wanted"), (feature("annotation-text", {"type": "Point", "coordinates": ["x", 1]}), "a point is wanted"),
+        (feature("annotation-arrow", {"type": "LineString", "coordinates": [[1, 2]]}), "a line of two points is wanted"), (feature("roi", {"type": "Polygon", "coordinates": [ring[:3]]}), "a ring is wanted"), (feature("roi", None), "a ring is wanted"), (feature("roi", {"type": "Polygon", "coordinates": [ring]}), None),
+        (feature("roi", {"type": "Polygon", "coordinates": [ring]}), "more than one roi"), (feature("transect", line), None), (feature("transect", line), "more than one transect"), (feature("class-region", None), "no feature space"), (feature("class-region", None, featureSpace={"xMin": 1}), None),
+    ]
+    df = spark.createDataFrame([(1, i, t) for i, (t, _) in enumerate(cases)], "scene_id int, seq int, feature string")
+    got = markup.imported(df, scene).orderBy("seq").collect()
+    assert [r.problem for r in got] == [p for _, p in cases]
+    assert (got[9].a, got[9].b, got[9].c, got[9].d) == pytest.approx((10, 20, 30, 40)) and (got[11].a, got[11].b, got[11].c, got[11].d) == pytest.approx((0, 0, 200, 100)) and (got[14].a, got[14].b) == (1.0, None) and got[8].a is None
+    newer = spark.createDataFrame([(1, 0, feature("transect", line, **{"markup:schema": 2})), (1, 1, feature("class-region", None, featureSpace={}, sourceScene={"crs": "EPSG:2"}))], "scene_id int, seq int, feature string")
+    assert [r.warning for r in markup.imported(newer, scene).orderBy("seq").collect()] == ["newer version", "CRS EPSG:2 is not EPSG:1"]
+    assert markup.imported(newer.limit(0), scene).collect() == []
