@@ -15,7 +15,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -218,8 +218,23 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_key(f) for f in found], pa.int64()), pa.array([len(f) for f in found], pa.int64())], names=["doc_id", "key", "n_shingles"])
 
 
+def _meet(h: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, keys) by hash and key, each pair once, and which hashes more than one key has."""
+    order = np.lexsort((k, h))
+    h, k = h[order], k[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1])
+    h, k = h[new], k[new]
+    same = h[1:] == h[:-1]
+    return h, k, np.concatenate([same, [False]]) | np.concatenate([[False], same])
+
+
 def _prefixes(docs: DataFrame, buckets: int) -> DataFrame:
-    """Prefix shingles of all sets, packed by bucket of their hash: (bucket, hashes, keys)."""
+    """Prefix shingles of all sets, packed by bucket of their hash: (bucket, hashes, keys).
+
+    What more than one key of a task has is known to be shared: those pairs go to buckets of their keys, from ``buckets`` on, and only two
+    of them to the bucket of the hash, so that a shingle that a great many texts have does not fill it.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: list[np.ndarray] = []
@@ -227,14 +242,21 @@ def _prefixes(docs: DataFrame, buckets: int) -> DataFrame:
         held, seen = 0, set()
 
         def out() -> pa.RecordBatch:
-            h, k = np.concatenate(hashes), np.concatenate(keys)
+            h, k, shared = _meet(np.concatenate(hashes), np.concatenate(keys))
+            first = np.concatenate([[True], h[1:] != h[:-1]])
+            told = ~shared | first | np.concatenate([[False], first[:-1]])  # of shared ones the first two
+            met = shared & ~told
+            h, k = np.concatenate([h[told], h[met]]), np.concatenate([k[told], k[met]])
             bucket = (h % np.uint64(buckets)).astype(np.int32)
+            own = int(told.sum())
+            bucket[own:] = buckets + (k[own:] % buckets)
             order = np.argsort(bucket, kind="stable")
-            bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            h4, k8 = (h[order] >> np.uint64(16)).astype("<u4"), k[order].astype("<i8")
-            here = [b for b in range(buckets) if bounds[b] < bounds[b + 1]]
+            here, starts = np.unique(bucket[order], return_index=True)
+            ends = [*starts[1:].tolist(), len(order)]
+            h8, k8 = h[order].astype("<u8"), k[order].astype("<i8")
+            spans = list(zip(starts.tolist(), ends, strict=True))
             return pa.RecordBatch.from_arrays(
-                [pa.array(here, pa.int32()), pa.array([h4[bounds[b] : bounds[b + 1]].tobytes() for b in here], pa.binary()), pa.array([k8[bounds[b] : bounds[b + 1]].tobytes() for b in here], pa.binary())],
+                [pa.array(here, pa.int32()), pa.array([h8[i:j].tobytes() for i, j in spans], pa.binary()), pa.array([k8[i:j].tobytes() for i, j in spans], pa.binary())],
                 names=["bucket", "hashes", "keys"],
             )
 
@@ -258,18 +280,18 @@ def _prefixes(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(common.lean(emit), "bucket int, hashes binary, keys binary")
 
 
-def _met(table: pa.Table) -> pa.Table:
-    """Of one bucket: the (key, token) whose hash more than one key has."""
-    bucket = table.column("bucket")[0].as_py()
-    h = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("hashes").to_pylist()])
-    k = np.concatenate([np.frombuffer(x, "<i8") for x in table.column("keys").to_pylist()])
-    order = np.lexsort((k, h))
-    h, k = h[order], k[order]
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (k[1:] != k[:-1])])
-    h, k = h[new], k[new]
-    same = h[1:] == h[:-1]
-    shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    return pa.table({"key": pa.array(k[shared], pa.int64()), "token": pa.array((np.int64(bucket) << np.int64(32)) | h[shared].astype(np.int64), pa.int64())})
+def _met(buckets: int) -> Callable[[pa.Table], pa.Table]:
+    """Of one bucket: the (key, token) whose hash more than one key has; tokens are the hashes. A pair may come more than once."""
+
+    def met(table: pa.Table) -> pa.Table:
+        h = np.concatenate([np.frombuffer(x, "<u8") for x in table.column("hashes").to_pylist()])
+        k = np.concatenate([np.frombuffer(x, "<i8") for x in table.column("keys").to_pylist()])
+        if table.column("bucket")[0].as_py() < buckets:
+            h, k, shared = _meet(h, k)
+            h, k = h[shared], k[shared]
+        return pa.table({"key": pa.array(k, pa.int64()), "token": pa.array(h.view(np.int64), pa.int64())})
+
+    return met
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -286,11 +308,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sized = common.staged(docs.mapInArrow(common.lean(_sets), "doc_id long, key long, n_shingles long"), "sets")
     classes = sized.filter("n_shingles > 0").groupBy("key", "n_shingles").agg(F.min("doc_id").alias("rep"))
 
-    tokens = _prefixes(docs, 4 * common.partitions(spark)).groupBy("bucket").applyInArrow(_met, "key long, token long")
+    buckets = 4 * common.partitions(spark)
+    tokens = _prefixes(docs, buckets).groupBy("bucket").applyInArrow(_met(buckets), "key long, token long")
     n = F.col("n_shingles")
     needed = lambda x: F.ceil(x * 3 / F.lit(4))
     least = F.greatest(F.lit(1), F.floor(needed(n) / 6))
-    left = tokens.groupBy("key").agg(F.collect_list("token").alias("tokens")).join(classes, "key").filter(F.size("tokens") >= least).withColumn("least", least)
+    left = tokens.groupBy("key").agg(F.collect_set("token").alias("tokens")).join(classes, "key").filter(F.size("tokens") >= least).withColumn("least", least)
     left = common.staged(left, "candidates")
 
     grams = _grams_of(docs, left)
