@@ -5,7 +5,8 @@ has room for its share of the rows, so all counts are at most one apart, and onl
 
 The ring has a fixed number of places, so a count per (arc, step of the insertion order) is a table of at most
 ``2 * VNODES * shards`` arcs by ``STEPS`` whatever the input. The overflow is worked out on those counts: it says for each cell
-which ranks go to which shard, from which slot on. Rows then take shard and slot from their rank within their cell.
+which ranks go to which shard, from which slot on. Rows then take shard and slot from their rank within their cell: they are sorted
+by ranges of the whole order, ties included, so a key that a great share of the rows have is spread over tasks too.
 """
 
 from __future__ import annotations
@@ -70,12 +71,19 @@ def assign(keyed: DataFrame, key: str, shards: int, ties: list[str]) -> DataFram
     kept = [c for c in keyed.columns if c not in ("shard", "slot")]
     packed = keyed.select(F.col(key).alias("_key"), F.struct(*ties).alias("_ties") if ties else F.lit(0).alias("_ties"), F.struct(*kept).alias("_row"))
     placed = packed.withColumn("_h", F.xxhash64(F.lit(SEED), "_key")).withColumn("_arc", F.element_at(table, (F.pmod("_h", F.lit(PLACES)) + 1).cast("int"))).withColumn("_step", F.pmod(F.shiftrightunsigned("_h", 12), F.lit(STEPS)).cast("int"))
+    order = ("_arc", "_step", "_h", "_key", "_ties")
+    ranged = placed.repartitionByRange(common.partitions(spark), *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = common.staged(ranged, "ring").withColumn("_part", F.shiftright("_at", 33))
     counts = {(r["_arc"], r["_step"]): r["count"] for r in placed.groupBy("_arc", "_step").count().collect()}
     n = sum(counts.values())
     cells = overflow(nodes, counts, [n // shards + (s < n % shards) for s in range(shards)])
     spans = spark.createDataFrame(cells, "_arc int, _step int, first long, shard int, slot long")
     spans = spans.groupBy("_arc", "_step").agg(F.sort_array(F.collect_list(F.struct("first", "shard", "slot"))).alias("_spans"))
-    ranked = placed.withColumn("_rank", F.row_number().over(Window.partitionBy("_arc", "_step").orderBy("_h", "_key", "_ties")).cast("long") - 1)
+    # a range of rows holds a stretch of each of its cells; rows count from where the cell's stretches before end
+    stretches = placed.groupBy("_part", "_arc", "_step").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))  # cells and ranges, no more
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_arc", "_step").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    stretches = stretches.withColumn("_before", before).drop("_n")
+    ranked = placed.join(F.broadcast(stretches), ["_part", "_arc", "_step"]).withColumn("_rank", F.col("_before") + F.col("_at") - F.col("_first"))
     joined = ranked.join(F.broadcast(spans), ["_arc", "_step"]).withColumn("_span", F.element_at(F.filter("_spans", lambda s: s["first"] <= F.col("_rank")), -1))
     return joined.select("_row.*", F.col("_span.shard").alias("shard"), (F.col("_span.slot") + F.col("_rank") - F.col("_span.first")).alias("slot"))
 
