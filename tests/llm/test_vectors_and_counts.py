@@ -274,3 +274,25 @@ def test_two_runs_at_once_keep_their_tables(spark):
     with ThreadPoolExecutor(2) as pool:
         both = list(pool.map(lambda _: sorted(tuple(r) for r in jaccard.op1_signature_trees(spark, SF).collect()), range(2)))
     assert both == [want, want]
+
+
+@pytest.mark.parametrize("flush", [40, 10**6])
+def test_a_shingle_that_many_texts_share_loses_no_link(spark, monkeypatch, flush):
+    """A third of all different texts begin alike; tasks hand over early (40) or late; against all pairs."""
+    from scenequery.llm import jaccard
+    from test_text_operators import linked
+
+    monkeypatch.setattr(jaccard, "FLUSH", flush)
+    rng = random.Random(11)
+    common_words = [f"c{k}" for k in range(9)]
+    rows = []
+    for k in range(240):
+        own = [f"w{rng.randrange(50)}" for _ in range(rng.choice([2, 9, 40]))]
+        rows.append((k, " ".join([*common_words, *own] if k % 3 == 0 else own)))
+    for k in range(60):  # near copies of the texts that begin alike
+        words = rows[3 * (k % 40)][1].split()
+        words[-1] = f"y{k % 2}"
+        rows.append((1000 + k, " ".join(words)))
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    want = linked(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want and any(i != c for i, (_, c) in want.items())
