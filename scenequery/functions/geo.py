@@ -102,7 +102,7 @@ def zoom_for(width: Column, height: Column) -> Column:
     return found
 
 
-def nice_step(span: Column, parts: int = 5) -> Column:
+def nice_step(span: Column, parts: float = 5) -> Column:
     """The 1-2-5 step nearest to a part of the span."""
     raw = span / parts
     base = F.pow(F.lit(10.0), F.floor(F.log10(raw)))

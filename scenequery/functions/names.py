@@ -21,8 +21,11 @@ PATTERN = "^" + "_".join(f"({p})" for _, p in FIELDS).replace("([LS])_(", "([LS]
 def parse_product(name: Column) -> dict[str, Column]:
     """The fields of a product name, whose path does not count, and its extension; all null if it has another form."""
     base = F.regexp_replace(name, r"^.*[\\/]", "")
-    fits = base.rlike(PATTERN)
-    found = {f: F.when(fits, F.regexp_extract(base, PATTERN, i + 1)) for i, f in enumerate([*(f for f, _ in FIELDS), "extension"])}
+    parts = F.when(base.rlike(PATTERN), F.split(F.substring_index(base, ".", 1), "_"))  # the form is checked once, then underscores tell fields apart
+    at = {f: i - (i > 1) for i, (f, _) in enumerate(FIELDS)}  # instrument and level share a part
+    found = {f: F.get(parts, at[f]) for f, _ in FIELDS}
+    found |= {"instrument": F.substring(found["instrument"], 1, 1), "level": F.substring(found["level"], 2, 1)}
+    found["extension"] = F.when(parts.isNotNull(), F.substr(base, F.instr(base, ".") + 1))
     return {f: c.cast("int") if f in NUMBERS else c for f, c in found.items()}
 
 
@@ -66,7 +69,8 @@ def links(html: Column, base: Column, prefix: Column) -> Column:
     Left out are empty links, the parent, the root, queries, fragments, and absolute links beyond ``base``. Names are decoded
     and follow ``prefix``; a name that ends in a slash is a directory. The size stands at the end of the text that follows.
     """
-    anchors = F.transform(F.regexp_extract_all(html, F.lit(_ANCHOR), F.lit(0)), lambda a: F.struct(xml_text(F.concat(*(F.regexp_extract(a, _ANCHOR, k) for k in (1, 2, 3)))).alias("href"), F.regexp_extract(a, _ANCHOR, 4).alias("text")))
+    found = F.transform(F.regexp_extract_all(html, F.lit(_ANCHOR), F.lit(0)), lambda a: F.split(F.regexp_replace(a, _ANCHOR, "$1$2$3\u0001$4"), "\u0001"))  # both parts in one match
+    anchors = F.transform(found, lambda p: F.struct(xml_text(F.get(p, 0)).alias("href"), F.get(p, 1).alias("text")))
     kept = F.filter(anchors, lambda a: ~a["href"].isin("", "../", "/") & ~a["href"].rlike("^[?#]") & ~(a["href"].startswith("http") & ~a["href"].startswith(base)))
     name = lambda a: F.coalesce(F.try_url_decode(F.replace(a["href"], F.lit("+"), F.lit("%2B"))), a["href"])
     return F.transform(kept, lambda a: F.struct(F.concat(prefix, name(a)).alias("key"), name(a).endswith("/").alias("directory"), F.when(name(a).endswith("/"), 0).otherwise(listed_bytes(a["text"])).cast("long").alias("size")))

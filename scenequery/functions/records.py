@@ -52,6 +52,18 @@ def umm_ring(umm: Column) -> Column:
     return F.when(F.size(points) > 0, closed).when(b.isNotNull(), box)
 
 
+def umm_details(item: Column) -> Column:
+    """A struct (id, concept, collection, datetime, browse, size) of a granule record, a VARIANT with members meta and umm.
+
+    The date is the beginning of a range, else a single date, given as such or as a member; the first browse link and size count.
+    """
+    get = lambda path, kind="string": F.try_variant_get(item, path, kind)
+    date = F.coalesce(get("$.umm.TemporalExtent.RangeDateTime.BeginningDateTime"), get("$.umm.TemporalExtent.SingleDateTime.Date"), F.when(F.schema_of_variant(get("$.umm.TemporalExtent.SingleDateTime", "variant")) == "STRING", get("$.umm.TemporalExtent.SingleDateTime")))
+    shown = F.filter(get("$.umm.RelatedUrls", "array<struct<Type: string, URL: string>>"), lambda u: u["Type"] == "GET RELATED VISUALIZATION")
+    concept = get("$.meta['concept-id']")
+    return F.struct(F.coalesce(get("$.umm.GranuleUR"), concept, F.lit("")).alias("id"), concept.alias("concept"), get("$.meta['collection-concept-id']").alias("collection"), date.alias("datetime"), F.get(shown, 0)["URL"].alias("browse"), get("$.umm.DataGranule.ArchiveAndDistributionInformation[0].SizeInBytes", "long").alias("size"))
+
+
 def data_url(urls: Column) -> Column:
     """The first data link that ends in .h5, else the first data link, else null."""
     data = F.filter(urls, lambda u: u["Type"] == "GET DATA")

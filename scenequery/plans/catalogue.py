@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import bytes_and_schemas, extras, files, geo, grids, learning, marks, models, neighbourhood, radiometric, raster, records, scenes, search, strings, tiles  # noqa: F401
+from . import bytes_and_schemas, catalogue_texts, extras, files, geo, grids, learning, marks, models, neighbourhood, radiometric, raster, records, scenes, search, strings, tiles  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401

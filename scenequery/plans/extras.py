@@ -57,10 +57,10 @@ def reproject_features(spark, sf_dir):
     return g.select("id", F.round(F.col("ring")[0]["x"], 3).alias("first_x"), F.round(F.col("ring")[0]["y"], 3).alias("first_y"), F.round(F.col("ring")[2]["x"], 3).alias("third_x"), F.size("ring").alias("points"), F.round(metres, 6).alias("metres_per_pixel"))
 
 
-@query("""WITH s AS (SELECT o_orderkey AS id, CAST(o_totalprice * 400 AS BIGINT) AS bytes FROM orders) SELECT id, CASE WHEN bytes <= 25165824 THEN 1 WHEN bytes / 4 <= 25165824 THEN 2 WHEN bytes / 16 <= 25165824 THEN 4 WHEN bytes / 64 <= 25165824 THEN 8 END AS level FROM s""")
+@query("""WITH s AS (SELECT o_orderkey AS id, CAST(o_totalprice * 400 AS BIGINT) AS bytes FROM orders) SELECT id, CASE WHEN bytes <= 25165824 THEN 1 WHEN bytes / 4 <= 25165824 THEN 2 WHEN bytes / 16 <= 25165824 THEN 4 ELSE 8 END AS level FROM s""")
 def overview_ladder(spark, sf_dir):
-    """The densest overview of each file that fits a tile's budget of 24 MB; null where none does."""
+    """The densest overview of each file that fits a tile's budget of 24 MB; the coarsest where none does."""
     size = (F.col("o_totalprice") * 400).cast("decimal(30,6)")
     whole = F.round(size, 0).cast("long")
-    level = F.coalesce(*(F.when(whole / (k * k) <= 24 * 1024 * 1024, F.lit(k)) for k in (1, 2, 4, 8)))
+    level = F.coalesce(*(F.when(whole / (k * k) <= 24 * 1024 * 1024, F.lit(k)) for k in (1, 2, 4)), F.lit(8))
     return src.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), level.alias("level"))

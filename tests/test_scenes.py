@@ -123,3 +123,29 @@ def test_features_that_are_no_marks(spark):
     newer = spark.createDataFrame([(1, 0, feature("transect", line, **{"markup:schema": 2})), (1, 1, feature("class-region", None, featureSpace={}, sourceScene={"crs": "EPSG:2"}))], "scene_id int, seq int, feature string")
     assert [r.warning for r in markup.imported(newer, scene).orderBy("seq").collect()] == ["newer version", "CRS EPSG:2 is not EPSG:1"]
     assert markup.imported(newer.limit(0), scene).collect() == []
+
+
+def test_map_texts(spark):
+    from scenequery.functions import texts
+
+    one = lambda c: spark.range(1).select(c).first()[0]
+    at = lambda v, projected, axis: one(texts.coordinate(F.lit(float(v)), F.lit(projected), axis))
+    assert (at(584200, True, "x"), at(4142000.4, True, "y"), at(-1234.6, True, "x"), at(999, True, "y"), at(0, True, "x")) == ("584 200 E", "4 142 000 N", "−1 235 E", "999 N", "0 E")
+    assert (at(-122.084, False, "x"), at(37.42, False, "y"), at(0, False, "x"), at(-0.5, False, "y")) == ("122.08°W", "37.42°N", "0.00°E", "0.50°S")
+    size = lambda w, h, projected: one(texts.extent(F.lit(float(w)), F.lit(float(h)), F.lit(projected)))
+    assert (size(12400, 8700, True), size(999, 1000, True), size(340, 220, True), size(0.34, 0.22, False)) == ("12.4 × 8.7 km", "1.0 × 1.0 km", "340 × 220 m", "0.34° × 0.22°")
+    bars = [tuple(spark.range(1).select(*texts.scale_bar(F.lit(p))).first()) for p in (0.01, 0.1, 1.0, 15.0, 200.0)]
+    assert [(m, round(b, 6), label) for m, b, label in bars] == [(10000.0, 100.0, "10 km"), (1000.0, 100.0, "1.0 km"), (100.0, 100.0, "100 m"), (5.0, 75.0, "5.0 m"), (0.5, 100.0, "0.50 m")]
+
+
+def test_terms_of_products(spark):
+    from scenequery.functions import terms
+
+    array = lambda *xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    none = F.lit(None).cast("array<string>")
+    found = lambda *lists: spark.range(1).select(terms.detect(*lists, F.lit("/g/A"))).first()[0]
+    assert found(array("HHHH", "HHVV", "x"), array("VV"), array("/g/A/VVVV")) == ["HHHH", "HHVV"]
+    assert found(array("x"), array(" HH", "HV ", "HHH"), none) == ["HHHH", "HVHV"] and found(none, array(), array("/g/B/HHHH", "/g/A/mask", "/g/A/RHRV")) == ["RHRV"]
+    assert found(none, none, none) == ["HHHH", "HVHV", "VHVH", "VVVV"]
+    best = lambda *t: spark.range(1).select(terms.automatic_composite(array(*t))).first()[0]
+    assert (best("HHHH", "HVHV", "VVVV", "VHVH"), best("VHVH", "VVVV"), best("HHHH", "VVVV")) == ("dual-pol-h", "dual-pol-v", None)
