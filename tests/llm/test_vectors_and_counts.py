@@ -296,3 +296,53 @@ def test_a_shingle_that_many_texts_share_loses_no_link(spark, monkeypatch, flush
     got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
     want = linked(rows)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want and any(i != c for i, (_, c) in want.items())
+
+
+# ---- toxicity --------------------------------------------------------------------------------------------------------------
+
+
+def test_op6_follows_the_cumulative_link_formula(spark):
+    """All four columns of every document from the fitted weights and cuts, worked out word by word."""
+    import regex
+
+    from scenequery.llm import toxicity
+
+    sf = "/root/testdata/sf0.01"
+    docs = common.documents(spark, sf)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    assert len(model.thresholds) == 2 and model.thresholds[0] < model.thresholds[1] and model.weights
+    letters = regex.compile(r"[^\W\d_]+")
+    starts = {len(f) - 1 for f in model.weights if f.endswith("*")}
+    got = {r.doc_id: r for r in toxicity.op6_ordinal_toxicity(spark, sf).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for d in rows:
+        words = set(letters.findall((d.text or "").lower()))
+        marks = {w for w in words if w in model.weights} | {w[:k] + "*" for w in words for k in starts if len(w) > k and w[:k] + "*" in model.weights}
+        total = sum(model.weights[m] for m in marks)
+        above = [1 / (1 + math.exp(min(40, max(-40, cut - total)))) for cut in model.thresholds]
+        r = got[d.doc_id]
+        assert r.score == pytest.approx(above[0], abs=1e-9) and r.expected_severity == pytest.approx(sum(above), abs=1e-9)
+        if min(abs(a - 0.5) for a in above) > 1e-9:
+            assert r.grade == sum(a >= 0.5 for a in above) and r.toxic == (above[0] >= 0.5)
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    caught = [got[i].toxic for i, t in labels.items() if t == 1 and i in got]
+    clean = [got[i].toxic for i, t in labels.items() if t == 0 and i in got]
+    assert sum(caught) / len(caught) > 0.6 and sum(clean) / len(clean) < 0.02  # a model that calls all of them clean fails here
+
+
+def test_very_long_texts(spark):
+    """A text of two million words next to short ones, through operators that had no such test."""
+    from scenequery.llm import language, mixing, toxicity
+
+    words = "the quick brown fox jumps over the lazy dog and runs away from it "
+    rows = [(1, words * 150_000, "a", "en"), (2, "short one", "a", "en"), (3, None, "b", "de"), (4, words, None, "en"), (5, "der schnelle braune Fuchs springt über den faulen Hund und läuft davon", "b", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    model = toxicity.Model({"quick": 2.0}, [1.2, 3.0])
+    graded = {r.doc_id: (r.grade, r.toxic, round(r.score, 6)) for r in toxicity.grade(docs, model).collect()}
+    assert graded[1] == graded[4] and graded[1][1] and not graded[2][1] and not graded[3][1]
+    learned = language.learn(docs)
+    named = {r.doc_id: r.lang_pred for r in language.identify(docs, learned).collect()}
+    assert set(named) == {1, 2, 3, 4, 5} and named[1] == named[4] and named[3] == "und"
+    mixed = {r.doc_id: (r.size, r.taken) for r in mixing.mix(docs).collect()}
+    assert mixed[1][0] == 150_000 * 14 and mixed[3][0] == 0 and all(taken <= 2 * size for size, taken in mixed.values())
