@@ -76,10 +76,17 @@ def ranked_values(pixels: DataFrame, keys: list[str], shares: dict[str, float],
     return ranked.groupBy(*keys).agg(*(F.min(F.when(F.col("cum") > F.floor(F.col("total") * share), F.col("x"))).alias(name) for name, share in shares.items()))
 
 
+#: How scenes of each type are toned: method, gamma, local contrast (or its strength), low and high share.
+TONES = {"urban": ("adaptiveLog", 0.4, 0.2, None, None), "water": ("percentileGamma", 0.6, None, 0.05, 0.95), "uniform": ("localContrast", 0.5, 0.4, None, None), "mixed": ("hybrid", 0.45, 0.25, None, None)}
+
+
 def analyse_scene(pixels: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
-    """p10, p50, p90, cv, dynamic_range and scene_type (urban, water, uniform, mixed) of the positive values."""
+    """p10, p50, p90, cv, dynamic_range and scene_type (urban, water, uniform, mixed) of the positive values, with the method, gamma,
+    local_contrast, low and high that suit it; a scene without such values is empty and has no figures."""
     ranks = ranked_values(pixels, keys, {"p10": 0.1, "p50": 0.5, "p90": 0.9}, value)
     spread = moments(pixels, keys, value).select(*keys, (F.col("std") / F.col("mean")).alias("cv"))
-    both = ranks.join(spread, keys).withColumn("dynamic_range", F.col("p90") / F.col("p10"))
-    kind = F.when(F.col("dynamic_range") > 100, "urban").when(F.col("p50") < 2 * F.col("p10"), "water").when(F.col("cv") < 0.5, "uniform").otherwise("mixed")
-    return both.withColumn("scene_type", kind)
+    both = pixels.select(*keys).distinct().join(ranks.join(spread, keys), keys, "left").withColumn("dynamic_range", F.col("p90") / F.col("p10"))
+    kind = F.when(F.col("p10").isNull(), "empty").when(F.col("dynamic_range") > 100, "urban").when(F.col("p50") < 2 * F.col("p10"), "water").when(F.col("cv") < 0.5, "uniform").otherwise("mixed")
+    told = both.withColumn("scene_type", kind)
+    tone = lambda i: F.coalesce(*(F.when(F.col("scene_type") == t, F.lit(v[i])) for t, v in TONES.items()))
+    return told.withColumns({n: tone(i).cast("string" if i == 0 else "double") for i, n in enumerate(("method", "gamma", "local_contrast", "low", "high"))})

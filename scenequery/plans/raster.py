@@ -242,8 +242,10 @@ def transect_profile(spark, sf_dir):
 @query(f"""{_LIN}, s AS (SELECT scene_id, v, row_number() OVER (PARTITION BY scene_id ORDER BY v) - 1 AS k, count(*) OVER (PARTITION BY scene_id) AS n FROM d),
   p AS (SELECT scene_id, max(CASE WHEN k = floor(n * 0.1) THEN v END) AS p10, max(CASE WHEN k = floor(n * 0.5) THEN v END) AS p50, max(CASE WHEN k = floor(n * 0.9) THEN v END) AS p90,
   stddev_pop(v) / avg(v) AS cv FROM s GROUP BY scene_id)
-  SELECT scene_id, round(p10, 6) AS p10, round(p50, 6) AS p50, round(p90, 6) AS p90, round(cv, 6) AS cv, round(p90 / p10, 6) AS dynamic_range,
-  CASE WHEN p90 / p10 > 100 THEN 'urban' WHEN p50 < 2 * p10 THEN 'water' WHEN cv < 0.5 THEN 'uniform' ELSE 'mixed' END AS scene_type FROM p""")
+  , k AS (SELECT scene_id, p10, p50, p90, cv, CASE WHEN p10 IS NULL THEN 'empty' WHEN p90 / p10 > 100 THEN 'urban' WHEN p50 < 2 * p10 THEN 'water' WHEN cv < 0.5 THEN 'uniform' ELSE 'mixed' END AS scene_type FROM (SELECT DISTINCT scene_id FROM px) LEFT JOIN p USING (scene_id))
+  SELECT scene_id, round(p10, 6) AS p10, round(p50, 6) AS p50, round(p90, 6) AS p90, round(cv, 6) AS cv, round(p90 / p10, 6) AS dynamic_range, scene_type,
+  CASE scene_type WHEN 'urban' THEN 'adaptiveLog' WHEN 'water' THEN 'percentileGamma' WHEN 'uniform' THEN 'localContrast' WHEN 'mixed' THEN 'hybrid' END AS method, CAST(CASE scene_type WHEN 'urban' THEN 0.4 WHEN 'water' THEN 0.6 WHEN 'uniform' THEN 0.5 WHEN 'mixed' THEN 0.45 END AS DOUBLE) AS gamma,
+  CAST(CASE scene_type WHEN 'urban' THEN 0.2 WHEN 'uniform' THEN 0.4 WHEN 'mixed' THEN 0.25 END AS DOUBLE) AS local_contrast, CAST(CASE WHEN scene_type = 'water' THEN 0.05 END AS DOUBLE) AS low, CAST(CASE WHEN scene_type = 'water' THEN 0.95 END AS DOUBLE) AS high FROM k""")
 def tone_scene_analysis(spark, sf_dir):
     """Percentiles, variation and kind of each scene."""
     px = src.event_raster(spark, sf_dir).withColumn("v", rad.positive(F.col("v")))

@@ -149,3 +149,13 @@ def test_terms_of_products(spark):
     assert found(none, none, none) == ["HHHH", "HVHV", "VHVH", "VVVV"]
     best = lambda *t: spark.range(1).select(terms.automatic_composite(array(*t))).first()[0]
     assert (best("HHHH", "HVHV", "VVVV", "VHVH"), best("VHVH", "VVVV"), best("HHHH", "VVVV")) == ("dual-pol-h", "dual-pol-v", None)
+
+
+def test_scenes_without_values_are_empty(spark):
+    from scenequery.operators import stats
+
+    rows = [(1, None), (1, None), *[(2, float(v)) for v in (1, 2, 300, 400)], *[(3, v) for v in (1.0, 1.1, 1.2)], *[(4, float(v)) for v in (10, 25, 26, 27)], *[(5, float(v)) for v in (1, 2, 30, 31)]]
+    got = {r.scene_id: r for r in stats.analyse_scene(spark.createDataFrame(rows, "scene_id int, v double"), ["scene_id"]).collect()}
+    assert [got[k].scene_type for k in range(1, 6)] == ["empty", "urban", "water", "uniform", "mixed"]
+    assert [got[k].method for k in range(1, 6)] == [None, "adaptiveLog", "percentileGamma", "localContrast", "hybrid"]
+    assert (got[3].low, got[3].high, got[5].gamma, got[4].local_contrast, got[1].p10, got[1].gamma) == (0.05, 0.95, 0.45, 0.4, None, None)
