@@ -323,21 +323,21 @@ def digests(encoded: DataFrame, ranks_path: str) -> DataFrame:
     return _of_encoded(encoded, ranks_path, _digest, _DIGESTS)
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """What ``digests(encode(docs))`` gives; the chunks that were encoded go on to the join without rows of documents in between."""
     kind, key = to_arrow_type(docs.schema["doc_id"].dataType), docs.schema["doc_id"].dataType.simpleString()
 
     def fill(table: pa.Table) -> pa.Table:
         return _positions(table.column("chunk")[0].as_py(), *_documents(table), kind)
 
-    positions = _by_chunk(docs, ranks_path, pattern, CHUNK_CHARS).applyInArrow(fill, _position_schema(key))
+    positions = _by_chunk(docs, ranks_path, pattern, chunk_chars).applyInArrow(fill, _position_schema(key))
     return _joined(positions, ranks_path, _digest, ["doc_id", *(m[0] for m in _DIGESTS)], [kind, *(m[1] for m in _DIGESTS)], ", ".join([f"doc_id {key}", *(f"{m[0]} {m[2]}" for m in _DIGESTS)]))
 
 
-def bpe_digests(docs: DataFrame) -> DataFrame:
+def bpe_digests(docs: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     import public_tokenizers
 
-    return round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, chunk_chars)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
