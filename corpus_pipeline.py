@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from scenequery.llm import bpe, common, jaccard, language, mixing, toxicity
 
 LEAST_LANGUAGE_SHARE = 0.5
+CHUNK_CHARS = 1 << 20  # half of the operator's own: executors' heaps are large by the last stage
 SMALL_ENOUGH_TO_SEND = 500_000  # ids of 8 bytes: 4 MB
 
 
@@ -43,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.bpe_digests(docs)
+    return bpe.bpe_digests(docs, CHUNK_CHARS)
 
 
 STAGES = [
