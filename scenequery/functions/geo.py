@@ -69,7 +69,7 @@ class Frame:
         return F.least(*lon), F.least(*lat), F.greatest(*lon), F.greatest(*lat)
 
 
-def utm_forward(lon: Column, lat: Column, zone: int) -> tuple[Column, Column]:
+def utm_forward(lon: Column, lat: Column, zone: int | Column) -> tuple[Column, Column]:
     """Easting and northing (north of the equator) by the standard series of the transverse Mercator projection."""
     p, lam = F.radians(lat), F.radians(lon - (zone * 6 - 183))
     n = A / F.sqrt(1 - E2 * F.sin(p) * F.sin(p))
@@ -182,8 +182,9 @@ def pixel_bounds(first: Column, count: Column, start: float, end: float, n: int)
     return F.least(at(first), at(first + count)), F.greatest(at(first), at(first + count))
 
 
-def utm_inverse(easting: Column, northing: Column, zone: int, south: bool = False) -> tuple[Column, Column]:
-    """Longitude and latitude in degrees of UTM coordinates (WGS84), by series."""
+def utm_inverse(easting: Column, northing: Column, zone: int | Column, south: bool = False) -> tuple[Column, Column]:
+    """Longitude and latitude in degrees of UTM coordinates (WGS84), by series; give it columns, not what they come from, since the series
+    repeat them often."""
     e1 = (1 - (1 - E2) ** 0.5) / (1 + (1 - E2) ** 0.5)
     mu = (northing - (10_000_000.0 if south else 0.0)) / 0.9996 / (A * (1 - E2 / 4 - 3 * E2**2 / 64 - 5 * E2**3 / 256))
     p = mu + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * mu) + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * mu) + (151 * e1**3 / 96) * F.sin(6 * mu) + (1097 * e1**4 / 512) * F.sin(8 * mu)
@@ -192,7 +193,7 @@ def utm_inverse(easting: Column, northing: Column, zone: int, south: bool = Fals
     t, c, d = F.pow(F.tan(p), F.lit(2)), EP2 * F.cos(p) * F.cos(p), (easting - 500_000.0) / (A / F.sqrt(1 - E2 * s2) * 0.9996)
     lat = p - n * F.tan(p) / r * (d * d / 2 - (5 + 3 * t + 10 * c - 4 * c * c - 9 * EP2) * F.pow(d, F.lit(4)) / 24 + (61 + 90 * t + 298 * c + 45 * t * t - 252 * EP2 - 3 * c * c) * F.pow(d, F.lit(6)) / 720)
     lon = (d - (1 + 2 * t + c) * F.pow(d, F.lit(3)) / 6 + (5 - 2 * c + 28 * t - 3 * c * c + 8 * EP2 + 24 * t * t) * F.pow(d, F.lit(5)) / 120) / F.cos(p)
-    return F.degrees(lon) + (6 * zone - 183), F.degrees(lat)
+    return F.degrees(lon) + (zone * 6 - 183), F.degrees(lat)
 
 
 #: Polar stereographic systems by EPSG code: north or south, latitude of true scale, central meridian, false easting and northing.
