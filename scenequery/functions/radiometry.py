@@ -127,7 +127,10 @@ def anisotropy(l2: Column, l3: Column) -> Column:
 
 
 def phase(re: Column, im: Column) -> Column:
-    return F.atan2(im, re)
+    """Angle of a complex value; the signs of zeros count, which Spark's atan2 drops."""
+    below = lambda x: (x < 0) | ((x == 0) & x.cast("string").startswith("-"))
+    flat = F.when(below(re), F.when(below(im), -math.pi).otherwise(math.pi)).otherwise(im)
+    return F.when((im == 0) & re.isNotNull() & ~F.isnan(re), flat).otherwise(F.atan2(im, re))
 
 
 def magnitude(re: Column, im: Column) -> Column:

@@ -168,7 +168,7 @@ _RAMP = f"""WITH {src.COMPLEX_RASTER_SQL}, f AS (SELECT scene_id, col / 99.0 AS
 def planar_ramp(spark, sf_dir):
     """Least-squares plane through the phase of coherent pixels, by nine sums a scene."""
     re, im = F.col("re"), F.col("im")
-    px = src.complex_raster(spark, sf_dir).where(re.isNotNull() & (re * re + im * im > 2500)).select("scene_id", (F.col("col") / 99.0).alias("x"), (F.col("row") / 99.0).alias("y"), F.atan2(im, re).alias("p"))
+    px = src.complex_raster(spark, sf_dir).where(re.isNotNull() & (re * re + im * im > 2500)).select("scene_id", (F.col("col") / 99.0).alias("x"), (F.col("row") / 99.0).alias("y"), rad.phase(re, im).alias("p"))
     fit = cube.plane_fit(px, ["scene_id"])
     return fit.select("scene_id", R(F.col("a"), 4).alias("a"), R(F.col("b"), 4).alias("b"), R(F.col("c"), 4).alias("c"), "n_pixels")
 
