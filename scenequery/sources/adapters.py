@@ -6,6 +6,8 @@ table means more scenes, and everything that is keyed by scene spreads with them
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,15 +64,20 @@ BAND_RASTER_SQL = f"""bands AS (SELECT l_orderkey, CAST(sum(CAST(l_extendedprice
 
 
 def complex_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A complex band: each event as amplitude ``value`` and a phase from its user, on the event scenes."""
-    phase, key = F.pmod(F.col("user_id"), F.lit(360)) * (3.141592653589793 / 180), F.col("event_id")
+    """A complex band: each event as amplitude ``value`` and a phase from its user, on the event scenes.
+
+    Cosines and sines of whole degrees come from two arrays: the JVM's own differ in the last bit from those of other engines, which
+    decides whether an amplitude at a limit is above it.
+    """
+    degree, key = F.pmod(F.col("user_id"), F.lit(360)).cast("int"), F.col("event_id")
+    cosine, sine = (F.get(F.lit([f(k * (3.141592653589793 / 180)) for k in range(360)]), degree) for f in (math.cos, math.sin))
     valid = F.col("event_type") != "error"
     return table(spark, sf_dir, "events").select(
         F.floor(key / EVENT_SCENE).cast("int").alias("scene_id"),
         F.floor(F.pmod(key, F.lit(EVENT_SCENE)) / EVENT_WIDTH).cast("int").alias("row"),
         F.pmod(key, F.lit(EVENT_WIDTH)).cast("int").alias("col"),
-        F.when(valid, F.col("value") * F.cos(phase)).alias("re"),
-        F.when(valid, F.col("value") * F.sin(phase)).alias("im"),
+        F.when(valid, F.col("value") * cosine).alias("re"),
+        F.when(valid, F.col("value") * sine).alias("im"),
     )
 
 
