@@ -64,6 +64,23 @@ def stretch(t: Column, kind: str, gamma: float = 1.0) -> Column:
     raise ValueError(f"unknown stretch {kind}")
 
 
+def gamma_byte(t: Column, gamma: float) -> Column:
+    """floor(t^gamma * 255 + 0.5) for t in [0, 1]. Where each byte begins is searched once, so bytes at a half do not depend on the last bit of
+    the JVM's powers."""
+    byte = lambda x: math.floor(x**gamma * 255 + 0.5)
+    begins = [0.0]
+    for k in range(1, 256):
+        x = ((k - 0.5) / 255) ** (1 / gamma)
+        while byte(x) >= k:
+            x = math.nextafter(x, 0.0)
+        while byte(x) < k:
+            x = math.nextafter(x, 1.0)
+        begins.append(x)
+    at = lambda k: F.get(F.lit([*begins, math.inf]), k)
+    near = half_up(F.pow(t, F.lit(gamma)) * 255).cast("int")
+    return F.when(t >= at(near + 1), near + 1).when(t < at(near), near - 1).otherwise(near)
+
+
 def rvi_quad(hh: Column, hv: Column, vv: Column) -> Column:
     """8 HV / (HH + VV + 2 HV), null without a positive denominator."""
     below = hh + vv + 2 * hv
@@ -106,7 +123,8 @@ def channel_byte(v: Column, low: float, high: float, use_db: bool = True, kind:
     """A display byte: dB, range, stretch; 0 where the value is missing or zero."""
     valid = nonzero(v).isNotNull()
     scaled = normalise(db_clamped(v) if use_db else v, low, high)
-    return F.when(valid, half_up(stretch(scaled, kind, gamma) * 255)).otherwise(0).cast("int")
+    byte = gamma_byte(scaled, gamma) if kind == "gamma" else half_up(stretch(scaled, kind, gamma) * 255)
+    return F.when(valid, byte).otherwise(0).cast("int")
 
 
 def saturate(r: Column, g: Column, b: Column, amount: float) -> tuple[Column, Column, Column]:
