@@ -7,6 +7,8 @@ schema and into others by name; a reference that leads back to itself is followe
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,14 +18,34 @@ DEEPEST = 6
 KINDS = {"object": "OBJECT", "array": "ARRAY", "string": "STRING", "boolean": "BOOLEAN", "null": "VOID", "number": "BIGINT|DOUBLE|DECIMAL|FLOAT|INT|SMALLINT|TINYINT"}
 
 
+@dataclass(frozen=True)
+class Value:
+    """A VARIANT and the text of its type, both taken out once and then read by all checks of it."""
+
+    v: Column
+    kind: Column
+
+    def get(self, kind: str) -> Column:
+        return F.try_variant_get(self.v, "$", kind)
+
+
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _once(v: Column, told: Callable[[Value], Column]) -> Column:
+    """Messages ``told`` of a value that is worked out once, however often they read it."""
+    each = F.transform(F.array(v), lambda x: F.struct(x.alias("v"), F.schema_of_variant(x).alias("k")))
+    return F.flatten(F.transform(each, lambda s: told(Value(s["v"], s["k"]))))
+
+
 class Compiler:
     def __init__(self, schemas: dict[str, dict]):
         self.schemas = schemas
 
     def problems(self, name: str, document: Column) -> Column:
         """Messages for a VARIANT column; one for a document that is no JSON (null after try_parse_json)."""
-        told = self._check(self.schemas[name], name, document, F.lit("$"), ())
-        return F.when(document.isNull(), F.array(F.lit("$: not JSON"))).otherwise(told)
+        return _once(document, lambda x: F.when(x.v.isNull(), F.array(F.lit("$: not JSON"))).otherwise(self._check(self.schemas[name], name, x, F.lit("$"), ())))
 
     def _resolve(self, ref: str, file: str) -> tuple[dict, str]:
         place, _, inner = ref.partition("#")
@@ -35,11 +57,11 @@ class Compiler:
             found = found[part]
         return found, file
 
-    def _check(self, schema: dict, file: str, v: Column, at: Column, seen: tuple) -> Column:
+    def _check(self, schema: dict, file: str, v: Value, at: Column, seen: tuple) -> Column:
         if "$ref" in schema:
             target, file = self._resolve(schema["$ref"], file)
             if seen.count((file, schema["$ref"])) >= DEEPEST:
-                return self._say(~F.is_variant_null(v), at, F.lit("nested too deep"))
+                return self._say(~F.is_variant_null(v.v), at, F.lit("nested too deep"))
             return self._check(target, file, v, at, (*seen, (file, schema["$ref"])))
         first = []
         if "const" in schema:
@@ -62,67 +84,67 @@ class Compiler:
             for b in branches:
                 none = none & (F.size(b) > 0)
             rest.append(self._say(none, at, F.lit("fits no branch")))
-        out = F.concat(*rest) if rest else F.array().cast("array<string>")
+        out = F.concat(*rest) if rest else _none()
         for bad, text in reversed(first):
             out = F.when(bad, F.array(F.concat(at, F.lit(": "), text))).otherwise(out)
         return out
 
     @staticmethod
     def _say(bad: Column, at: Column, text: Column) -> Column:
-        return F.when(F.coalesce(bad, F.lit(False)), F.array(F.concat(at, F.lit(": "), text))).otherwise(F.array().cast("array<string>"))
+        return F.when(F.coalesce(bad, F.lit(False)), F.array(F.concat(at, F.lit(": "), text))).otherwise(_none())
 
     @staticmethod
-    def _is(v: Column, kind: str) -> Column:
+    def _is(v: Value, kind: str) -> Column:
         if kind == "integer":
-            number = F.try_variant_get(v, "$", "double")
-            return F.schema_of_variant(v).rlike(f"^({KINDS['number']})") & (number == F.floor(number))
-        return F.schema_of_variant(v).rlike(f"^({KINDS[kind]})")
+            number = v.get("double")
+            return v.kind.rlike(f"^({KINDS['number']})") & (number == F.floor(number))
+        return v.kind.rlike(f"^({KINDS[kind]})")
 
-    def _equals(self, v: Column, value) -> Column:
+    def _equals(self, v: Value, value) -> Column:
         if value is None:
-            return F.is_variant_null(v)
+            return F.is_variant_null(v.v)
         if isinstance(value, bool):
-            return self._is(v, "boolean") & F.coalesce(F.try_variant_get(v, "$", "boolean") == value, F.lit(False))
+            return self._is(v, "boolean") & F.coalesce(v.get("boolean") == value, F.lit(False))
         if isinstance(value, (int, float)):
-            return self._is(v, "number") & F.coalesce(F.try_variant_get(v, "$", "double") == float(value), F.lit(False))
+            return self._is(v, "number") & F.coalesce(v.get("double") == float(value), F.lit(False))
         if isinstance(value, str):
-            return self._is(v, "string") & F.coalesce(F.try_variant_get(v, "$", "string") == value, F.lit(False))
-        return F.to_json(v) == json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+            return self._is(v, "string") & F.coalesce(v.get("string") == value, F.lit(False))
+        return F.to_json(v.v) == json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
-    def _numbers(self, schema: dict, v: Column, at: Column) -> list[Column]:
-        number = F.when(self._is(v, "number"), F.try_variant_get(v, "$", "double"))
+    def _numbers(self, schema: dict, v: Value, at: Column) -> list[Column]:
+        number = F.when(self._is(v, "number"), v.get("double"))
         out = [self._say(number < float(schema["minimum"]), at, F.lit(f"below {schema['minimum']}"))] if "minimum" in schema else []
         return out + ([self._say(number > float(schema["maximum"]), at, F.lit(f"above {schema['maximum']}"))] if "maximum" in schema else [])
 
-    def _texts(self, schema: dict, v: Column, at: Column) -> list[Column]:
-        text = F.when(self._is(v, "string"), F.try_variant_get(v, "$", "string"))
+    def _texts(self, schema: dict, v: Value, at: Column) -> list[Column]:
+        text = F.when(self._is(v, "string"), v.get("string"))
         out = [self._say(F.char_length(text) < schema["minLength"], at, F.lit(f"shorter than {schema['minLength']}"))] if "minLength" in schema else []
         return out + ([self._say(~text.rlike(schema["pattern"]), at, F.lit(f"not of the form {schema['pattern']}"))] if "pattern" in schema else [])
 
-    def _arrays(self, schema: dict, file: str, v: Column, at: Column, seen: tuple) -> list[Column]:
-        items = F.when(self._is(v, "array"), F.try_variant_get(v, "$", "array<variant>"))
+    def _arrays(self, schema: dict, file: str, v: Value, at: Column, seen: tuple) -> list[Column]:
+        items = F.when(self._is(v, "array"), v.get("array<variant>"))
         out = []
         if "minItems" in schema:
             out.append(self._say(F.size(items) < schema["minItems"], at, F.lit(f"fewer than {schema['minItems']} items")))
         if "maxItems" in schema:
             out.append(self._say(F.size(items) > schema["maxItems"], at, F.lit(f"more than {schema['maxItems']} items")))
         if isinstance(schema.get("items"), dict):
-            each = F.transform(items, lambda x, i: self._check(schema["items"], file, x, F.concat(at, F.lit("["), i.cast("string"), F.lit("]")), seen))
-            out.append(F.coalesce(F.flatten(each), F.array().cast("array<string>")))
+            each = F.transform(items, lambda x, i: _once(x, lambda e: self._check(schema["items"], file, e, F.concat(at, F.lit("["), i.cast("string"), F.lit("]")), seen)))
+            out.append(F.coalesce(F.flatten(each), _none()))
         return out
 
-    def _objects(self, schema: dict, file: str, v: Column, at: Column, seen: tuple) -> list[Column]:
+    def _objects(self, schema: dict, file: str, v: Value, at: Column, seen: tuple) -> list[Column]:
         here, out = self._is(v, "object"), []
-        member = lambda name: F.try_variant_get(v, f"$['{name}']", "variant")
+        member = lambda name: F.try_variant_get(v.v, f"$['{name}']", "variant")
         for name in schema.get("required", []):
             out.append(self._say(here & member(name).isNull(), at, F.lit(f"{name} is missing")))
         for name, inner in schema.get("properties", {}).items():
-            told = self._check(inner, file, member(name), F.concat(at, F.lit(f".{name}")), seen)
-            out.append(F.when(here & member(name).isNotNull(), told).otherwise(F.array().cast("array<string>")))
+            told = _once(member(name), lambda m, inner=inner, place=f".{name}": F.when(m.v.isNotNull(), self._check(inner, file, m, F.concat(at, F.lit(place)), seen)).otherwise(_none()))
+            out.append(F.when(here, told).otherwise(_none()))
         if schema.get("additionalProperties") is False:
-            names = F.when(here, F.json_object_keys(F.to_json(v)))
+            names = F.when(here, F.json_object_keys(F.to_json(v.v)))
             unknown = F.filter(names, lambda n: ~n.isin(*(schema.get("properties") or [""])))
-            out.append(F.coalesce(F.transform(unknown, lambda n: F.concat(at, F.lit("."), n, F.lit(": unknown"))), F.array().cast("array<string>")))
+            out.append(F.coalesce(F.transform(unknown, lambda n: F.concat(at, F.lit("."), n, F.lit(": unknown"))), _none()))
         return out
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import models as ops
 from ..sources import adapters as src
+from ..sources import shared
 from .registry import query
 
 #: A manifest a part: kind, limits, classes and what is missing follow from the part's own columns.
@@ -25,7 +26,7 @@ def _manifest(s: str) -> str:
 
 
 def _manifests(spark, sf_dir):
-    return src.table(spark, sf_dir, "part").select("p_partkey", F.expr(_manifest("STRING")).alias("manifest"))
+    return shared.spread(src.table(spark, sf_dir, "part")).select("p_partkey", F.expr(_manifest("STRING")).alias("manifest"))
 
 
 _J = lambda path: f"json_extract_string(j, '$.{path}')"

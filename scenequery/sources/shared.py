@@ -19,6 +19,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{(configured or current).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all shuffle partitions: for heavy work on each row of tables whose few small files give few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back, for what is read more than once."""
     path = new_folder(df.sparkSession, name)
