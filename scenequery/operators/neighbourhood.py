@@ -2,7 +2,8 @@
 
 Sums over k x k windows are separable: a range window down each column, then one along each row, so a pixel is shuffled
 twice whatever k is. Nodata pixels must be present as null rows. Partitions are single columns and rows of a scene.
-Weights that depend on the centre (Frost) or on the distance (Lanczos) join the pixel with a fixed table of offsets.
+Weights of distances that depend on the centre (Frost) weigh sums by row and column offset, which come from the same two windows.
+Weights of a reduction (Lanczos) join the pixel with a fixed table of offsets.
 """
 
 from __future__ import annotations
@@ -80,17 +81,25 @@ def speckle(pixels: DataFrame, kind: str, keys: list[str], kernel: int = 7, enl:
 
 
 def _frost(pixels: DataFrame, keys: list[str], half: int, damping: float) -> DataFrame:
-    summed = local_sums(pixels, half, keys)
+    """Weights fall with the distance, which only few pairs of a row and a column offset have: values are added up by row offset down
+    each column, then by column offset along each row, and the centre weighs these sums. A pixel is shuffled twice."""
+    v, reach = F.col("v"), range(half + 1)
+    down, along = Window.partitionBy(*keys, "col").orderBy("row"), Window.partitionBy(*keys, "row").orderBy("col")
+
+    def apart(c: Column, window, k: int) -> Column:
+        """Sum of the values just k pixels away on either side."""
+        at = lambda o: F.coalesce(F.sum(c).over(window.rangeBetween(o, o)), F.lit(0.0))
+        return at(k) + at(-k) if k else at(0)
+
+    parts = {"s": v, "n": F.when(v.isNotNull(), 1.0), "q": v * v}
+    first = pixels.withColumns({f"_{p}{i}": apart(c, down, i) for p, c in parts.items() for i in (reach if p != "q" else ())} | {"_q": F.sum(parts["q"]).over(down.rangeBetween(-half, half))})
+    both = first.withColumns({f"_{p}{i}_{j}": apart(F.col(f"_{p}{i}"), along, j) for p in "sn" for i in reach for j in reach} | {"q": F.sum("_q").over(along.rangeBetween(-half, half))})
+    total = lambda p, w: sum((w(i, j) * F.col(f"_{p}{i}_{j}") for i in reach for j in reach), F.lit(0.0))
+    summed = both.withColumns({"n": total("n", lambda i, j: F.lit(1.0)), "s": total("s", lambda i, j: F.lit(1.0))})
     _, _, m, var = _moments()
-    centre = summed.where("v is not null").select(*keys, "row", "col", "v", "n", F.when(m > 0, damping * var / F.when(m > 0, m * m)).otherwise(0.0).alias("alpha"))
-    offsets = F.explode(F.array(*(F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc"), F.lit(math.hypot(dr, dc)).alias("d")) for dr in range(-half, half + 1) for dc in range(-half, half + 1))))
-    asked = centre.select(*keys, "row", "col", "alpha", offsets.alias("o")).select(*keys, "row", "col", "alpha", (F.col("row") + F.col("o.dr")).alias("r2"), (F.col("col") + F.col("o.dc")).alias("c2"), F.col("o.d").alias("d"))
-    there = pixels.where("v is not null").select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("row").alias("r2"), F.col("col").alias("c2"), F.col("v").alias("v2"))
-    w = F.exp(-F.col("alpha") * F.col("d"))
-    met = asked.join(there, [F.col(k) == F.col(f"_{k}") for k in keys] + [asked["r2"] == there["r2"], asked["c2"] == there["c2"]])
-    summed2 = met.groupBy(*keys, "row", "col").agg((F.sum(w * F.col("v2")) / F.sum(w)).alias("weighted"))
-    back = pixels.join(centre.select(*keys, "row", "col", "n"), [*keys, "row", "col"], "left").join(summed2, [*keys, "row", "col"], "left")
-    return back.withColumn("out", _centred(F.col("weighted"))).drop("n", "weighted")
+    alpha = summed.withColumn("_alpha", F.when(m > 0, damping * var / F.when(m > 0, m * m)).otherwise(0.0))
+    weight = lambda i, j: F.exp(-F.col("_alpha") * math.hypot(i, j))
+    return alpha.withColumn("out", _centred(total("s", weight) / F.when(F.col("n") > 0, total("n", weight)))).select(*pixels.columns, "out")
 
 
 def smooth(pixels: DataFrame, keys: list[str]) -> DataFrame:
