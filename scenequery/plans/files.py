@@ -14,10 +14,10 @@ LIMITS = {"r": (45.0, 55.0), "g": (30.0, 45.0), "b": (28.0, 42.0)}
 
 
 def _regridded(spark, sf_dir):
-    """The bands on scenes of 128 x 128, a file each."""
+    """The bands on scenes of 128 x 128, a file each, as a table: files, sizes and pixels all read it."""
     at = F.col("scene_id").cast("long") * src.BAND_SCENE + F.col("row") * src.BAND_WIDTH + F.col("col")
     place = src.band_raster(spark, sf_dir).select(at.alias("at"), "hh", "hv", "vv")
-    return place.select(F.concat(F.lit("scene-"), F.floor(F.col("at") / SIDE**2).cast("string"), F.lit(".tif")).alias("file"), F.floor(F.pmod("at", F.lit(SIDE**2)) / SIDE).cast("int").alias("row"), F.pmod("at", F.lit(SIDE)).cast("int").alias("col"), "hh", "hv", "vv")
+    return shared.staged(place.select(F.concat(F.lit("scene-"), F.floor(F.col("at") / SIDE**2).cast("string"), F.lit(".tif")).alias("file"), F.floor(F.pmod("at", F.lit(SIDE**2)) / SIDE).cast("int").alias("row"), F.pmod("at", F.lit(SIDE)).cast("int").alias("col"), "hh", "hv", "vv"), "regridded")
 
 
 _AT = f"""{src.BAND_RASTER_SQL}, rg AS (SELECT 'scene-' || (pos // {SIDE**2}) || '.tif' AS file, CAST((pos % {SIDE**2}) // {SIDE} AS INTEGER) AS "row", CAST(pos % {SIDE} AS INTEGER) AS col, hh, hv, vv
@@ -59,7 +59,7 @@ def geotiff_overviews(spark, sf_dir):
     shown = px.select("file", "row", "col", byte("hh", "r"), byte("hv", "g"), byte("vv", "b"), F.when(F.col("hh") > 0, 255).otherwise(0).alias("a"))
     path = shared.new_folder(spark, "rgba")
     geotiff.write_rgba(shown, _files(px), path, LIMITS, TILE)
-    back = spark.read.format("geotiff").option("bands", "r,g,b,a").option("level", "all").load(path).filter("level > 0")
+    back = spark.read.format("geotiff").option("bands", "r,g,b,a").option("level", "overviews").load(path)
     return back.select("file", "level", "row", "col", *(F.col(c).cast("int").alias(c) for c in "rgba"))
 
 

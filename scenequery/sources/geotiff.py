@@ -4,7 +4,7 @@ Writing. Pixels are grouped into tiles, which are deflated where they meet. A fi
 of bytes. Rows then go to one task a file, in the order of the file, which streams them out: a file is never held in memory.
 Tasks write under temporary names; the commit gives files their own.
 
-Reading. A partition is a stretch of tiles of one file and level. Directories say where tiles are; a box or filters on level, row
+Reading. A partition is a stretch of tiles of one file and level, or several short ones. Directories say where tiles are; a box or filters on level, row
 and column leave out tiles that cannot have rows. ``what=images`` gives a row an image instead of its pixels: the catalogue that
 checks of grids work on.
 """
@@ -14,7 +14,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,8 @@ from . import tiff
 
 TILE = 512
 TILES_AT_ONCE = 16  # of a read partition
+PIXELS_AT_ONCE = 1 << 18  # up to which stretches of small files share one
+FILES_AT_ONCE = 64  # of a read partition, where a row is an image
 OVERVIEWS = (2, 4, 8)
 FILES = "file, width, height, x0, y0, x1, y1, epsg"
 IMAGES = "file string, level int, width int, height int, tile_width int, tile_height int, samples int, sample_type string, bounds array<double>, crs string, nodata string"
@@ -46,12 +48,13 @@ class Tiles(InputPartition):
     number: int
     level: tiff.Level
     which: list[int]
+    more: list[Tiles] = field(default_factory=list)  # further stretches that the same task reads
 
 
 @dataclass
-class File(InputPartition):
+class Files(InputPartition):
     path: str
-    file: str
+    files: list[str]
 
 
 def _levels(at: fs.FileSystem, path: str) -> list[tiff.Level]:
@@ -63,7 +66,8 @@ class Reader(DataSourceReader):
     def __init__(self, options: dict, bands: list[str]):
         self.root, self.bands = options["path"], bands
         self.images = options.get("what") == "images"
-        self.limits = {"level": [0, 99] if options.get("level") == "all" else [int(options.get("level", 0))] * 2, "row": [0, 1 << 31], "col": [0, 1 << 31]}
+        level = options.get("level", 0)
+        self.limits = {"level": {"all": [0, 99], "overviews": [1, 99]}.get(level) or [int(level)] * 2, "row": [0, 1 << 31], "col": [0, 1 << 31]}
         if "box" in options:
             r0, c0, r1, c1 = map(int, options["box"].split(","))  # of rows and columns of the level, ends included
             self.limits |= {"row": [r0, r1], "col": [c0, c1]}
@@ -80,7 +84,7 @@ class Reader(DataSourceReader):
     def partitions(self):
         at, files = self._files()
         if self.images:
-            return [File(self.root, f) for f in files]
+            return [Files(self.root, files[k : k + FILES_AT_ONCE]) for k in range(0, len(files), FILES_AT_ONCE)]
         with ThreadPoolExecutor(16) as pool:
             levels = list(pool.map(lambda f: _levels(at, f), files))
         found = []
@@ -89,6 +93,20 @@ class Reader(DataSourceReader):
                 if self.limits["level"][0] <= number <= self.limits["level"][1]:
                     which = [t for t in range(len(level.offsets)) if self._meets(level, t)]
                     found += [Tiles(self.root, file, number, level, which[k : k + TILES_AT_ONCE]) for k in range(0, len(which), TILES_AT_ONCE)]
+        return self._together(found)
+
+    @staticmethod
+    def _together(stretches: list[Tiles]) -> list[Tiles]:
+        """Neighbours up to a number of pixels become one partition, so many small files are not as many tasks."""
+        found, pixels = [], 0
+        for s in stretches:
+            n = len(s.which) * s.level.tile_width * s.level.tile_height
+            if found and pixels + n <= PIXELS_AT_ONCE:
+                found[-1].more.append(s)
+                pixels += n
+            else:
+                found.append(s)
+                pixels = n
         return found
 
     def _meets(self, level: tiff.Level, tile: int) -> bool:
@@ -100,18 +118,24 @@ class Reader(DataSourceReader):
         if partition is None:
             return
         at, _ = open_fs(partition.path)
-        name = partition.file.rpartition("/")[2]
-        if isinstance(partition, File):
-            rows = []
-            for k, level in enumerate(_levels(at, partition.file)):
-                where = tiff.place(level)
-                kind = {1: "uint", 2: "int", 3: "float"}.get(level.sample_format, "other") + str(level.bits)
-                nodata = level.tags.get(tiff.NODATA)
-                rows.append((name, k, level.width, level.height, level.tile_width, level.tile_height, level.samples, kind, where["bounds"], where["crs"], nodata.rstrip(b"\0 ").decode() if nodata else None))
-            kinds = [pa.string(), *[pa.int32()] * 6, pa.string(), pa.list_(pa.float64()), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in IMAGES.split(", ")])
+        if isinstance(partition, Files):
+            yield from (self._images(at, f) for f in partition.files)
             return
-        level = partition.level
+        for stretch in [partition, *partition.more]:
+            yield from self._pixels(at, stretch)
+
+    def _images(self, at: fs.FileSystem, file: str) -> pa.RecordBatch:
+        rows, name = [], file.rpartition("/")[2]
+        for k, level in enumerate(_levels(at, file)):
+            where = tiff.place(level)
+            kind = {1: "uint", 2: "int", 3: "float"}.get(level.sample_format, "other") + str(level.bits)
+            nodata = level.tags.get(tiff.NODATA)
+            rows.append((name, k, level.width, level.height, level.tile_width, level.tile_height, level.samples, kind, where["bounds"], where["crs"], nodata.rstrip(b"\0 ").decode() if nodata else None))
+        kinds = [pa.string(), *[pa.int32()] * 6, pa.string(), pa.list_(pa.float64()), pa.string(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in IMAGES.split(", ")])
+
+    def _pixels(self, at: fs.FileSystem, partition: Tiles) -> Iterator[pa.RecordBatch]:
+        level, name = partition.level, partition.file.rpartition("/")[2]
         nodata = level.tags.get(tiff.NODATA)
         missing = float(nodata.rstrip(b"\0 ")) if nodata else None
         (r0, r1), (c0, c1) = self.hard["row"], self.hard["col"]
@@ -188,7 +212,7 @@ class Writer(DataSourceArrowWriter):
 
 
 class GeoTiff(DataSource):
-    """Options of a read: path (a file or a folder), bands (names, comma-separated; b1, b2, ... without), level (0 without, or all),
+    """Options of a read: path (a file or a folder), bands (names, comma-separated; b1, b2, ... without), level (0 without, all, or overviews),
     box (first row, first column, last row, last column), what=images, pushdown=true (where spark.sql.python.filterPushdown.enabled is
     set: comparisons with level, row and col choose tiles)."""
 
