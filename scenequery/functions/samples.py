@@ -20,13 +20,13 @@ def unsigned(data: Column, at: Column, width: int, big: bool) -> Column:
 
 
 def floating(bits: Column, exponent: int, fraction: int) -> Column:
-    """The number that the bits of a float stand for: subnormals, infinities and NaN too; the zero below zero is a zero."""
+    """The number that the bits of a float stand for: subnormals, infinities and NaN too; the zero below zero is a zero, and NaN has no sign."""
     top, bias = (1 << exponent) - 1, (1 << (exponent - 1)) - 1
     negative = F.shiftright(bits, exponent + fraction).bitwiseAND(F.lit(1)) == 1
     e, f = F.shiftright(bits, fraction).bitwiseAND(F.lit(top)), bits.bitwiseAND(F.lit((1 << fraction) - 1))
     part = f / F.lit(float(1 << fraction))
-    size = F.when(e == 0, part * 2.0 ** (1 - bias)).when((e == top) & (f != 0), F.lit(float("nan"))).when(e == top, F.lit(float("inf"))).otherwise(F.pow(F.lit(2.0), e - bias) * (1 + part))
-    return F.when(negative & (f + e != 0), -size).otherwise(size)
+    size = F.when(e == 0, part * 2.0 ** (1 - bias)).when(e == top, F.lit(float("inf"))).otherwise(F.pow(F.lit(2.0), e - bias) * (1 + part))
+    return F.when((e == top) & (f != 0), F.lit(float("nan"))).when(negative & (f + e != 0), -size).otherwise(size)
 
 
 def sample(data: Column, at: Column, kind: str, big: bool = False) -> Column:
