@@ -157,8 +157,8 @@ def require_classes(rows: DataFrame, cls: str, names: list[str]) -> dict[int, in
 def train_logistic(rows: DataFrame, features: list[str], cls: str, classes: int, epochs: int = 60, batches: int = 1, rate: float = 0.3, momentum: float = 0.9, l2: float = 1e-4, seed: int = 1337, tolerance: float = 0.0) -> Logistic:
     """Multinomial logistic regression by gradient steps with momentum on standardized features; biases do not decay.
 
-    A step is one pass over a batch: each task adds up loss and gradient of its rows, and these few numbers a task meet on the
-    driver. Rows are dealt to ``batches`` batches an epoch by a seeded hash of their content, so reruns agree. Training ends early once an
+    Rows are packed into blocks of numbers once. A step is one pass over a batch: each task adds up loss and gradient of its
+    rows, and these few numbers a task meet on the driver. Rows are dealt to ``batches`` batches an epoch by a seeded hash of their content, so reruns agree. Training ends early once an
     epoch lowers the loss by less than ``tolerance`` of it. Rows whose class is no class are left out; a feature that is missing or not
     finite is an error, as are weights that diverge.
     """
@@ -174,16 +174,26 @@ def train_logistic(rows: DataFrame, features: list[str], cls: str, classes: int,
             raise ValueError(f"{told[f'bad_{f}']} values of {f} are missing or not finite: leave such rows out first")
     mean = [told[f"mean_{f}"] for f in features]
     std = [told[f"std_{f}"] if told[f"std_{f}"] > 1e-12 else 1.0 for f in features]
-    scaled = known.select("_cls", F.pmod(F.xxhash64(F.lit(seed), *features), F.lit(batches)).cast("int").alias("_batch"), *(((F.col(f) - m) / s).alias(f"_x{k}") for k, (f, m, s) in enumerate(zip(features, mean, std, strict=True)))).persist()
+    scaled = known.select("_cls", F.pmod(F.xxhash64(F.lit(seed), *features), F.lit(batches)).cast("int").alias("_batch"), *(((F.col(f) - m) / s).alias(f"_x{k}") for k, (f, m, s) in enumerate(zip(features, mean, std, strict=True))))
+
+    def packed(parts):
+        for part in parts:
+            y, of = part.column(0).to_numpy(), part.column(1).to_numpy()
+            x = np.column_stack([*(c.to_numpy() for c in part.columns[2:]), np.ones(len(y))])
+            for batch in np.unique(of):
+                own = of == batch
+                yield pa.RecordBatch.from_arrays([pa.array([batch], pa.int32()), pa.array([y[own].tobytes()], pa.binary()), pa.array([x[own].tobytes()], pa.binary())], names=["batch", "y", "x"])
+
+    blocks = scaled.mapInArrow(packed, "batch int, y binary, x binary").persist()  # every pass reads them
     w, v = np.zeros((classes, len(features) + 1)), np.zeros((classes, len(features) + 1))
     history: list[float] = []
 
     def gradient(at: np.ndarray, batch: int) -> tuple[float, int, np.ndarray]:
         def sums(parts):
             loss, n, g = 0.0, 0, np.zeros_like(at)
-            for part in parts:
-                y = part.column(0).to_numpy()[(own := part.column(1).to_numpy() == batch)]
-                x = np.column_stack([*(c.to_numpy()[own] for c in part.columns[2:]), np.ones(len(y))])
+            for y, x in ((y.as_buffer(), x.as_buffer()) for part in parts for y, x in zip(part.column(0), part.column(1), strict=True)):
+                y = np.frombuffer(y, np.int32)
+                x = np.frombuffer(x).reshape(len(y), -1)
                 s = x @ at.T
                 p = np.exp(s - s.max(1, keepdims=True, initial=-np.inf))
                 p /= p.sum(1, keepdims=True)
@@ -192,7 +202,7 @@ def train_logistic(rows: DataFrame, features: list[str], cls: str, classes: int,
                 n, g = n + len(y), g + p.T @ x
             yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([n], pa.int64()), pa.array([g.tobytes()], pa.binary())], names=["loss", "n", "g"])
 
-        found = scaled.mapInArrow(sums, "loss double, n long, g binary").collect()
+        found = blocks.filter(F.col("batch") == batch).select("y", "x").mapInArrow(sums, "loss double, n long, g binary").collect()
         return sum(r["loss"] for r in found), sum(r["n"] for r in found), sum((np.frombuffer(r["g"]).reshape(at.shape) for r in found), np.zeros_like(at))
 
     try:
@@ -209,7 +219,7 @@ def train_logistic(rows: DataFrame, features: list[str], cls: str, classes: int,
             if len(history) > 1 and tolerance and history[-2] - history[-1] < tolerance * history[-2]:
                 break
     finally:
-        scaled.unpersist()
+        blocks.unpersist()
     if not np.isfinite(w).all():
         raise ValueError("weights diverged: take a lower rate")
     return Logistic(w.tolist(), mean, std, history)

@@ -104,12 +104,11 @@ def looks_categorical(spark, sf_dir):
 
 @query()
 def logistic_fit(spark, sf_dir):
-    """A logistic model of the regions, trained on three quarters and counted on the rest (a training loop is no SQL)."""
+    """A logistic model of the regions, trained on three quarters of all labelled pixels and counted on the rest (a training loop is no SQL)."""
     rows = _db(spark, sf_dir).select((F.col("scene_id") * 15625 + F.col("row") * 125 + F.col("col")).alias("id"), ops.label(F.col("x"), F.col("y"), REGIONS).alias("label"), "x", "y")
-    # training, its statistics and the count read the sample, which the cap bounds, not the bands it was drawn from
+    # the split, training, its statistics and the count read labelled pixels, not the bands they come from
     labelled = shared.staged(rows.where(F.col("label") < ops.AMBIGUOUS), "labelled")
-    sample = shared.staged(ops.capped_sample(labelled, "label", "id"), "sample")
-    split = shared.staged(ops.stratified_split(sample, "label", "id"), "split")
+    split = shared.staged(ops.stratified_split(labelled, "label", "id"), "split")
     model = ops.train_logistic(split.where("not held_out"), ["x", "y"], "label", len(REGIONS))
     cls, _ = ops.softmax_predict([F.col("x"), F.col("y")], model.mean, model.std, model.weights)
     return ops.confusion(split.where("held_out").withColumn("predicted", cls), "label", "predicted")
