@@ -1,15 +1,18 @@
 """Exact top-k search by BM25: inverted indexes of shards, block-max WAND pruning, merged with global statistics.
 
-A shard holds the postings of up to ``SHARD_DOCS`` documents, by term. Documents that share their most frequent terms lie next
-to each other, in blocks of ``BLOCK_DOCS``; for each term and block the index stores the most that it adds to a score there,
-up to the term's idf. A query's terms move from pivot to pivot: the next block in document order in which the sum of their
-maxima reaches the k-th best score so far. Blocks in between are skipped. Pivots are blocks, not documents, so that many
-queries are scored in one block together: terms that a large part of the shard has by a matrix product, rare ones posting by
-posting. Scores of 32 bits, within their error, tell which documents may be among the best; those get exact ones.
-
-Before all shards are searched, each query is tried on some of them, and the k-th best score found there is what all tasks start
-from; a task raises it from shard to shard. With m of n shards tried, both rounds together give some k * (m + n / m) rows a query,
-fewest for the square root of n. What is left out cannot be among the best, so the merged k are exact.
+A shard holds the postings of up to ``SHARD_DOCS`` documents, by term. A task gathers documents for several shards first and deals
+them by what they are like (their language, mostly), so that a shard's documents share frequent terms; within it they lie in
+blocks of ``BLOCK_DOCS``. For each frequent term and block the index stores the most that it adds to a score there, up to the
+term's idf. Queries that are alike are scored together: rare terms posting by posting, frequent ones by matrix products, where a
+term is frequent for these queries and this shard if both together have it often enough to pay for a column. A block is a pivot
+for a query if what its best document has from rare terms and the stored maxima of the frequent ones reach the k-th best score so
+far; only pivots get the products. Scores of 32 bits, within their error, tell which documents may be among the best; those get
+exact ones.
+
+Before all shards are searched, the queries are tried on some of them, and the k-th best score found there is what all tasks start
+from; a task raises it from shard to shard. With m of n shards tried, ``TRIED_TOGETHER`` in a task, both rounds together give some
+k * (m / TRIED_TOGETHER + n / m) rows a query, fewest for the square root of TRIED_TOGETHER * n. What is left out cannot be among the
+best, so the merged k are exact.
 
 Queries come in blocks of about ``QUERIES_AT_ONCE``; only one such block is broadcast at a time. Each block of queries meets
 all shards, so the work is that of queries times documents, less what the bounds leave out.
@@ -32,9 +35,13 @@ from .jaccard import word_hashes
 K1, B = 1.2, 0.75
 SHARD_DOCS = 4096
 BLOCK_DOCS = 128
-DENSE_SHARE = 1 / 48  # a term that more of a shard's documents have is scored by matrix products
-QUERIES_AT_ONCE = 3000
+SHARDS_AT_ONCE = 4  # whose documents a task deals by what they are like
+WORDS_AT_ONCE = 1 << 24  # or fewer, when documents are long
+DENSE_SHARE = 1 / 48  # a term that more of a shard's documents have can be scored by matrix products
+DENSE_PAIRS = 1 / 600  # it is where a larger share of all pairs of a query and a document have it both
+QUERIES_AT_ONCE = 24_000
 SCORED_AT_ONCE = 256
+TRIED_TOGETHER = 3
 TOP = 10
 EVERY = 50
 ERROR = 1e-4  # of sums in 32 bits, relative and absolute; measured ones are below 1e-5
@@ -43,11 +50,54 @@ NO_ID = 1 << 63  # stands for a null doc_id, after all others
 _BINARY = {"lengths": "<u4", "vocab": "<u8", "starts": "<u4", "docs": "<u2", "tfs": "<u4", "block_starts": "<u4", "blocks": "<u2", "maxima": "<f4"}
 
 
+def _word_count(text: str) -> int:
+    """How many words of the contracts a text has, as ``word_hashes`` finds them."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    inside = (raw != 32) & ((raw < 9) | (raw > 13))
+    return int(np.count_nonzero(inside[1:] > inside[:-1])) + int(inside[:1].sum())
+
+
 def _impact(tf: np.ndarray, length: np.ndarray, mean_length: float) -> np.ndarray:
     """What a posting adds to a score, but for the term's idf."""
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean_length, 1e-9)))
 
 
+def _alike(texts: list[np.ndarray], seeds: int = 24, rounds: int = 4, sample: int = 1024, frequent: int = 512) -> np.ndarray:
+    """An order of texts (hashes of their words) that puts those with the same frequent words next to each other, by length.
+
+    Groups come from a sample by spherical k-means, in a chain from each group to the most similar one left. They only decide
+    what is scored together, never what is found.
+    """
+    length = np.array([len(t) for t in texts])
+    some = np.random.default_rng(len(texts)).permutation(len(texts))[:sample]
+    vocab, count = np.unique(np.concatenate([np.unique(texts[i]) for i in some.tolist()]), return_counts=True)
+    terms = np.sort(vocab[np.argsort(-count, kind="stable")[:frequent]])
+    if not len(terms):
+        return np.arange(len(texts))
+
+    def places(own: list[np.ndarray]) -> np.ndarray:
+        there, at = _matched(terms, np.concatenate(own))
+        rows = np.zeros((len(own), len(terms)), np.float32)
+        rows[np.repeat(np.arange(len(own)), [len(t) for t in own])[there], at] = 1
+        return rows / np.sqrt(np.maximum(rows.sum(1, keepdims=True), 1))
+
+    x = places([texts[i] for i in some.tolist()])
+    centres = x[:seeds].copy()
+    for _ in range(rounds):
+        near = np.argmax(x @ centres.T, 1)
+        for c in range(len(centres)):
+            total = x[near == c].sum(0)
+            centres[c] = total / max(float(np.sqrt(total @ total)), 1e-9)
+    alike, chain = centres @ centres.T, [0]
+    while len(chain) < len(centres):
+        alike[:, chain[-1]] = -1
+        chain.append(int(np.argmax(alike[chain[-1]])))
+    rank = np.empty(len(centres), np.int64)
+    rank[chain] = np.arange(len(chain))
+    own = np.concatenate([rank[np.argmax(places(texts[i : i + sample]) @ centres.T, 1)] for i in range(0, len(texts), sample)])
+    return np.lexsort((length, own))
+
+
 def _shard(ids: list, words: list[np.ndarray], mean_length: float) -> tuple[list, list[bytes]]:
     """doc_ids and the arrays of one shard, its documents ordered by their most frequent terms."""
     length = np.array([len(w) for w in words], np.int64)
@@ -63,12 +113,15 @@ def _shard(ids: list, words: list[np.ndarray], mean_length: float) -> tuple[list
     length, doc = length[order], place[doc]
     by_place = np.lexsort((doc, of))
     doc, tf = doc[by_place], tf[by_place]
-    cell = of * (len(words) // BLOCK_DOCS + 1) + doc // BLOCK_DOCS
+    ends = np.arange(len(vocab) + 1)
+    starts = np.searchsorted(of, ends)
+    own = np.flatnonzero(np.diff(starts)[of] > DENSE_SHARE * len(words))
+    cell = of[own] * (len(words) // BLOCK_DOCS + 1) + doc[own] // BLOCK_DOCS
     first = np.flatnonzero(np.diff(cell, prepend=-1))
-    maxima = np.maximum.reduceat(_impact(tf.astype(np.float64), length[doc], mean_length), first) if len(cell) else np.zeros(0)
+    maxima = np.maximum.reduceat(_impact(tf[own].astype(np.float64), length[doc[own]], mean_length), first) if len(cell) else np.zeros(0)
     maxima = np.nextafter(maxima.astype(np.float32), np.float32(np.inf))
-    ends = np.arange(len(vocab) + 1)
-    parts = (length, vocab, np.searchsorted(of, ends), doc, tf, np.searchsorted(of[first], ends), doc[first] // BLOCK_DOCS, maxima)
+    first = own[first]
+    parts = (length, vocab, starts, doc, tf, np.searchsorted(of[first], ends), doc[first] // BLOCK_DOCS, maxima)
     return [ids[i] for i in order.tolist()], [p.astype(t).tobytes() for p, t in zip(parts, _BINARY.values(), strict=True)]
 
 
@@ -78,20 +131,25 @@ def build_shards(docs: DataFrame, mean_length: float) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
         words: list[np.ndarray] = []
+        total = 0
 
-        def out() -> pa.RecordBatch:
-            own, parts = _shard(ids, words, mean_length)
-            return pa.RecordBatch.from_arrays([pa.array([own], pa.list_(pa.int64())), *(pa.array([p], pa.binary()) for p in parts)], names=["doc_ids", *_BINARY])
+        def out() -> Iterator[pa.RecordBatch]:
+            order = _alike(words).tolist()
+            for first in range(0, len(order), SHARD_DOCS):
+                here = order[first : first + SHARD_DOCS]
+                own, parts = _shard([ids[i] for i in here], [words[i] for i in here], mean_length)
+                yield pa.RecordBatch.from_arrays([pa.array([own], pa.list_(pa.int64())), *(pa.array([p], pa.binary()) for p in parts)], names=["doc_ids", *_BINARY])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids.append(doc_id)
                 words.append(word_hashes(text))
-                if len(ids) == SHARD_DOCS:
-                    yield out()
-                    ids, words = [], []
+                total += len(words[-1])
+                if len(ids) >= SHARD_DOCS * SHARDS_AT_ONCE or (total >= WORDS_AT_ONCE and len(ids) >= SHARD_DOCS):
+                    yield from out()
+                    ids, words, total = [], [], 0
         if ids:
-            yield out()
+            yield from out()
 
     schema = "doc_ids array<long>, " + ", ".join(f"{c} binary" for c in _BINARY)
     return common.staged(docs.select("doc_id", common.text_or_empty().alias("text")).mapInArrow(common.lean(build), schema), "index").withColumn("shard", F.xxhash64("doc_ids"))
@@ -128,28 +186,25 @@ class Shard:
         take = _ranges(self.start, self.size)
         self.start = np.cumsum(self.size) - self.size
         of = np.repeat(np.arange(len(asked)), self.size)
-        self.docs = part["docs"][take].astype(np.int64)
+        docs = part["docs"][take]
+        self.docs = docs.astype(np.int64)
         self.scores = idf[of] * _impact(part["tfs"][take].astype(np.float64), length[self.docs], mean_length)
-        starts = part["block_starts"].astype(np.int64)
-        self.block_start, self.block_size = starts[held], starts[held + 1] - starts[held]
-        take = _ranges(self.block_start, self.block_size)
-        self.block_start = np.cumsum(self.block_size) - self.block_size
-        block_of = np.repeat(np.arange(len(asked)), self.block_size)
-        self.block = part["blocks"][take].astype(np.int64)
-        self.maxima = (idf[block_of] * part["maxima"][take] * (1 + ERROR)).astype(np.float32)
-        # terms of many documents, as matrices
+        # terms of many documents, as matrices, with their most in each block
         dense = np.flatnonzero(self.size > DENSE_SHARE * n)
         self.column = np.full(len(asked), -1, np.int64)
         self.column[dense] = np.arange(len(dense))
-        own = self.column[of] >= 0
         self.matrix = np.zeros((len(dense), self.blocks * BLOCK_DOCS), np.float32)
-        self.matrix[self.column[of[own]], self.docs[own]] = self.scores[own]
-        own = self.column[block_of] >= 0
+        take = _ranges(self.start[dense], self.size[dense])
+        self.matrix[np.repeat(np.arange(len(dense)), self.size[dense]), self.docs[take]] = self.scores[take]
+        starts = part["block_starts"].astype(np.int64)
+        first, size = starts[held[dense]], np.diff(starts)[held[dense]]
+        take = _ranges(first, size)
         self.bounds = np.zeros((len(dense), self.blocks), np.float32)
-        self.bounds[self.column[block_of[own]], self.block[own]] = self.maxima[own]
+        self.bounds[np.repeat(np.arange(len(dense)), size), part["blocks"][take]] = np.repeat(idf[dense], size) * part["maxima"][take] * (1 + ERROR)
+        self.held = self.size[dense]
         # terms of each document, for exact scores
-        order = np.argsort(self.docs, kind="stable")
-        self.doc_start = np.searchsorted(self.docs[order], np.arange(n + 1)).tolist()
+        order = np.argsort(docs, kind="stable")
+        self.doc_start = np.searchsorted(docs[order], np.arange(n + 1)).tolist()
         self.doc_terms, self.doc_scores = of[order], self.scores[order]
 
     def search(self, queries: list[np.ndarray], best: list[list[tuple[float, int]]], least: np.ndarray, k: int) -> None:
@@ -161,31 +216,40 @@ class Shard:
 
     def _search(self, terms: list[np.ndarray], best: list[list[tuple[float, int]]], least: np.ndarray, k: int) -> None:
         flat, query = np.concatenate(terms), np.repeat(np.arange(len(terms)), [len(t) for t in terms])
-        column = self.column[flat]
-        weights = np.zeros((len(terms), len(self.matrix)), np.float32)
+        # frequent terms that pay for a column: shares of these queries and of the documents, multiplied
+        column, width = self.column[flat], self.blocks * BLOCK_DOCS
+        pays = np.flatnonzero(np.bincount(column[column >= 0], minlength=len(self.held)) * self.held > DENSE_PAIRS * len(terms) * self.n)
+        place = np.full(len(self.held) + 1, -1, np.int64)  # the last one is that of rare terms, -1
+        place[pays] = np.arange(len(pays))
+        column = place[column]
+        weights = np.zeros((len(terms), len(pays)), np.float32)
         weights[query[column >= 0], column[column >= 0]] = 1
         rare, rare_query = flat[column < 0], query[column < 0]
+        size = self.size[rare]
+        take = _ranges(self.start[rare], size)
+        found = np.bincount(np.repeat(rare_query * width, size) + self.docs[take], self.scores[take], len(terms) * width).astype(np.float32).reshape(len(terms), self.blocks, BLOCK_DOCS)
         # the most that each query can score in each block
-        take, size = _ranges(self.block_start[rare], self.block_size[rare]), self.block_size[rare]
-        bound = weights @ self.bounds + np.bincount(np.repeat(rare_query, size) * self.blocks + self.block[take], self.maxima[take], len(terms) * self.blocks).reshape(len(terms), -1)
+        bound = found.max(2) + weights @ self.bounds[pays]
         pivots = bound * (1 + ERROR) + ERROR >= np.maximum(least, ERROR)[:, None]
-        take, size = _ranges(self.start[rare], self.size[rare]), self.size[rare]
-        found = np.bincount(np.repeat(rare_query, size) * (self.blocks * BLOCK_DOCS) + self.docs[take], self.scores[take], len(terms) * self.blocks * BLOCK_DOCS).astype(np.float32).reshape(len(terms), self.blocks, BLOCK_DOCS)
-        for b in range(self.blocks):
+        enough = np.maximum(least * (1 - ERROR) - ERROR, 1e-12).astype(np.float32)
+        hits = []
+        for b in np.flatnonzero(pivots.any(0)).tolist():
             own = np.flatnonzero(pivots[:, b])
-            if len(own):
-                found[own, b] += (weights if len(own) == len(terms) else weights[own]) @ self.matrix[:, b * BLOCK_DOCS : (b + 1) * BLOCK_DOCS]
-        found[~pivots] = -1
-        found = found.reshape(len(terms), -1)
+            score = found[own, b] + weights[own] @ self.matrix[pays, b * BLOCK_DOCS : (b + 1) * BLOCK_DOCS]
+            q, d = np.nonzero(score >= enough[own, None])
+            hits.append((own[q], d + b * BLOCK_DOCS, score[q, d]))
+        if not hits:
+            return
+        of, doc, score = (np.concatenate(x) for x in zip(*hits, strict=True))
+        order = np.argsort(of, kind="stable")
+        of, doc, score = of[order], doc[order], score[order]
+        ends = np.searchsorted(of, np.arange(len(terms) + 1))
         asked = np.zeros(len(self.size), bool)
-        for q in np.flatnonzero(pivots.any(1)).tolist():
-            score = found[q]
-            near = np.flatnonzero(score >= max(least[q] * (1 - ERROR) - ERROR, 1e-12))
+        for q in np.flatnonzero(np.diff(ends)).tolist():
+            near, own_score = doc[ends[q] : ends[q + 1]], score[ends[q] : ends[q + 1]]
             if len(near) > k:
-                kth = np.partition(score[near], len(near) - k)[len(near) - k]
-                near = near[score[near] >= kth * (1 - 2 * ERROR) - 2 * ERROR]
-            if not len(near):
-                continue
+                kth = np.partition(own_score, len(near) - k)[len(near) - k]
+                near = near[own_score >= kth * (1 - 2 * ERROR) - 2 * ERROR]
             asked[terms[q]] = True
             more = []
             for d in near.tolist():
@@ -207,8 +271,14 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     """
     spark = docs.sparkSession
     common.small_batches(spark)
-    whole = docs.agg(F.count("*").alias("n"), F.sum(F.regexp_count(common.text_or_empty(), F.lit(common.WORD)).cast("long")).alias("words")).first()
-    n, mean_length = whole["n"], (whole["words"] or 0) / max(1, whole["n"])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()), pa.array([sum(map(_word_count, batch.column(0).to_pylist()))], pa.int64())], names=["n", "words"])
+
+    whole = docs.select(common.text_or_empty().alias("text")).mapInArrow(common.lean(measure), "n long, words long").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).first()
+    n = whole["n"] or 0
+    mean_length = (whole["words"] or 0) / max(1, n)
     shards = build_shards(docs, mean_length)
 
     def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,6 +293,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
         own = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()
         lists = [np.frombuffer(t, "<u8") for t in own.column("terms").to_pylist()]
         if lists:
+            order = _alike(lists)
+            lists, own = [lists[i] for i in order.tolist()], own.take(order)
             terms = np.unique(np.concatenate(lists))
             found.append(_search_block(spark, shards, n_shards, own.column("query_id").to_pylist(), [np.searchsorted(terms, x).astype(np.int32) for x in lists], terms, n, mean_length, k))
     if not found:
@@ -235,7 +307,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
 
 
 def _search_block(spark: SparkSession, shards: DataFrame, n_shards: int, ids: list[int], lists: list[np.ndarray], terms: np.ndarray, n: int, mean_length: float, k: int) -> DataFrame:
-    shared, tried = spark.sparkContext.broadcast(terms), max(3, math.ceil(n_shards**0.5))
+    shared, tried = spark.sparkContext.broadcast(terms), max(3, math.ceil((TRIED_TOGETHER * n_shards) ** 0.5))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = shared.value
@@ -252,18 +324,15 @@ def _search_block(spark: SparkSession, shards: DataFrame, n_shards: int, ids: li
     df[counted.column("term").to_numpy()] = counted.column("df").to_numpy()
     asked = spark.sparkContext.broadcast((ids, lists, np.log(1 + (n - df + 0.5) / (df + 0.5))))
 
-    def searching(least, some: bool):
+    def searching(shards: DataFrame, least=None) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             terms, (ids, lists, idf) = shared.value, asked.value
             best: list[list[tuple[float, int]]] = [[] for _ in ids]
             at_least = least.value.copy() if least else np.zeros(len(ids))
             for batch in batches:
-                for row in batch.to_pylist():
-                    shard = Shard(row, terms, idf, mean_length)
-                    own = np.flatnonzero(np.random.default_rng(row["shard"] & 0xFFFFFFFF).random(len(ids)) * n_shards < tried) if some else np.arange(len(ids))
-                    mine = at_least[own]
-                    shard.search([lists[q] for q in own.tolist()], [best[q] for q in own.tolist()], mine, k)
-                    at_least[own] = mine
+                for i in range(batch.num_rows):
+                    shard = Shard(batch.slice(i, 1).to_pylist()[0], terms, idf, mean_length)
+                    shard.search(lists, best, at_least, k)
                     del shard
             rows = [(i, d, -s) for i, found in enumerate(best) for s, d in found]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([None if r[1] == NO_ID else r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], names=["query", "doc_id", "score"])
@@ -273,12 +342,15 @@ def _search_block(spark: SparkSession, shards: DataFrame, n_shards: int, ids: li
     least = None
     if n_shards > tried:
         order = Window.partitionBy("query").orderBy(F.desc("score"))
-        kth = searching(None, True).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k).select("query", "score").toArrow()
+        # spread evenly over the partitions, in a random order within each, as shards of one group differ in what they hold
+        places = sorted((r["part"], r["shard"]) for r in shards.select(F.spark_partition_id().alias("part"), "shard").collect())
+        some = shards.filter(F.col("shard").isin([places[(2 * i + 1) * n_shards // (2 * tried)][1] for i in range(tried)]))
+        kth = searching(some.coalesce(math.ceil(tried / TRIED_TOGETHER))).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k).select("query", "score").toArrow()
         known = np.zeros(len(ids))
         known[kth.column("query").to_numpy()] = kth.column("score").to_numpy()
         least = spark.sparkContext.broadcast(known)
     numbers = spark.createDataFrame(pa.table({"query": pa.array(range(len(ids)), pa.int64()), "query_id": pa.array(ids, pa.int64())}))
-    return common.staged(searching(least, False), "found").join(F.broadcast(numbers), "query").select("query_id", "doc_id", "score")  # as many rows as QUERIES_AT_ONCE
+    return common.staged(searching(shards, least), "found").join(F.broadcast(numbers), "query").select("query_id", "doc_id", "score")  # as many rows as QUERIES_AT_ONCE
 
 
 def op5_block_max_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
