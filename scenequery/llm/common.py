@@ -64,19 +64,19 @@ def shared_dir(spark: SparkSession) -> str:
     return configured or current
 
 
-def staged_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as a table in the shared folder; the table, which cuts the lineage, and its path."""
+def staged_at(df: DataFrame, name: str, options: dict | None = None) -> tuple[DataFrame, str]:
+    """Write ``df`` as a table in the shared folder, by these options; the table, which cuts the lineage, and its path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     if (paths := _STAGED.get()) is not None:
         paths.append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage is cut, lost executors lose nothing."""
-    return staged_at(df, name)[0]
+    return staged_at(df, name, options)[0]
 
 
 @contextmanager

@@ -152,7 +152,9 @@ def build_shards(docs: DataFrame, mean_length: float) -> DataFrame:
             yield from out()
 
     schema = "doc_ids array<long>, " + ", ".join(f"{c} binary" for c in _BINARY)
-    return common.staged(docs.select("doc_id", common.text_or_empty().alias("text")).mapInArrow(common.lean(build), schema), "index").withColumn("shard", F.xxhash64("doc_ids"))
+    # a row group a shard: Spark's reader takes thousands of rows of a group at once
+    one = {"parquet.block.row.count.limit": "1"}
+    return common.staged(docs.select("doc_id", common.text_or_empty().alias("text")).mapInArrow(common.lean(build), schema), "index", one).withColumn("shard", F.xxhash64("doc_ids"))
 
 
 def _matched(vocab: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
